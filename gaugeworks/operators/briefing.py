@@ -292,4 +292,5 @@ def recommendations(scored: DataFrame, base: DataFrame | None = None) -> DataFra
                 ),
             )
         )
-    return facts.select(F.inline(F.array_compact(F.array(*items))))
+    listed = facts.select(F.inline_outer(F.array_compact(F.array(*items))))
+    return listed.where(F.col("position").isNotNull())

@@ -24,16 +24,17 @@ def non_blank(frame: DataFrame, text: str = "text", max_chars: int | None = None
 
 def keyword_counts(frame: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, keyword, n, first_pos): every distinct keyword of every text. No shuffle."""
-    return with_keyword_counts(frame.select(key, text), text).select(
-        key, F.inline("keywords")
-    ).select(key, "keyword", "n", "first_pos")
+    counted = with_keyword_counts(frame.select(key, text), text)
+    # The outer form: for the inner one the optimizer would copy the whole computation into a size > 0 filter.
+    listed = counted.select(key, F.inline_outer("keywords")).where(F.col("keyword").isNotNull())
+    return listed.select(key, "keyword", "n", "first_pos")
 
 
 def ranked_keywords(frame: DataFrame, key: str, text: str = "text", n: int = C.TOP_KEYWORDS) -> DataFrame:
     """(key, rank, keyword, n): the n most frequent keywords per text, ties by first occurrence. No shuffle."""
     counted = with_keyword_counts(frame.select(key, text), text)
-    ranked = counted.select(key, F.posexplode(F.slice("keywords", 1, n)).alias("pos", "k"))
-    return ranked.select(key, (F.col("pos") + 1).alias("rank"), F.col("k.keyword"), F.col("k.n"))
+    ranked = counted.select(key, F.posexplode_outer(F.slice("keywords", 1, n)).alias("pos", "k"))
+    return ranked.where(F.col("pos").isNotNull()).select(key, (F.col("pos") + 1).alias("rank"), F.col("k.keyword"), F.col("k.n"))
 
 
 def match_pairs(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C.TOP_KEYWORDS) -> DataFrame:
@@ -66,7 +67,7 @@ def keyword_coverage(matches: DataFrame) -> DataFrame:
         F.struct(F.lit("Matched").alias("category"), F.size("matched").cast("bigint").alias("count")),
         F.struct(F.lit("Missing").alias("category"), F.size("missing").cast("bigint").alias("count")),
     )
-    return matches.select("resume_id", "jd_id", F.inline(both))
+    return matches.select("resume_id", "jd_id", F.inline_outer(both))
 
 
 def _texts(values) -> Column:

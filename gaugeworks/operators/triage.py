@@ -63,10 +63,10 @@ def business_impact() -> Column:
 
 
 def risk_factors() -> Column:
-    """Array of the factors that hold, in a fixed order; one entry saying so if none does."""
+    """Array of the factors that hold, in a fixed order."""
     line, sla = C.RISK_FACTORS, _text("sla_status")
     contacts, rating = _number("previous_contacts", 0), _number("customer_rating", 3)
-    found = present(
+    return present(
         (_text("priority").isin("High", "Critical"), fill(line["priority"], priority=F.col("priority"))),
         (sla == "Breached", F.lit(line["breached"])),
         (sla == "At Risk", F.lit(line["at_risk"])),
@@ -76,7 +76,10 @@ def risk_factors() -> Column:
         (_text("status") == "Escalated", F.lit(line["escalated"])),
         (SCORE() >= C.CRITICAL_SCORE, F.lit(line["score"])),
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(line["none"])))
+
+
+def or_no_factor(found: Column) -> Column:
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(C.RISK_FACTORS["none"])))
 
 
 def customer_reply() -> Column:
@@ -117,7 +120,8 @@ def with_triage(scored: DataFrame) -> DataFrame:
     """The scored table with a struct column `triage` of the 15 fields."""
     department = _text("department", "Support")
     # Level and factors feed other fields, so they are projected first and computed once.
-    staged = scored.withColumns({"action_level": action_level(), "risk_factors": risk_factors()})
+    staged = scored.withColumns({"action_level": action_level(), "_found": risk_factors()})
+    staged = staged.withColumn("risk_factors", or_no_factor(F.col("_found"))).drop("_found")
     made = {
         "ticket_id": F.col("ticket_id"),
         "risk_score": SCORE(),

@@ -178,7 +178,7 @@ def ticket_actions(v, spark, folder):
 
 @query
 def risk_factors(v, spark, folder):
-    made = triage.triage(_scored(v)).select(F.explode("risk_factors").alias("risk_factor"))
+    made = triage.triage(_scored(v)).select(F.explode_outer("risk_factors").alias("risk_factor"))
     return made.groupBy("risk_factor").agg(F.count("*").alias("tickets"))
 
 
