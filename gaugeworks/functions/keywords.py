@@ -15,7 +15,7 @@ def keyword_tokens(text: Column) -> Column:
 
 
 def with_keyword_counts(frame: DataFrame, text: str, out: str = "keywords") -> DataFrame:
-    """Add `out`: array of (n, first_pos, keyword), most frequent first, ties by first occurrence.
+    """Add `out`: array of (minus_n, first_pos, keyword), one entry per distinct keyword, unranked.
 
     Sorting the (word, position) pairs puts equal words side by side, so a count is the distance between the starts
     of two neighbouring runs: n log n per text, where counting each distinct word would be quadratic.
@@ -40,23 +40,14 @@ def with_keyword_counts(frame: DataFrame, text: str, out: str = "keywords") -> D
     counted = F.transform(
         F.col(starts),
         lambda start, j: F.struct(
-            (F.coalesce(F.get(F.col(starts), j + 1), F.size(pairs)) - start).alias("n"),
+            (start - F.coalesce(F.get(F.col(starts), j + 1), F.size(pairs))).alias("minus_n"),
             F.col(pairs)[start]["pos"].alias("first_pos"),
             F.col(pairs)[start]["word"].alias("keyword"),
         ),
     )
-    # Ascending order of (-n, first_pos) is the wanted rank.
-    ranked = F.sort_array(
-        F.transform(counted, lambda k: F.struct((-k["n"]).alias("m"), k["first_pos"], k["keyword"]))
-    )
-    return frame.withColumn(
-        out,
-        F.transform(
-            ranked, lambda k: F.struct((-k["m"]).alias("n"), k["first_pos"].alias("first_pos"), k["keyword"].alias("keyword"))
-        ),
-    ).drop(pairs, starts)
+    return frame.withColumn(out, counted).drop(pairs, starts)
 
 
-def top_keywords(keywords: Column, n: int = C.TOP_KEYWORDS) -> Column:
-    """The first `n` keywords of a `with_keyword_counts` array, as plain strings."""
-    return F.transform(F.slice(keywords, 1, n), lambda k: k["keyword"])
+def ranked(keywords: str) -> Column:
+    """A `with_keyword_counts` array, most frequent first, ties by first occurrence."""
+    return F.sort_array(keywords)

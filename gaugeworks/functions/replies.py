@@ -22,8 +22,8 @@ def parse_object(reply: Column, keys) -> Column:
     return F.when(F.size(parsed) == 1, parsed[0])
 
 
-def has_key(reply: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(json_object(reply)), key), F.lit(False))
+def object_keys(reply: Column) -> Column:
+    return F.json_object_keys(json_object(reply))
 
 
 def as_list(raw: Column) -> Column:
@@ -31,8 +31,12 @@ def as_list(raw: Column) -> Column:
     return F.from_json(raw, "array<string>")
 
 
+def no_items() -> Column:
+    return F.array().cast("array<string>")
+
+
 def sanitize_list(items: Column, max_items: int = C.MAX_REPLY_ITEMS, max_chars: int = C.MAX_REPLY_ITEM_CHARS) -> Column:
     """First `max_items`, each stripped then cut, blanks and nulls dropped last; empty for null."""
     cut = F.transform(F.slice(items, 1, max_items), lambda item: F.substring(strip(item), 1, max_chars))
     kept = F.filter(cut, lambda item: F.coalesce(item != "", F.lit(False)))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    return F.coalesce(kept, no_items())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
 from gaugeworks import wording as W
-from gaugeworks.functions.replies import as_list, parse_object
+from gaugeworks.functions.replies import as_list, no_items, parse_object
 from gaugeworks.functions.text import fill, lines, numbered, present, whole_number
 from gaugeworks.operators import support
 from gaugeworks.operators.measures import rollup
@@ -225,7 +225,6 @@ def run_findings(
         F.lit(W.ALREADY_SCORED_TRACE if came_scored else W.SCORED_TRACE),
         *[F.lit(step) for step in W.FINDINGS_TRACE[1:]],
     ]
-    no_items = F.array().cast("array<string>")
     record = brief.select(
         F.when(some, "success").otherwise("error").alias("status"),
         F.col("mode"),
@@ -235,7 +234,7 @@ def run_findings(
         F.when(some, F.struct("kpis", "top_high_risk_tickets", "top_pain_points")).alias("findings"),
         F.lit(question).cast("string").alias("user_question"),
         F.when(some, briefing_text(brief, W.MANAGER_HEADING)).otherwise("").alias("manager_briefing"),
-        F.when(some, F.col("recommended_actions")).otherwise(no_items).alias("recommended_actions"),
+        F.when(some, F.col("recommended_actions")).otherwise(no_items()).alias("recommended_actions"),
     )
     return Findings(
         record,

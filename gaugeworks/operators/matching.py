@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
 from gaugeworks import wording as W
-from gaugeworks.functions.keywords import keyword_tokens, top_keywords, with_keyword_counts
+from gaugeworks.functions.keywords import keyword_tokens, ranked, with_keyword_counts
 from gaugeworks.functions.numeric import round_half_even
 from gaugeworks.functions.text import bulleted, fill, join, lines, numbered, redact, strip, truncate
-from gaugeworks.operators.replies import FEEDBACK_FIELDS, one_reply_per, validate_feedback
+from gaugeworks.operators.replies import FEEDBACK_FIELDS, one_reply_per, with_feedback_reply
 from gaugeworks.operators.skew import attach
 
 
@@ -27,14 +27,16 @@ def keyword_counts(frame: DataFrame, key: str, text: str = "text") -> DataFrame:
     counted = with_keyword_counts(frame.select(key, text), text)
     # The outer form: for the inner one the optimizer would copy the whole computation into a size > 0 filter.
     listed = counted.select(key, F.inline_outer("keywords")).where(F.col("keyword").isNotNull())
-    return listed.select(key, "keyword", "n", "first_pos")
+    return listed.select(key, "keyword", (-F.col("minus_n")).alias("n"), "first_pos")
 
 
 def ranked_keywords(frame: DataFrame, key: str, text: str = "text", n: int = C.TOP_KEYWORDS) -> DataFrame:
     """(key, rank, keyword, n): the n most frequent keywords per text, ties by first occurrence. No shuffle."""
     counted = with_keyword_counts(frame.select(key, text), text)
-    ranked = counted.select(key, F.posexplode_outer(F.slice("keywords", 1, n)).alias("pos", "k"))
-    return ranked.where(F.col("pos").isNotNull()).select(key, (F.col("pos") + 1).alias("rank"), F.col("k.keyword"), F.col("k.n"))
+    listed = counted.select(key, F.posexplode_outer(F.slice(ranked("keywords"), 1, n)).alias("pos", "k"))
+    return listed.where(F.col("pos").isNotNull()).select(
+        key, (F.col("pos") + 1).alias("rank"), F.col("k.keyword"), (-F.col("k.minus_n")).alias("n")
+    )
 
 
 def match_pairs(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C.TOP_KEYWORDS) -> DataFrame:
@@ -43,22 +45,22 @@ def match_pairs(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C
     Each pair is taken once. `matched` and `missing` keep the rank order of the job's keywords; score is the matched share in percent.
     """
     wanted = with_keyword_counts(jds.select("jd_id", "text"), "text").select(
-        "jd_id", top_keywords(F.col("keywords"), n).alias("wanted")
+        "jd_id", F.slice(F.transform(ranked("keywords"), lambda k: k["keyword"]), 1, n).alias("wanted")
     )
     offered = resumes.select("resume_id", F.array_distinct(keyword_tokens(F.col("text"))).alias("offered"))
     # The job side adds a few words per pair, the resume side a whole vocabulary: it is joined last.
     each = pairs.select("resume_id", "jd_id").distinct()
     joined = attach(each, wanted, "jd_id", spread_by=["resume_id"], how="inner")
-    joined = attach(joined, offered, "resume_id", spread_by=["jd_id"], how="inner")
-    compared = joined.select(
+    joined = attach(joined, offered, "resume_id", spread_by=["jd_id"], how="inner", keys_of=each)
+    compared = joined.select("resume_id", "jd_id", "wanted", F.array_intersect("wanted", "offered").alias("matched"))
+    share = F.size("matched").cast("double") / F.greatest(F.size("wanted"), F.lit(1))
+    return compared.select(
         "resume_id",
         "jd_id",
-        F.array_intersect("wanted", "offered").alias("matched"),
-        F.array_except("wanted", "offered").alias("missing"),
+        round_half_even(share * 100.0).cast("int").alias("score"),
+        "matched",
+        F.array_except("wanted", "matched").alias("missing"),
     )
-    found, wanted_n = F.size("matched"), F.size("matched") + F.size("missing")
-    score = round_half_even(found.cast("double") / F.greatest(wanted_n, F.lit(1)) * 100.0).cast("int")
-    return compared.select("resume_id", "jd_id", score.alias("score"), "matched", "missing")
 
 
 def keyword_coverage(matches: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def candidate_feedback(matches: DataFrame, replies: DataFrame | None = None) ->
     if replies is None:
         return matches.select(*ids, "score", *[c.alias(name) for name, c in fallback.items()])
     joined = matches.join(one_reply_per(replies, *ids), ids, "left")
-    joined = joined.withColumn("_given", validate_feedback(F.col("reply"), fallback))
+    joined = with_feedback_reply(joined, fallback, out="_given")
     valid = F.col("_given").isNotNull()
     asked = F.coalesce(F.col("reply"), F.lit("")) != ""
     fields = {name: F.when(valid, F.col("_given")[name]).otherwise(fallback[name]) for name in FEEDBACK_FIELDS}
@@ -108,7 +110,9 @@ def candidate_prompts(matches: DataFrame, resumes: DataFrame, jds: DataFrame) ->
         return frame.select(key, redact(truncate(F.col("text"))).alias(out))
 
     joined = attach(matches, safe(jds, "jd_id", "_jd"), "jd_id", spread_by=["resume_id"], how="inner")
-    joined = attach(joined, safe(resumes, "resume_id", "_resume"), "resume_id", spread_by=["jd_id"], how="inner")
+    joined = attach(
+        joined, safe(resumes, "resume_id", "_resume"), "resume_id", spread_by=["jd_id"], how="inner", keys_of=matches
+    )
     prompt = fill(
         W.CANDIDATE_PROMPT,
         keys=F.lit(", ".join(FEEDBACK_FIELDS)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
 from gaugeworks import wording as W
-from gaugeworks.functions.replies import as_list, has_key, parse_object, sanitize_list
+from gaugeworks.functions.replies import as_list, no_items, object_keys, parse_object, sanitize_list
 from gaugeworks.functions.text import strip
 from gaugeworks.operators import triage as triage_rules
 from gaugeworks.operators.skew import attach
@@ -36,21 +36,24 @@ def one_reply_per(replies: DataFrame, *keys: str) -> DataFrame:
     return replies.dropna(subset=list(keys)).groupBy(*keys).agg(F.max("reply").alias("reply"))
 
 
-def parse_triage_reply(reply: Column) -> Column:
-    """Struct of the 14 reply fields; null for a reply that is no JSON object or whose score is no number."""
-    parsed = parse_object(reply, MERGED)
-    fields = {name: parsed[name] for name in MERGED}
-    fields["risk_score"] = parsed["risk_score"].try_cast("double").try_cast("int")
-    for name in LISTS:
-        fields[name] = as_list(parsed[name])
-    readable = parsed.isNotNull() & (parsed["risk_score"].isNull() | fields["risk_score"].isNotNull())
-    return F.when(readable, F.struct(*[c.alias(name) for name, c in fields.items()]))
+def with_triage_reply(frame: DataFrame, reply: str = "reply", out: str = "parsed") -> DataFrame:
+    """Add `out`: struct of the 14 reply fields; null for a reply that is no JSON object or whose score is no number.
+
+    The parse is a projection of its own: inlined into each field it would run once per field.
+    """
+    raw, score, lists = F.col("_raw"), F.col("_score"), {name: f"_{name}" for name in LISTS}
+    frame = frame.withColumn("_raw", parse_object(F.col(reply), MERGED)).withColumns(
+        {"_score": raw["risk_score"].try_cast("double").try_cast("int")}
+        | {column: as_list(raw[name]) for name, column in lists.items()}
+    )
+    fields = {name: F.col(lists[name]) if name in lists else raw[name] for name in MERGED} | {"risk_score": score}
+    readable = raw.isNotNull() & (raw["risk_score"].isNull() | score.isNotNull())
+    parsed = F.when(readable, F.struct(*[c.alias(name) for name, c in fields.items()]))
+    return frame.withColumn(out, parsed).drop("_raw", "_score", *lists.values())
 
 
 def parsed_replies(replies: DataFrame, key: str = "ticket_id") -> DataFrame:
-    return replies.withColumn("parsed", parse_triage_reply(F.col("reply"))).select(
-        key, F.col("parsed").isNotNull().alias("is_valid"), "parsed.*"
-    )
+    return with_triage_reply(replies).select(key, F.col("parsed").isNotNull().alias("is_valid"), "parsed.*")
 
 
 def merge_triage(scored: DataFrame, replies: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def merge_triage(scored: DataFrame, replies: DataFrame) -> DataFrame:
         scored, one_reply_per(replies, "ticket_id"), "ticket_id",
         spread_by=[c for c in ("customer_id", "created_at", "agent", "customer_message") if c in scored.columns],
     )
-    merged = triage_rules.with_triage(joined).withColumn("_parsed", parse_triage_reply(F.col("reply")))
+    merged = with_triage_reply(triage_rules.with_triage(joined), out="_parsed")
     valid = F.col("_parsed").isNotNull()
     asked = F.coalesce(F.col("reply"), F.lit("")) != ""
     fields = {name: F.coalesce(F.col("_parsed")[name], F.col("triage")[name]) for name in MERGED}
@@ -73,19 +76,22 @@ def merge_triage(scored: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def validate_feedback(reply: Column, fallback: dict[str, Column]) -> Column:
-    """Struct of the six feedback fields with per-field fallback and size limits; null if the reply is no object."""
-    parsed = parse_object(reply, FEEDBACK_FIELDS)
+def with_feedback_reply(
+    frame: DataFrame, fallback: dict[str, Column], reply: str = "reply", out: str = "parsed"
+) -> DataFrame:
+    """Add `out`: struct of the six feedback fields with per-field fallback and size limits; null if there is no object."""
+    raw, keys = F.col("_raw"), F.col("_keys")
+    frame = frame.withColumns({"_raw": parse_object(F.col(reply), FEEDBACK_FIELDS), "_keys": object_keys(F.col(reply))})
     fields = {}
     for name in FEEDBACK_FIELDS:
         if name == "overall_feedback":
-            given = F.nullif(parsed[name], F.lit(""))
+            given = F.nullif(raw[name], F.lit(""))
             fields[name] = F.substring(strip(F.coalesce(given, fallback[name])), 1, C.MAX_REPLY_CHARS)
         else:
             # A key that is there but holds no list counts as an empty list.
-            fields[name] = F.when(has_key(reply, name), sanitize_list(as_list(parsed[name]))).otherwise(
-                sanitize_list(fallback[name])
-            )
+            items = F.when(F.array_contains(keys, name), F.coalesce(as_list(raw[name]), no_items()))
+            fields[name] = sanitize_list(F.coalesce(items, fallback[name]))
     trace = fields["agent_trace"]
     fields["agent_trace"] = F.when(F.size(trace) > 0, trace).otherwise(fallback["agent_trace"])
-    return F.when(parsed.isNotNull(), F.struct(*[c.alias(name) for name, c in fields.items()]))
+    parsed = F.when(raw.isNotNull(), F.struct(*[c.alias(name) for name, c in fields.items()]))
+    return frame.withColumn(out, parsed).drop("_raw", "_keys")

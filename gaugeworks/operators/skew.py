@@ -26,14 +26,21 @@ def hot_keys(frame: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
 
 
 def attach(
-    left: DataFrame, right: DataFrame, key: str, spread_by: list[str], how: str = "left", share: float = HOT_SHARE
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: list[str],
+    how: str = "left",
+    keys_of: DataFrame | None = None,
+    share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join `right`, which holds one row per key, onto `left`.
 
     Rows of a hot key are spread over salts by the hash of `spread_by` and the key's single right row is copied to each:
-    fewer than 2 / share copies in all. Null keys match nothing and are spread too.
+    fewer than 2 / share copies in all. Null keys match nothing and are spread too. Where `left` is costly to compute,
+    `keys_of` names a cheaper frame with the same keys to look for hot ones in.
     """
-    hot = F.broadcast(hot_keys(left, key, share))
+    hot = F.broadcast(hot_keys(left if keys_of is None else keys_of, key, share))
     salts = F.when(F.col(key).isNull(), F.lit(round(1 / share))).otherwise(F.coalesce("_salts", F.lit(1)))
     salted_left = (
         left.join(hot, key, "left")

@@ -136,14 +136,13 @@ def dataset_summary(frame: DataFrame, template: str) -> DataFrame:
 
 def customers_to_contact(scored: DataFrame) -> DataFrame:
     """Customers with a negative ticket, those with a breached one first."""
-    upset = scored.where(is_negative(F.col("sentiment")) & F.col("customer_id").isNotNull())
-    return (
-        upset.groupBy("customer_id")
-        .agg(
-            F.count("*").alias("negative_tickets"),
-            F.count_if("sla_breached").alias("breached_negative_tickets"),
-            F.max("escalation_risk_score").alias("highest_risk_score"),
-        )
-        .orderBy(F.desc(F.col("breached_negative_tickets") > 0), F.desc("highest_risk_score"), "customer_id")
+    negative = is_negative(F.col("sentiment"))
+    # Counted first, filtered after: a filter on the label would be pushed below it and evaluate the word lists again.
+    counted = scored.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.count_if(negative).alias("negative_tickets"),
+        F.count_if(negative & F.col("sla_breached")).alias("breached_negative_tickets"),
+        F.max(F.when(negative, F.col("escalation_risk_score"))).alias("highest_risk_score"),
+    )
+    return counted.where("negative_tickets > 0").orderBy(
+        F.desc(F.col("breached_negative_tickets") > 0), F.desc("highest_risk_score"), "customer_id"
     )
-
