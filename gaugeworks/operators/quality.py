@@ -11,6 +11,7 @@ from gaugeworks import constants as C
 from gaugeworks.functions.dates import parse_time
 from gaugeworks.functions.numeric import count_if
 from gaugeworks.functions.text import fill, is_blank, present
+from gaugeworks.operators.skew import attach, broadcast_if_small
 
 
 def _missing(frame: DataFrame) -> Column:
@@ -82,20 +83,18 @@ def quality_report(frame: DataFrame) -> DataFrame:
 def duplicate_rows(frame: DataFrame, key: str = "ticket_id", order_by: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Rows that repeat an id, with `later_occurrences`: how many of their copies come after the id's first row.
 
-    Rows are ordered by `order_by`, then by their other columns. The first row per id is a minimum, so a hot id is
-    combined map-side instead of being sorted in one window; equal copies are counted the same way.
+    Rows are ordered by `order_by`, then by their other columns. Only ids are shuffled to find the repeated ones; if these
+    are few, the table itself is never shuffled. Copies are counted and first rows found by combinable aggregates, and a
+    hot id is spread when the two meet, so no task holds all rows of an id.
     """
     rest = [c for c in frame.columns if c != key and c not in order_by]
+    repeated = frame.groupBy(key).count().where("count > 1").select(F.col(key).alias("_id"))
+    rows = frame.join(broadcast_if_small(repeated), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    # Null is an id like any other here, so it gets a text to join on.
+    id_text = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    copies = rows.groupBy(*frame.columns).agg(F.count("*").alias("_copies")).withColumn("_key", id_text)
     row = F.struct(*order_by, *rest)
-    repeated = (
-        frame.groupBy(key)
-        .agg(F.count("*").alias("_n"), F.min(row).alias("_first"))
-        .where(F.col("_n") > 1)
-        .select(F.col(key).alias("_id"), "_first")
-    )
-    rows = frame.join(repeated, F.col(key).eqNullSafe(F.col("_id")))
-    # min(struct) also orders nulls first, so equality has to be null-safe.
-    is_first = row.eqNullSafe(F.col("_first"))
-    counted = rows.groupBy(*frame.columns).agg(F.count("*").alias("_copies"), F.max(is_first).alias("_is_first"))
-    later = F.col("_copies") - F.col("_is_first").cast("bigint")
-    return counted.withColumn("later_occurrences", later).where("later_occurrences > 0").drop("_copies", "_is_first")
+    firsts = copies.groupBy("_key").agg(F.min(row).alias("_first"))
+    later = F.col("_copies") - F.when(row.eqNullSafe(F.col("_first")), 1).otherwise(0)
+    joined = attach(copies, firsts, "_key", spread_by=[*order_by, *rest], how="inner")
+    return joined.select(*frame.columns, later.alias("later_occurrences")).where("later_occurrences > 0")

@@ -3,28 +3,43 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.session import materialize
+
 HOT_SHARE = 0.002
-TRACKED_ITEMS = 10_000
+# The sketch's error is below 4 / size, so keys above HOT_SHARE are found.
+SKETCH_SIZE = 4096
+SKETCH_GROUPS = 512
+SMALL_ROWS = 100_000
 
 
 def hot_keys(frame: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """(key, salts): keys holding more than `share` of the rows, and how many parts of at most that size they need.
 
-    A frequent-items sketch finds them in one pass over the key column, without a shuffle. Fewer than 1 / share keys
+    A frequent-items sketch finds them in one pass over the key column, without a shuffle of rows. Sketches of the input
+    partitions are merged in groups, then once more, so that no task has to merge all of them. Fewer than 1 / share keys
     can qualify, so the result is small whatever the input; its counts only steer the spreading, never the result.
     """
-    k = round(1 / share)
-    sketch = frame.agg(
-        F.expr(f"approx_top_k(`{key}`, {k}, {max(TRACKED_ITEMS, 4 * k)})").alias("items"),
-        F.count(key).alias("total"),
+    k, size = round(1 / share), max(SKETCH_SIZE, round(8 / share))
+    merged = (
+        frame.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_group"))
+        .agg(F.expr(f"approx_top_k_accumulate(`{key}`, {size})").alias("sketch"), F.count(key).alias("total"))
+        # A constant key instead of none: without rows there is nothing to combine.
+        .groupBy(F.lit(0).alias("_all"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {size})").alias("sketch"), F.sum("total").alias("total"))
     )
-    found = sketch.select("total", F.explode("items").alias("hot"))
+    found = merged.select("total", F.explode(F.expr(f"approx_top_k_estimate(sketch, {k})")).alias("hot"))
     return found.where(F.col("hot.item").isNotNull() & (F.col("hot.count") > F.col("total") * share)).select(
         F.col("hot.item").alias(key),
         F.ceil(F.col("hot.count") / (F.col("total") * share)).cast("int").alias("_salts"),
     )
 
 
+def broadcast_if_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Write the frame to the shared folder and count it: a broadcast up to `max_rows` rows, a plain side beyond."""
+    written = materialize(frame)
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,

@@ -109,3 +109,10 @@ def test_attach_parts_are_even(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
+def test_attach_without_rows_or_keys(spark):
+    right = spark.createDataFrame([("a", 1)], "k string, v int")
+    for rows in ([], [(None, 1), (None, 2)]):
+        left = spark.createDataFrame(rows, "k string, row int")
+        assert attach(left, right, "k", ["row"]).count() == len(rows)

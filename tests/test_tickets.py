@@ -244,3 +244,20 @@ def test_duplicate_rows(spark):
     got = {tuple(r) for r in quality.duplicate_rows(frame).collect()}
     assert got == {("a", 2, "x", 2), ("a", 1, "y", 1), (None, 1, "p", 1)}
     assert sum(g[3] for g in got) == quality.duplicate_count(frame).first()[0]
+
+
+def test_duplicates_of_a_hot_id_against_brute_force(spark, monkeypatch):
+    """A third of the rows under one id, half of those equal copies; few or many repeated ids give the same result."""
+    from gaugeworks.operators import skew
+
+    rows = [("hot", 5, "copy")] * 100 + [("hot", i % 7, f"n{i}") for i in range(100)] + [(f"t{i // 2}", i, "x") for i in range(400)]
+    frame = spark.createDataFrame(rows, "ticket_id string, created_at int, note string").repartition(4)
+    seen, want = set(), {}
+    for r in sorted(rows):
+        if r[0] in seen:
+            want[r] = want.get(r, 0) + 1
+        seen.add(r[0])
+    assert {tuple(r)[:3]: r.later_occurrences for r in quality.duplicate_rows(frame).collect()} == want
+    broadcast = skew.broadcast_if_small
+    monkeypatch.setattr(quality, "broadcast_if_small", lambda ids: broadcast(ids, max_rows=1))
+    assert {tuple(r)[:3]: r.later_occurrences for r in quality.duplicate_rows(frame).collect()} == want
