@@ -29,7 +29,9 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-           "spark.ui.showConsoleProgress": "false"},
+           "spark.ui.showConsoleProgress": "false",
+           # The tables are small: keep all cores busy after a shuffle of little data.
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

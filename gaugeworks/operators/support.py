@@ -108,21 +108,22 @@ def dataset_summary(frame: DataFrame, template: str) -> DataFrame:
     The SLA and department columns are found by their names, as a frame from elsewhere may call them differently.
     """
     breached, department = find_column(frame, "sla", "breach"), find_column(frame, "department")
-    unknown = F.lit("N/A")
-    totals = frame.agg(
-        F.count("*").alias("total_tickets"),
-        (
-            percent(F.count_if(F.col(breached).cast("boolean")), F.count(F.col(breached)), 1) if breached
-            else F.max(F.lit(None).cast("double"))
-        ).alias("sla_breach_rate"),
+    unknown, nothing = F.lit("N/A"), F.lit(None).cast("boolean")
+    flags = frame.select(
+        (F.col(department).cast("string") if department else F.lit(None).cast("string")).alias("name"),
+        (F.col(breached).cast("boolean") if breached else nothing).alias("late"),
+    )
+    # Counted per department once; totals and the leader are aggregates of those counts.
+    counted = flags.groupBy("name").agg(
+        F.count("*").alias("n"), F.count("late").alias("known"), F.count_if("late").alias("late")
+    )
+    summary = counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total_tickets"),
+        percent(F.sum("late"), F.sum("known"), 1).alias("sla_breach_rate"),
+        F.coalesce(F.min_by("name", F.struct(F.col("name").isNull(), -F.col("n"), F.col("name"))), unknown).alias(
+            "top_department"
+        ),
     )
-    top = F.lit(None).cast("string")
-    if department:
-        counted = frame.where(F.col(department).isNotNull()).groupBy(F.col(department).alias("name")).agg(
-            F.count("*").alias("n")
-        )
-        top = first_by(counted, -F.col("n"), F.col("name"), take=["name"])["name"]
-    summary = totals.withColumn("top_department", F.coalesce(top, unknown))
     return summary.withColumn(
         "summary",
         fill(

@@ -12,6 +12,20 @@ SETTINGS = {
     # Splits join partitions that one hot key blows up.
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def settings_for(shuffled_bytes: int) -> dict[str, str]:
+    """Settings for jobs that shuffle about so many bytes: partitions of 128 MB, which adaptive execution may merge.
+
+    Wide row-local queries shuffle only aggregates; the largest shuffles here are the joins with replies (tickets plus
+    replies) and with resumes (their keywords).
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, -(-shuffled_bytes // PARTITION_BYTES))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+    }
 
 
 def build_session(app: str = "gaugeworks", master: str | None = None, **conf) -> SparkSession:
