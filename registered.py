@@ -18,7 +18,7 @@ from gaugeworks.operators.measures import rollup
 from gaugeworks.plans import reports
 from gaugeworks.session import materialize, scratch_path
 from gaugeworks.sources import sinks, tables
-from gaugeworks.sources.driver_views import AS_OF, DriverViews
+from gaugeworks.sources.driver_views import AS_OF, SCHEMAS, DriverViews
 from gaugeworks.streaming import tickets as ticket_stream
 
 QUERIES = {}
@@ -419,8 +419,7 @@ def guarded_csv(v, spark, folder):
 
 
 def _streamed(spark: SparkSession, folder: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/orders.parquet").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
+    orders = spark.readStream.schema(SCHEMAS["orders"]).option("pathGlobFilter", "orders.parquet").parquet(folder)
     return risk.add_risk(DriverViews(spark, folder, orders=orders).tickets, AS_OF)
 
 
