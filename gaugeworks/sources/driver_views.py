@@ -129,11 +129,11 @@ BUSY_TABLES = ("orders", "lineitem", "documents")
 
 
 def use_all_cores(frame: DataFrame) -> DataFrame:
-    """Spread a table that comes in fewer parts than there are cores, as a small file of one row group does.
+    """Spread a table that comes in a handful of parts over the cores, as a small file has one row group.
 
     A table with more parts, thus any large one, is left as it is read.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
+    cores = min(frame.sparkSession.sparkContext.defaultParallelism, 16)
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
