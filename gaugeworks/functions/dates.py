@@ -1,8 +1,12 @@
 """Timestamps without a zone."""
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+EPOCH = datetime(1970, 1, 1)
+
 
 def parse_time(value: Column, lenient: bool = False, formats: tuple[str, ...] = ()) -> Column:
     """To TIMESTAMP_NTZ. Bad text raises, or is null if `lenient`; `formats` are tried after ISO forms."""
@@ -16,3 +20,17 @@ def parse_time(value: Column, lenient: bool = False, formats: tuple[str, ...] =
 def hours_between(start: Column, end: Column) -> Column:
     """Exact to the microsecond; null if either is null."""
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3.6e9)
+
+
+def literal_time(value: datetime) -> Column:
+    """A naive datetime as it reads; `lit` alone would take it for an instant in the zone of the machine."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def to_instant(value: Column) -> Column:
+    """TIMESTAMP_NTZ, read as UTC, to TIMESTAMP; independent of the session zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", literal_time(EPOCH), value))
+
+
+def from_instant(value: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(value), literal_time(EPOCH))

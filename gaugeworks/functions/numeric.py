@@ -37,11 +37,12 @@ def points(value: Column, table: dict) -> Column:
     return chain.otherwise(F.lit(0))
 
 
-def lenient_int(value: Column, default: int) -> Column:
-    """Number or numeric text to INT, fraction cut off; `default` for null and for anything else."""
-    return F.coalesce(value.try_cast("double").try_cast("int"), F.lit(default))
+def decimal_number(value: Column) -> Column:
+    """Decimal text or a number to DOUBLE; null for anything else, also for the forms `2d` and `0x1p3` a cast accepts."""
+    other = F.translate(value.cast("string"), "0123456789+-.eE \t\r\n", "")
+    return F.when(other == "", value.try_cast("double"))
 
 
-def count_if(condition: Column) -> Column:
-    """Rows where `condition` holds; 0 for an empty input."""
-    return F.count_if(condition)
+def lenient_int(value: Column, default: int) -> Column:
+    """Number or decimal text to INT, fraction cut off; `default` for null and for anything else."""
+    return F.coalesce(decimal_number(value).try_cast("int"), F.lit(default))

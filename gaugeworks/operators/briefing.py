@@ -17,7 +17,7 @@ from gaugeworks.functions.replies import as_list, no_items, parse_object
 from gaugeworks.functions.text import fill, lines, numbered, present, whole_number
 from gaugeworks.operators import support
 from gaugeworks.operators.measures import rollup
-from gaugeworks.operators.risk import TOP_COLUMNS, ensure_scored, is_scored, top_risk_tickets
+from gaugeworks.operators.risk import TOP_COLUMNS, ensure_scored, is_scored
 from gaugeworks.operators.sla import sla_summary
 from gaugeworks.session import materialize
 

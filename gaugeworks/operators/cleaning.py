@@ -45,10 +45,11 @@ def clean_tickets(frame: DataFrame) -> DataFrame:
     """Strip column names and text, make the counters whole numbers. Nulls in text stay null."""
     frame = strip_column_names(frame)
     cleaned = {name: strip(F.col(name).cast("string")) for name in C.TRIMMED_COLUMNS if name in frame.columns}
+    types = dict(frame.dtypes)
     cleaned |= {
-        name: lenient_int(F.col(name), default)
+        name: F.coalesce(F.col(name), F.lit(default)) if types[name] == "int" else lenient_int(F.col(name), default)
         for name, default in C.INTEGER_DEFAULTS.items()
-        if name in frame.columns
+        if name in types
     }
     return frame.withColumns(cleaned)
 

@@ -42,7 +42,8 @@ def ranked_keywords(frame: DataFrame, key: str, text: str = "text", n: int = C.T
 def match_pairs(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C.TOP_KEYWORDS) -> DataFrame:
     """(resume_id, jd_id, score, matched, missing) for each pair whose two texts exist.
 
-    Each pair is taken once. `matched` and `missing` keep the rank order of the job's keywords; score is the matched share in percent.
+    Each pair is taken once. `matched` and `missing` keep the rank order of the job's keywords; score is the matched share
+    in percent.
     """
     wanted = with_keyword_counts(jds.select("jd_id", "text"), "text").select(
         "jd_id", F.slice(F.transform(ranked("keywords"), lambda k: k["keyword"]), 1, n).alias("wanted")

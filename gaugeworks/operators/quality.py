@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 from gaugeworks import constants as C
 from gaugeworks.functions.dates import parse_time
-from gaugeworks.functions.numeric import count_if
 from gaugeworks.functions.text import fill, is_blank, present
 from gaugeworks.operators.skew import attach, broadcast_if_small
 
@@ -25,7 +24,7 @@ def _missing(frame: DataFrame) -> Column:
 
 
 def _outside(name: str, domain) -> Column:
-    return count_if(~F.coalesce(F.col(name).isin(*domain), F.lit(False)))
+    return F.count_if(~F.coalesce(F.col(name).isin(*domain), F.lit(False)))
 
 
 def _bad_dates(frame: DataFrame) -> Column:
@@ -34,7 +33,7 @@ def _bad_dates(frame: DataFrame) -> Column:
         if name in frame.columns:
             unreadable = parse_time(F.col(name), lenient=True).isNull()
             # An open ticket has no closing time.
-            bad = bad + count_if(unreadable & F.col(name).isNotNull() if name == "closed_at" else unreadable)
+            bad = bad + F.count_if(unreadable & F.col(name).isNotNull() if name == "closed_at" else unreadable)
     return bad
 
 
@@ -57,7 +56,7 @@ def quality_report(frame: DataFrame) -> DataFrame:
         (_outside("priority", C.PRIORITIES) if "priority" in has else F.max(zero)).alias("invalid_priority_count"),
         (_outside("status", C.STATUSES) if "status" in has else F.max(zero)).alias("invalid_status_count"),
         _bad_dates(frame).alias("invalid_date_count"),
-        (count_if(is_blank(F.col("customer_message"))) if "customer_message" in has else F.max(zero)).alias(
+        (F.count_if(is_blank(F.col("customer_message"))) if "customer_message" in has else F.max(zero)).alias(
             "missing_message_count"
         ),
     ).withColumn(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
 from gaugeworks.functions.text import fill, strip, truncate
+from gaugeworks.operators.replies import one_reply_per
 
 
 def ask(
@@ -20,7 +21,7 @@ def ask(
 
 
 def answer(asked: DataFrame, replies: DataFrame, key: str = "question_id") -> DataFrame:
-    """(key, answer): the stripped reply, or the fallback where there is none. `replies` holds one row per key."""
-    joined = asked.join(replies.select(key, "reply"), key, "left")
+    """(key, answer): the stripped reply, or the fallback where there is none."""
+    joined = asked.join(one_reply_per(replies, key), key, "left")
     given = F.when(F.col("reply") != "", strip(F.col("reply")))
     return joined.select(key, F.coalesce(given, F.col("fallback_answer")).alias("answer"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
-from gaugeworks.functions.dates import hours_between, parse_time
+from gaugeworks.functions.dates import hours_between, literal_time, parse_time
 from gaugeworks.operators.measures import average, rate, summarise, total
 
 
@@ -31,7 +31,7 @@ def add_sla(
     default, then that status does not occur. A ticket without a due time is never breached.
     """
     frame = prepare_dates(frame, lenient)
-    due, closed, now = F.col("sla_due_at"), F.col("closed_at"), F.lit(as_of).cast("timestamp_ntz")
+    due, closed, now = F.col("sla_due_at"), F.col("closed_at"), literal_time(as_of)
     status = F.when(closed.isNotNull(), F.when(closed > due, "Breached").otherwise("Met")).when(now > due, "Breached")
     if at_risk_hours is not None:
         status = status.when(hours_between(now, due) <= at_risk_hours, "At Risk")

@@ -23,8 +23,12 @@ def _number(name: str, default: int) -> Column:
     return F.coalesce(F.col(name).cast("int"), F.lit(default))
 
 
-SCORE = lambda: _number("escalation_risk_score", 0)
-LEVEL = lambda: F.col("action_level")
+def _score() -> Column:
+    return _number("escalation_risk_score", 0)
+
+
+def _level() -> Column:
+    return F.col("action_level")
 
 
 def action_level() -> Column:
@@ -36,9 +40,9 @@ def action_level() -> Column:
     )
     critical, review, monitor, normal = C.ACTION_LEVELS
     return (
-        F.when((SCORE() >= C.CRITICAL_SCORE) | urgent, critical)
-        .when(SCORE() >= C.REVIEW_SCORE, review)
-        .when(SCORE() >= C.MONITOR_SCORE, monitor)
+        F.when((_score() >= C.CRITICAL_SCORE) | urgent, critical)
+        .when(_score() >= C.REVIEW_SCORE, review)
+        .when(_score() >= C.MONITOR_SCORE, monitor)
         .otherwise(normal)
     )
 
@@ -47,7 +51,7 @@ def per_level(texts, **slots: Column) -> Column:
     """The text that belongs to the row's action level."""
     chain = F
     for level, text in zip(C.ACTION_LEVELS[:-1], texts):
-        chain = chain.when(LEVEL() == level, fill(text, **slots))
+        chain = chain.when(_level() == level, fill(text, **slots))
     return chain.otherwise(fill(texts[-1], **slots))
 
 
@@ -55,9 +59,9 @@ def business_impact() -> Column:
     upset = is_negative(F.col("sentiment")) & (_number("customer_rating", 3) <= C.LOW_RATING)
     churn, escalation, moderate, low = C.IMPACTS
     return (
-        F.when((SCORE() >= C.CRITICAL_SCORE) | upset, churn)
-        .when((_text("status") == "Escalated") | (SCORE() >= C.REVIEW_SCORE), escalation)
-        .when(SCORE() >= C.MONITOR_SCORE, moderate)
+        F.when((_score() >= C.CRITICAL_SCORE) | upset, churn)
+        .when((_text("status") == "Escalated") | (_score() >= C.REVIEW_SCORE), escalation)
+        .when(_score() >= C.MONITOR_SCORE, moderate)
         .otherwise(low)
     )
 
@@ -74,7 +78,7 @@ def risk_factors() -> Column:
         (contacts >= C.MANY_CONTACTS, fill(line["contacts"], contacts=contacts)),
         (rating <= C.LOW_RATING, fill(line["rating"], rating=rating)),
         (_text("status") == "Escalated", F.lit(line["escalated"])),
-        (SCORE() >= C.CRITICAL_SCORE, F.lit(line["score"])),
+        (_score() >= C.CRITICAL_SCORE, F.lit(line["score"])),
     )
 
 
@@ -85,7 +89,7 @@ def or_no_factor(found: Column) -> Column:
 def customer_reply() -> Column:
     issue = F.lower(_text("issue_type", "request"))
     return (
-        F.when(LEVEL().isin(*C.ACTION_LEVELS[:2]), fill(W.REPLY_URGENT, issue=issue))
+        F.when(_level().isin(*C.ACTION_LEVELS[:2]), fill(W.REPLY_URGENT, issue=issue))
         .when(is_negative(F.col("sentiment")), fill(W.REPLY_UPSET, issue=issue))
         .when(_text("sla_status") == "At Risk", fill(W.REPLY_DUE_SOON, issue=issue))
         .otherwise(fill(W.REPLY_STANDARD, issue=issue))
@@ -96,10 +100,10 @@ def manager_note() -> Column:
     return fill(
         W.MANAGER_NOTE,
         ticket_id=_text("ticket_id", "Unknown"),
-        level=LEVEL(),
+        level=_level(),
         department=_text("department", "Support"),
         issue=_text("issue_type", "Unknown"),
-        score=SCORE(),
+        score=_score(),
         factors=join(F.col("risk_factors"), "; "),
     )
 
@@ -110,8 +114,8 @@ def trace() -> Column:
         sla_status=_text("sla_status", "Unknown"),
         sentiment=_text("sentiment", "Unknown"),
         contacts=_number("previous_contacts", 0),
-        score=SCORE(),
-        level=LEVEL(),
+        score=_score(),
+        level=_level(),
     )
     return F.array(*[fill(line, **slots) for line in (*W.TRACE, W.TRACE_RULES)])
 
@@ -124,11 +128,11 @@ def with_triage(scored: DataFrame) -> DataFrame:
     staged = staged.withColumn("risk_factors", or_no_factor(F.col("_found"))).drop("_found")
     made = {
         "ticket_id": F.col("ticket_id"),
-        "risk_score": SCORE(),
+        "risk_score": _score(),
         "risk_level": _text("risk_level", "Unknown"),
         "sla_status": _text("sla_status", "Unknown"),
         "sentiment": _text("sentiment", "Unknown"),
-        "action_level": LEVEL(),
+        "action_level": _level(),
         "recommended_action": per_level(W.ACTIONS, department=department),
         "routing_recommendation": per_level(W.ROUTES, department=department),
         "urgency": per_level(C.URGENCIES),

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from gaugeworks import constants as C
 from gaugeworks import schemas
 from gaugeworks.functions.dates import parse_time
+from gaugeworks.functions.numeric import decimal_number
 from gaugeworks.functions.text import is_blank
 from gaugeworks.operators.cleaning import strip_column_names
 
@@ -65,8 +66,7 @@ def cast_to(frame: DataFrame, schema: T.StructType, lenient: bool = True) -> Dat
         if isinstance(kind, T.TimestampNTZType):
             return parse_time(F.col(name), lenient)
         if isinstance(kind, T.IntegerType):
-            number = F.col(name).try_cast("double")
-            return number.try_cast("int") if lenient else F.col(name).cast("double").cast("int")
+            return decimal_number(F.col(name)).try_cast("int") if lenient else F.col(name).cast("double").cast("int")
         return F.col(name).try_cast(kind) if lenient else F.col(name).cast(kind)
 
     return frame.withColumns({c: one(c) for c in frame.columns if c in types})

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugeworks.functions.dates import from_instant, to_instant
+
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write new rows to parquet exactly once, stop when the input known at the start is done."""
@@ -13,16 +15,16 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def breach_windows(scored: DataFrame, window: str = "7 days", delay: str = "1 day", by: str = "department") -> DataFrame:
     """Tickets and breaches per window of the creation time. State is dropped once a window is `delay` behind."""
-    # Watermarks need an instant; the session zone is UTC.
-    timed = scored.where(F.col(by).isNotNull()).withColumn("event_time", F.col("created_at").cast("timestamp"))
+    # Watermarks need an instant.
+    timed = scored.where(F.col(by).isNotNull()).withColumn("event_time", to_instant(F.col("created_at")))
     if timed.isStreaming:
         timed = timed.withWatermark("event_time", delay)
     counted = timed.groupBy(F.window("event_time", window).alias("w"), by).agg(
         F.count("*").alias("total_tickets"), F.count_if("sla_breached").alias("breached_tickets")
     )
     return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        from_instant(F.col("w.start")).alias("window_start"),
+        from_instant(F.col("w.end")).alias("window_end"),
         by, "total_tickets", "breached_tickets",
     )
 

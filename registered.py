@@ -412,8 +412,9 @@ def report_roundtrip(v, spark, folder):
 
 @query
 def guarded_csv(v, spark, folder):
-    path = scratch_path(spark, "suppliers") + ".csv"
-    sinks.write_csv(rollup(_scored(v), "department", "issue_type", "agent").select("department", "issue_type", "agent", "m_rows"), path)
+    path = scratch_path(spark, "volumes") + ".csv"
+    counted = rollup(_scored(v), "department", "issue_type", "agent")
+    sinks.write_csv(counted.select("department", "issue_type", "agent", "m_rows"), path)
     read = tables.read_guarded_csv(spark, path)
     return read.select("department", "issue_type", "agent", F.col("m_rows").cast("bigint").alias("tickets"))
 

@@ -32,8 +32,10 @@ def test_band_edges(spark):
 
 
 def test_lenient_int(spark):
-    values = ["3", "2.7", "-1.9", "many", "", None, "1e2"]
-    assert column(spark, values, "string", lambda v: numeric.lenient_int(v, 7)) == [3, 2, -1, 7, 7, 7, 100]
+    values = ["3", "2.7", "-1.9", "many", "", None, "1e2", " 3 ", "2d", "0x1p3", "NaN", "inf", "9e99"]
+    got = column(spark, values, "string", lambda v: numeric.lenient_int(v, 7))
+    assert got == [3, 2, -1, 7, 7, 7, 100, 3, 7, 7, 7, 7, 7]
+    assert column(spark, [2.7, float("nan"), None, 1e10], "double", lambda v: numeric.lenient_int(v, 7)) == [2, 7, 7, 7]
 
 
 def test_strip_matches_python(spark):

@@ -50,3 +50,14 @@ def test_late_rows_are_dropped(spark, tickets, tmp_path):
         windows = stream.breach_windows(risk.add_risk(read(str(folder))), delay="1 day")
         stream.upsert_to(windows, out, checkpoint).awaitTermination()
     assert sorted(r.total_tickets for r in stream.latest_windows(spark, out).collect()) == [1, 1]
+
+
+def test_windows_do_not_depend_on_the_session_zone(spark, tickets):
+    frame = risk.add_risk(tickets(dict(created_at=datetime(2025, 1, 1, 23)), dict(created_at=datetime(2025, 3, 30, 2, 30))))
+    want = sorted(map(str, stream.breach_windows(frame, "1 day").collect()))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(map(str, stream.breach_windows(frame, "1 day").collect())) == want
+        assert "2025, 1, 1, 0, 0" in want[0] or "2025, 1, 1, 0, 0" in want[1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
