@@ -3,13 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import exact_dedup, mixing, pii, token_rollup
+from gaugeworks.llm import bpe, exact_dedup, language, mixing, pii, simhash, spans, token_rollup, toxicity
 from gaugeworks.llm.common import WORD, SharedTables, read
 from gaugeworks.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -35,6 +40,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.edits(read(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "same_start_edited", "same_start_next",
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(read(spark, sf_dir)).taken()
 
@@ -43,6 +56,31 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(read(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir)
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.decode(bpe.encode(read(spark, sf_dir), path), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir)
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
-    "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup,
+    "op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_fingerprints": op4_fingerprints,
+    "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe,
+    "op10_language": op10_language,
 }
