@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, exact_dedup, language, mixing, pii, simhash, spans, token_rollup, toxicity
+from gaugeworks.llm import bpe, exact_dedup, language, mixing, pii, simhash, spans, suffix_dedup, token_rollup, toxicity
 from gaugeworks.llm.common import WORD, SharedTables, read
 from gaugeworks.llm.oracles import ORACLES
 
@@ -56,6 +56,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(read(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir)
     machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -81,6 +86,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_fingerprints": op4_fingerprints,
-    "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe,
-    "op10_language": op10_language,
+    "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language,
 }
