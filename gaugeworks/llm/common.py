@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from gaugeworks.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

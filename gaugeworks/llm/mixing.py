@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import WORD, SharedTables
+from gaugeworks.llm.common import SPACES, WORD, SharedTables
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -207,7 +207,7 @@ class Mixture:
             F.array_sort(F.collect_list(F.struct("block", "words", "uses"))).alias("blocks"),
         )
         each = self.rows.join(blocks, "row").withColumn("time", F.explode(F.expr("sequence(1L, most)")))
-        every_word = F.expr(r"filter(split(carried.text, '[\x20\x09-\x0D]+'), w -> w <> '')")
+        every_word = F.filter(F.split(F.col("carried.text"), SPACES), lambda w: w != "")
         mine = F.expr("filter(blocks, b -> b.uses >= time)")
         start = f"cast(greatest(first_word, b.block * {self.block_words}) - first_word + 1 AS INT)"
         return (

@@ -12,6 +12,7 @@ radius. Pairs within a bucket are never emitted: each bucket returns a star per
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -240,3 +241,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = tables.write(rooted.join(named, "root").select("bits", "component_id"), "classes")
     return marked.join(classes, "bits").select("doc_id", "bits", "component_id")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns: of each group of near duplicates the one with the smallest doc_id.
+
+    Rows that repeat both the id and the fingerprint are one document, of which one row stays.
+    """
+    found = near_duplicates(docs)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("bits").alias("_own")).distinct()
+
+    @F.pandas_udf("long")
+    def bits(bodies: pd.Series) -> pd.Series:
+        return pd.Series([signed(fingerprint(b or "")) for b in bodies], dtype="int64")
+
+    rows = docs.withColumn("_bits", bits("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_bits") == F.col("_own"))
+    return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_bits"]).drop("_bits")
