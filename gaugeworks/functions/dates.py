@@ -9,12 +9,19 @@ EPOCH = datetime(1970, 1, 1)
 
 
 def parse_time(value: Column, lenient: bool = False, formats: tuple[str, ...] = ()) -> Column:
-    """To TIMESTAMP_NTZ. Bad text raises, or is null if `lenient`; `formats` are tried after ISO forms."""
-    if not lenient:
+    """To TIMESTAMP_NTZ. `formats` are tried after ISO forms; text of no known form raises, or is null if `lenient`."""
+    if not lenient and not formats:
         return value.cast("timestamp_ntz")
     parsed = [value.try_cast("timestamp_ntz")]
     parsed += [F.try_to_timestamp(value.cast("string"), F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*parsed)
+    # The cast comes last: it is reached only by what no form could read, and raises.
+    return F.coalesce(*parsed, *([] if lenient else [value.cast("timestamp_ntz")]))
+
+
+def parse_date(value: Column, formats: tuple[str, ...] = ()) -> Column:
+    """To DATE; null for text of no known form."""
+    text = value.cast("string")
+    return F.coalesce(value.try_cast("date"), *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
 
 
 def hours_between(start: Column, end: Column) -> Column:

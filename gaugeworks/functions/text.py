@@ -13,8 +13,8 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(C.WHITESPACE))
 
 
-def redact(text: Column, max_chars: int | None = C.MAX_TEXT_CHARS) -> Column:
-    """Mask e-mail addresses, then phone-like runs, then prefixed ids; cut to `max_chars` unless that is None.
+def redact(text: Column, max_chars: int | None = None) -> Column:
+    """Mask e-mail addresses, then phone-like runs, then prefixed ids; cut to `max_chars` if that is given.
 
     The whole text is searched before the cut. `(?U)` gives \\b, \\d and \\s their Unicode meaning. Texts without an @ skip
     the first pattern and texts without a digit the other two, as these cannot match there.
@@ -29,8 +29,10 @@ def redact(text: Column, max_chars: int | None = C.MAX_TEXT_CHARS) -> Column:
     return masked if max_chars is None else F.substring(masked, 1, max_chars)
 
 
-def truncate(text: Column, max_chars: int = C.MAX_TEXT_CHARS) -> Column:
-    """Cut to `max_chars` and say so on a line of its own."""
+def truncate(text: Column, max_chars: int | None) -> Column:
+    """Cut to `max_chars` and say so on a line of its own; whole if that is None."""
+    if max_chars is None:
+        return text
     return F.when(
         F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit(C.TRUNCATION_MARK))
     ).otherwise(text)

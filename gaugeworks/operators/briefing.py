@@ -157,7 +157,7 @@ def briefing_prompt(brief: DataFrame) -> DataFrame:
             F.col("briefing_sections").alias("baseline_sections"),
             F.col("recommended_actions").alias("baseline_recommended_actions"),
         ),
-        {"pretty": "true", "ignoreNullFields": "false"},
+        {"ignoreNullFields": "false"},
     )
     keys = F.lit("briefing_sections, recommended_actions, agent_trace")
     return brief.select(

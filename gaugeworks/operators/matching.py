@@ -13,7 +13,7 @@ from gaugeworks.functions.keywords import keyword_tokens, ranked, with_keyword_c
 from gaugeworks.functions.numeric import round_half_even
 from gaugeworks.functions.text import bulleted, fill, join, lines, numbered, redact, strip, truncate
 from gaugeworks.operators.replies import FEEDBACK_FIELDS, one_reply_per, with_feedback_reply
-from gaugeworks.operators.skew import attach
+from gaugeworks.operators.skew import ROWS_PER_PART, attach, hot_keys
 
 
 def non_blank(frame: DataFrame, text: str = "text", max_chars: int | None = None) -> DataFrame:
@@ -39,21 +39,32 @@ def ranked_keywords(frame: DataFrame, key: str, text: str = "text", n: int = C.T
     )
 
 
-def match_pairs(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C.TOP_KEYWORDS) -> DataFrame:
+def match_pairs(
+    pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C.TOP_KEYWORDS, replies: DataFrame | None = None,
+    with_texts: bool = False, max_chars: int | None = None, rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
     """(resume_id, jd_id, score, matched, missing) for each pair whose two texts exist.
 
     Each pair is taken once. `matched` and `missing` keep the rank order of the job's keywords; score is the matched share
-    in percent.
+    in percent. `replies` (resume_id, jd_id, reply) adds the pair's reply, joined before the keyword arrays; `with_texts`
+    adds both redacted texts as `resume` and `jd`, which come along with the keywords, cut to `max_chars` if that is given.
     """
-    wanted = with_keyword_counts(jds.select("jd_id", "text"), "text").select(
-        "jd_id", F.slice(F.transform(ranked("keywords"), lambda k: k["keyword"]), 1, n).alias("wanted")
+    ids = ["resume_id", "jd_id"]
+
+    def texts(name: str) -> list[Column]:
+        return [redact(truncate(F.col("text"), max_chars), max_chars).alias(name)] if with_texts else []
+
+    wanted = with_keyword_counts(jds.select("jd_id", "text", *texts("jd")), "text").select(
+        "jd_id", F.slice(F.transform(ranked("keywords"), lambda k: k["keyword"]), 1, n).alias("wanted"), *(["jd"] * with_texts)
     )
-    offered = resumes.select("resume_id", F.array_distinct(keyword_tokens(F.col("text"))).alias("offered"))
+    offered = resumes.select("resume_id", F.array_distinct(keyword_tokens(F.col("text"))).alias("offered"), *texts("resume"))
     # The job side adds a few words per pair, the resume side a whole vocabulary: it is joined last.
-    each = pairs.select("resume_id", "jd_id").distinct()
-    joined = attach(each, wanted, "jd_id", spread_by=["resume_id"], how="inner")
-    joined = attach(joined, offered, "resume_id", spread_by=["jd_id"], how="inner", keys_of=each)
-    compared = joined.select("resume_id", "jd_id", "wanted", F.array_intersect("wanted", "offered").alias("matched"))
+    each = pairs.select(*ids).distinct()
+    narrow = each if replies is None else each.join(one_reply_per(replies, *ids), ids, "left").drop("dropped_replies")
+    joined = attach(narrow, wanted, "jd_id", ["resume_id"], hot_keys(pairs, "jd_id", rows_per_part), "inner")
+    joined = attach(joined, offered, "resume_id", ["jd_id"], hot_keys(pairs, "resume_id", rows_per_part), "inner")
+    more = [*(["reply"] if replies is not None else []), *(["resume", "jd"] * with_texts)]
+    compared = joined.select(*ids, "wanted", F.array_intersect("wanted", "offered").alias("matched"), *more)
     share = F.size("matched").cast("double") / F.greatest(F.size("wanted"), F.lit(1))
     return compared.select(
         "resume_id",
@@ -61,6 +72,7 @@ def match_pairs(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, n: int = C
         round_half_even(share * 100.0).cast("int").alias("score"),
         "matched",
         F.array_except("wanted", "matched").alias("missing"),
+        *more,
     )
 
 
@@ -77,25 +89,31 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _fallback_fields() -> dict[str, Column]:
+def _fallback_fields(max_items: int) -> dict[str, Column]:
     return {
         "overall_feedback": fill(W.FEEDBACK, score=F.col("score")),
-        "strengths": F.slice("matched", 1, C.MAX_REPLY_ITEMS),
-        "gaps": F.slice("missing", 1, C.MAX_REPLY_ITEMS),
+        "strengths": F.slice("matched", 1, max_items),
+        "gaps": F.slice("missing", 1, max_items),
         "resume_improvements": _texts(W.IMPROVEMENTS),
         "interview_questions": _texts(W.QUESTIONS),
         "agent_trace": _texts([W.FEEDBACK_TRACE]),
     }
 
 
-def candidate_feedback(matches: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """The six feedback fields per pair, from its reply (resume_id, jd_id, reply) where that can be read."""
-    fallback = _fallback_fields()
+def candidate_feedback(
+    matches: DataFrame, max_chars: int = C.MAX_REPLY_CHARS, max_items: int = C.MAX_REPLY_ITEMS,
+    max_item_chars: int = C.MAX_REPLY_ITEM_CHARS,
+) -> DataFrame:
+    """The six feedback fields per pair, from its reply where `match_pairs` was given replies and it can be read.
+
+    Replies are cut: the overall text to `max_chars`, lists to `max_items` of `max_item_chars` each.
+    """
+    fallback = _fallback_fields(max_items)
     ids = ["resume_id", "jd_id"]
-    if replies is None:
+    if "reply" not in matches.columns:
         return matches.select(*ids, "score", *[c.alias(name) for name, c in fallback.items()])
-    joined = matches.join(one_reply_per(replies, *ids), ids, "left")
-    joined = with_feedback_reply(joined, fallback, out="_given")
+    joined = with_feedback_reply(
+        matches, fallback, out="_given", max_chars=max_chars, max_items=max_items, max_item_chars=max_item_chars)
     valid = F.col("_given").isNotNull()
     asked = F.coalesce(F.col("reply"), F.lit("")) != ""
     fields = {name: F.when(valid, F.col("_given")[name]).otherwise(fallback[name]) for name in FEEDBACK_FIELDS}
@@ -104,26 +122,18 @@ def candidate_feedback(matches: DataFrame, replies: DataFrame | None = None) ->
     return joined.select(*ids, "score", *[c.alias(name) for name, c in fields.items()])
 
 
-def candidate_prompts(matches: DataFrame, resumes: DataFrame, jds: DataFrame) -> DataFrame:
-    """(resume_id, jd_id, prompt) with both texts cut, then redacted."""
-
-    def safe(frame: DataFrame, key: str, out: str) -> DataFrame:
-        return frame.select(key, redact(truncate(F.col("text"))).alias(out))
-
-    joined = attach(matches, safe(jds, "jd_id", "_jd"), "jd_id", spread_by=["resume_id"], how="inner")
-    joined = attach(
-        joined, safe(resumes, "resume_id", "_resume"), "resume_id", spread_by=["jd_id"], how="inner", keys_of=matches
-    )
+def candidate_prompts(matches: DataFrame) -> DataFrame:
+    """(resume_id, jd_id, prompt) from a match with texts."""
     prompt = fill(
         W.CANDIDATE_PROMPT,
         keys=F.lit(", ".join(FEEDBACK_FIELDS)),
         score=F.col("score"),
         matched=join(F.col("matched")),
         missing=join(F.col("missing")),
-        resume=F.col("_resume"),
-        jd=F.col("_jd"),
+        resume=F.col("resume"),
+        jd=F.col("jd"),
     )
-    return joined.select("resume_id", "jd_id", prompt.alias("prompt"))
+    return matches.select("resume_id", "jd_id", prompt.alias("prompt"))
 
 
 def _section(title: str, body: Column) -> list[Column]:

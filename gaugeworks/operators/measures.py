@@ -13,6 +13,9 @@ from gaugeworks.functions.sentiment import is_negative
 
 KEYS = ("department", "issue_type", "agent", "priority", "risk_level")
 PREFIX = "m_"
+MICROS_PER_HOUR = 3.6e9
+# What a measure is divided by to be a value again.
+UNITS = {"hours": MICROS_PER_HOUR}
 
 
 def _flag(condition: Column) -> Column:
@@ -26,7 +29,8 @@ def _definitions(has) -> dict[str, Column]:
     if "sla_breached" in has:
         made["breached"] = _flag(F.col("sla_breached"))
     if "actual_resolution_hours" in has:
-        made["hours"] = F.col("actual_resolution_hours")
+        # Whole microseconds: decimal sums do not depend on the order of the rows, sums of doubles do.
+        made["hours"] = F.round(F.col("actual_resolution_hours") * MICROS_PER_HOUR).cast("decimal(20,0)")
         made["hours_n"] = F.col("actual_resolution_hours").isNotNull().cast("int")
     if "customer_rating" in has:
         made["rating"] = F.col("customer_rating").cast("bigint")
@@ -64,7 +68,8 @@ def rate(part: str, whole: str) -> Column:
 
 
 def average(value: str, count: str) -> Column:
-    return round_half_even(ratio(F.sum(PREFIX + value), total(count)), 2)
+    summed = F.sum(PREFIX + value).cast("double") / UNITS.get(value, 1.0)
+    return round_half_even(ratio(summed, total(count)), 2)
 
 
 def summarise(frame: DataFrame, by: list[str], **columns: Column) -> DataFrame:

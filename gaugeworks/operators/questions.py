@@ -3,19 +3,22 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks import constants as C
 from gaugeworks.functions.text import fill, strip, truncate
 from gaugeworks.operators.replies import one_reply_per
 
 
 def ask(
-    questions: DataFrame, summary: Column, prompt: str, answer: str, key: str = "question_id", text: str = "question"
+    questions: DataFrame, summary: Column, prompt: str, answer: str, key: str = "question_id", text: str = "question",
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """(key, prompt, fallback_answer) per question; `summary` is a one-row subquery or a literal."""
+    """(key, prompt, fallback_answer) per question; `summary` is a one-row subquery or a literal.
+
+    Questions stay whole unless `max_chars` is given.
+    """
     kept = questions.select(key, text).withColumn("_summary", summary)
     return kept.select(
         key,
-        fill(prompt, summary=F.col("_summary"), question=truncate(F.col(text), C.MAX_QUESTION_CHARS)).alias("prompt"),
+        fill(prompt, summary=F.col("_summary"), question=truncate(F.col(text), max_chars)).alias("prompt"),
         fill(answer, summary=F.col("_summary")).alias("fallback_answer"),
     )
 

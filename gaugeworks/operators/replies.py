@@ -11,7 +11,6 @@ from gaugeworks import wording as W
 from gaugeworks.functions.replies import as_list, no_items, object_keys, parse_object, sanitize_list
 from gaugeworks.functions.text import strip
 from gaugeworks.operators import triage as triage_rules
-from gaugeworks.operators.skew import attach
 
 LISTS = ("risk_factors", "agent_trace")
 MERGED = tuple(f for f in triage_rules.FIELDS if f != "ticket_id")
@@ -31,9 +30,15 @@ def complete(prompts: DataFrame, key: str, answer: Callable[[list[str]], list[st
     return prompts.select(key, "prompt").mapInPandas(run, f"`{key}` {kind}, reply string")
 
 
-def one_reply_per(replies: DataFrame, *keys: str) -> DataFrame:
-    """At most one reply per key, so that a join cannot multiply rows."""
-    return replies.dropna(subset=list(keys)).groupBy(*keys).agg(F.max("reply").alias("reply"))
+def one_reply_per(replies: DataFrame, *keys: str, order_by: str | None = None) -> DataFrame:
+    """(keys, reply, dropped_replies): at most one reply per key, so that a join cannot multiply rows.
+
+    Of several replies the one with the largest `order_by` counts, such as the newest; without that column the last by
+    text. `dropped_replies` says how many others there were.
+    """
+    reply = F.max("reply") if order_by is None else F.max_by("reply", F.struct(order_by, "reply"))
+    return replies.dropna(subset=list(keys)).groupBy(*keys).agg(
+        reply.alias("reply"), (F.count(F.lit(1)) - 1).alias("dropped_replies"))
 
 
 def with_triage_reply(frame: DataFrame, reply: str = "reply", out: str = "parsed") -> DataFrame:
@@ -56,13 +61,10 @@ def parsed_replies(replies: DataFrame, key: str = "ticket_id") -> DataFrame:
     return with_triage_reply(replies).select(key, F.col("parsed").isNotNull().alias("is_valid"), "parsed.*")
 
 
-def merge_triage(scored: DataFrame, replies: DataFrame) -> DataFrame:
+def merge_triage(scored: DataFrame, replies: DataFrame, order_by: str | None = None) -> DataFrame:
     """Triage of every ticket, with the fields its reply gives taken over; `mode` is `model` or `rules`."""
-    # Replies are joined to the narrow scored row; the wide texts are made after the shuffle.
-    joined = attach(
-        scored, one_reply_per(replies, "ticket_id"), "ticket_id",
-        spread_by=[c for c in ("customer_id", "created_at", "agent", "customer_message") if c in scored.columns],
-    )
+    # Replies are joined to the narrow scored row; the wide texts are made after the shuffle. The id is unique.
+    joined = scored.join(one_reply_per(replies, "ticket_id", order_by=order_by), "ticket_id", "left")
     merged = with_triage_reply(triage_rules.with_triage(joined), out="_parsed")
     valid = F.col("_parsed").isNotNull()
     asked = F.coalesce(F.col("reply"), F.lit("")) != ""
@@ -77,20 +79,24 @@ def merge_triage(scored: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def with_feedback_reply(
-    frame: DataFrame, fallback: dict[str, Column], reply: str = "reply", out: str = "parsed"
+    frame: DataFrame, fallback: dict[str, Column], reply: str = "reply", out: str = "parsed",
+    max_chars: int = C.MAX_REPLY_CHARS, max_items: int = C.MAX_REPLY_ITEMS, max_item_chars: int = C.MAX_REPLY_ITEM_CHARS,
 ) -> DataFrame:
-    """Add `out`: struct of the six feedback fields with per-field fallback and size limits; null if there is no object."""
+    """Add `out`: struct of the six feedback fields with per-field fallback; null if there is no object.
+
+    The overall text is cut to `max_chars`, lists to `max_items` of `max_item_chars` each.
+    """
     raw, keys = F.col("_raw"), F.col("_keys")
     frame = frame.withColumns({"_raw": parse_object(F.col(reply), FEEDBACK_FIELDS), "_keys": object_keys(F.col(reply))})
     fields = {}
     for name in FEEDBACK_FIELDS:
         if name == "overall_feedback":
             given = F.nullif(raw[name], F.lit(""))
-            fields[name] = F.substring(strip(F.coalesce(given, fallback[name])), 1, C.MAX_REPLY_CHARS)
+            fields[name] = F.substring(strip(F.coalesce(given, fallback[name])), 1, max_chars)
         else:
             # A key that is there but holds no list counts as an empty list.
             items = F.when(F.array_contains(keys, name), F.coalesce(as_list(raw[name]), no_items()))
-            fields[name] = sanitize_list(F.coalesce(items, fallback[name]))
+            fields[name] = sanitize_list(F.coalesce(items, fallback[name]), max_items, max_item_chars)
     trace = fields["agent_trace"]
     fields["agent_trace"] = F.when(F.size(trace) > 0, trace).otherwise(fallback["agent_trace"])
     parsed = F.when(raw.isNotNull(), F.struct(*[c.alias(name) for name, c in fields.items()]))

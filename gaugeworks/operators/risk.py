@@ -22,10 +22,11 @@ def add_sentiment(frame: DataFrame) -> DataFrame:
 
 
 def add_risk(
-    frame: DataFrame, as_of: datetime = C.AS_OF, at_risk_hours: float | None = None, lenient: bool = False
+    frame: DataFrame, as_of: datetime = C.AS_OF, at_risk_hours: float | None = None, lenient: bool = False,
+    formats: tuple[str, ...] = (),
 ) -> DataFrame:
     """SLA columns, sentiment, escalation_risk_score (0 to 100) and risk_level. Row-local: no shuffle, no Python."""
-    frame = add_sentiment(add_sla(frame, as_of, at_risk_hours, lenient))
+    frame = add_sentiment(add_sla(frame, as_of, at_risk_hours, lenient, formats))
     contacts = F.coalesce(F.col("previous_contacts"), F.lit(0)) * C.CONTACT_POINTS
     score = (
         points(F.col("priority"), C.PRIORITY_POINTS)

@@ -3,65 +3,34 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.session import materialize
+ROWS_PER_PART = 1_000_000
 
-HOT_SHARE = 0.002
-# The sketch's error is below 4 / size, so keys above HOT_SHARE are found.
-SKETCH_SIZE = 4096
-SKETCH_GROUPS = 512
-SMALL_ROWS = 100_000
 
+def hot_keys(frame: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(key, salts): keys with more than `rows_per_part` rows, and how many parts of at most that size they need.
 
-def hot_keys(frame: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """(key, salts): keys holding more than `share` of the rows, and how many parts of at most that size they need.
-
-    A frequent-items sketch finds them in one pass over the key column, without a shuffle of rows. Sketches of the input
-    partitions are merged in groups, then once more, so that no task has to merge all of them. Fewer than 1 / share keys
-    can qualify, so the result is small whatever the input; its counts only steer the spreading, never the result.
+    An exact count, combined in the tasks before its shuffle. Call it on a base table and share the result.
     """
-    k, size = round(1 / share), max(SKETCH_SIZE, round(8 / share))
-    merged = (
-        frame.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_group"))
-        .agg(F.expr(f"approx_top_k_accumulate(`{key}`, {size})").alias("sketch"), F.count(key).alias("total"))
-        # A constant key instead of none: without rows there is nothing to combine.
-        .groupBy(F.lit(0).alias("_all"))
-        .agg(F.expr(f"approx_top_k_combine(sketch, {size})").alias("sketch"), F.sum("total").alias("total"))
-    )
-    found = merged.select("total", F.explode(F.expr(f"approx_top_k_estimate(sketch, {k})")).alias("hot"))
-    return found.where(F.col("hot.item").isNotNull() & (F.col("hot.count") > F.col("total") * share)).select(
-        F.col("hot.item").alias(key),
-        F.ceil(F.col("hot.count") / (F.col("total") * share)).cast("int").alias("_salts"),
-    )
+    counted = frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return salts(counted, key, "_rows", rows_per_part)
 
 
-def broadcast_if_small(frame: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Write the frame to the shared folder and count it: a broadcast up to `max_rows` rows, a plain side beyond."""
-    written = materialize(frame)
-    return F.broadcast(written) if written.count() <= max_rows else written
+def salts(counted: DataFrame, key: str, rows: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """The same from a frame that has the rows of each key already."""
+    parts = F.ceil(F.col(rows) / rows_per_part).cast("int")
+    return counted.where(F.col(rows) > rows_per_part).select(key, parts.alias("_salts"))
 
 
-def attach(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread_by: list[str],
-    how: str = "left",
-    keys_of: DataFrame | None = None,
-    share: float = HOT_SHARE,
-) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, spread_by: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
     """Join `right`, which holds one row per key, onto `left`.
 
-    Rows of a hot key are spread over salts by the hash of `spread_by` and the key's single right row is copied to each:
-    fewer than 2 / share copies in all. Null keys match nothing and are spread too. Where `left` is costly to compute,
-    `keys_of` names a cheaper frame with the same keys to look for hot ones in.
+    Rows of the keys in `hot` are spread over salts by the hash of `spread_by`, and the key's single right row is copied to
+    each. Null keys match nothing and are spread over all salts there are. How the sides meet is left to adaptive execution,
+    which knows their sizes.
     """
-    hot = F.broadcast(hot_keys(left if keys_of is None else keys_of, key, share))
-    salts = F.when(F.col(key).isNull(), F.lit(round(1 / share))).otherwise(F.coalesce("_salts", F.lit(1)))
-    salted_left = (
-        left.join(hot, key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
-        .drop("_salts")
-    )
+    spread = F.xxhash64(*spread_by)
+    salt = F.when(F.col(key).isNull(), F.pmod(spread, F.lit(1 << 30))).otherwise(F.pmod(spread, F.coalesce("_salts", F.lit(1))))
+    salted_left = left.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
     salted_right = (
         right.join(hot, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))

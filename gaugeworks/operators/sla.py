@@ -23,14 +23,15 @@ def prepare_dates(frame: DataFrame, lenient: bool = False, formats: tuple[str, .
 
 
 def add_sla(
-    frame: DataFrame, as_of: datetime = C.AS_OF, at_risk_hours: float | None = None, lenient: bool = False
+    frame: DataFrame, as_of: datetime = C.AS_OF, at_risk_hours: float | None = None, lenient: bool = False,
+    formats: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add hours, sla_status and sla_breached.
+    """Add hours, sla_status and sla_breached. Times are ISO text or of one of the `formats`.
 
     Open tickets are judged at `as_of`. `at_risk_hours` marks open tickets due within that time as `At Risk`; off by
     default, then that status does not occur. A ticket without a due time is never breached.
     """
-    frame = prepare_dates(frame, lenient)
+    frame = prepare_dates(frame, lenient, formats)
     due, closed, now = F.col("sla_due_at"), F.col("closed_at"), literal_time(as_of)
     status = F.when(closed.isNotNull(), F.when(closed > due, "Breached").otherwise("Met")).when(now > due, "Breached")
     if at_risk_hours is not None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
 from gaugeworks import wording as W
+from gaugeworks.functions.dates import parse_date
 from gaugeworks.functions.numeric import band, percent, ratio, round_half_even
 from gaugeworks.functions.text import fill, lines, whole_number
 from gaugeworks.operators.support import first_by
@@ -12,10 +13,10 @@ from gaugeworks.operators.support import first_by
 AMOUNTS = ("budget_amount", "actual_amount", "variance", "savings_opportunity")
 
 
-def analyze_costs(frame: DataFrame, unbanded: str = C.UNBANDED) -> DataFrame:
-    """Add variance, variance_pct, savings_opportunity and risk_level. A zero budget has no percentage and no band."""
+def analyze_costs(frame: DataFrame, unbanded: str = C.UNBANDED, formats: tuple[str, ...] = ()) -> DataFrame:
+    """Dates are ISO text or of one of the `formats`. Add variance, variance_pct, savings_opportunity and risk_level. A zero budget has no percentage and no band."""
     variance = F.col("actual_amount") - F.col("budget_amount")
-    frame = frame.withColumns({"date": F.col("date").try_cast("date"), "variance": variance})
+    frame = frame.withColumns({"date": parse_date(F.col("date"), formats), "variance": variance})
     saving = F.greatest(F.col("variance").cast("double") * C.SAVINGS_FRACTION, F.lit(0.0))
     frame = frame.withColumns(
         {

@@ -155,7 +155,7 @@ def triage(scored: DataFrame) -> DataFrame:
 
 def triage_prompts(scored: DataFrame) -> DataFrame:
     """(ticket_id, prompt): the ticket and its triage as JSON, with the instructions."""
-    options = {"pretty": "true", "ignoreNullFields": "false"}
+    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
     keys = ", ".join(f for f in FIELDS if f != "ticket_id")
     prompt = fill(
         W.TRIAGE_PROMPT,

@@ -1,5 +1,8 @@
 """Session settings, and the shared folder used to cut lineage."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -42,7 +45,8 @@ def build_session(app: str = "gaugeworks", master: str | None = None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as `spark.checkpoint.dir` names it.
 
-    Only a local master may go without that setting: it then gets a folder of its own.
+    Only a master that is a single process (`local` or `local[n]`) may go without that setting: its executors are the
+    driver, so it gets a folder of its own, which goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -51,9 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeworks-"))
+        own = tempfile.mkdtemp(prefix="gaugeworks-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
         current = spark.sparkContext.getCheckpointDir()
     return current
 

@@ -124,18 +124,6 @@ SCHEMAS = {
     "benchmark": "item_id BIGINT, text STRING",
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }
-# Tables whose rows carry most of the work.
-BUSY_TABLES = ("orders", "lineitem", "documents")
-
-
-def use_all_cores(frame: DataFrame) -> DataFrame:
-    """Spread a table that comes in a handful of parts over the cores, as a small file has one row group.
-
-    A table with more parts, thus any large one, is left as it is read.
-    """
-    cores = min(frame.sparkSession.sparkContext.defaultParallelism, 16)
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
-
 
 class DriverViews:
     """The views over one folder: `DriverViews(spark, folder).tickets` and so on.
@@ -149,8 +137,7 @@ class DriverViews:
     def table(self, name: str) -> DataFrame:
         if name in self._tables:
             return self._tables[name]
-        frame = self._spark.read.schema(SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
-        return use_all_cores(frame) if name in BUSY_TABLES else frame
+        return self._spark.read.schema(SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:

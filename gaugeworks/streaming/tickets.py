@@ -13,8 +13,12 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).start(path)
 
 
-def breach_windows(scored: DataFrame, window: str = "7 days", delay: str = "1 day", by: str = "department") -> DataFrame:
-    """Tickets and breaches per window of the creation time. State is dropped once a window is `delay` behind."""
+def breach_windows(scored: DataFrame, delay: str, window: str = "7 days", by: str = "department") -> DataFrame:
+    """Tickets and breaches per window of the creation time.
+
+    A row is counted if it is no more than `delay` behind the newest one of earlier micro-batches; state is kept as long.
+    The source decides what covers its disorder, so there is no default.
+    """
     # Watermarks need an instant.
     timed = scored.where(F.col(by).isNotNull()).withColumn("event_time", to_instant(F.col("created_at")))
     if timed.isStreaming:

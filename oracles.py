@@ -248,12 +248,9 @@ FROM (SELECT count(*) AS total_tickets, {rate('count(*) FILTER (sla_breached)',
              (SELECT department FROM sla WHERE department IS NOT NULL GROUP BY department
               ORDER BY count(*) DESC, department LIMIT 1) AS top_department FROM sla)
 """
-QUESTION_CUT = f"""CASE WHEN length(question) > 500 THEN substr(question, 1, 500) || {text(C.TRUNCATION_MARK)}
-                   ELSE question END"""
-
 
 def asked(prompt: str, answer: str, summary: str) -> str:
-    return f"""SELECT question_id, {fill(prompt, summary='summary', question=QUESTION_CUT)} AS prompt,
+    return f"""SELECT question_id, {fill(prompt, summary='summary', question='question')} AS prompt,
                {fill(answer, summary='summary')} AS fallback_answer FROM questions, (SELECT summary FROM {summary})"""
 
 
@@ -333,13 +330,58 @@ def cut(value: str) -> str:
     return f"CASE WHEN length({value}) > 12000 THEN substr({value}, 1, 12000) || {text(C.TRUNCATION_MARK)} ELSE {value} END"
 
 
+def as_json(**fields: str) -> str:
+    return "to_json({" + ", ".join(f"'{name}': {sql}" for name, sql in fields.items()) + "})"
+
+
+def _plain_time(name: str) -> str:
+    return f"strftime({name}, '%Y-%m-%d %H:%M:%S')"
+
+
+_TIMES = ("created_at", "sla_due_at", "closed_at")
+_TICKET = as_json(**{
+    name: _plain_time(name) if name in _TIMES else name
+    for name in (
+        "ticket_id", "customer_id", "department", "issue_type", "priority", "agent", "channel", "created_at", "sla_due_at",
+        "closed_at", "status", "resolution_hours", "previous_contacts", "customer_message", "customer_rating",
+        "actual_resolution_hours", "sla_status", "sla_breached", "sentiment", "escalation_risk_score", "risk_level",
+    )
+})
+_TRIAGE = as_json(**{
+    name: {"risk_factors": "t.factors", "agent_trace": "string_split(t.agent_trace, '|')"}.get(name, f"t.{name}")
+    for name in (
+        "ticket_id", "risk_score", "risk_level", "sla_status", "sentiment", "action_level", "recommended_action",
+        "routing_recommendation", "urgency", "business_reason", "business_impact", "risk_factors", "internal_manager_note",
+        "customer_response_draft", "agent_trace",
+    )
+})
+TRIAGE_PROMPTS = f"""
+SELECT ticket_id, {fill(
+    W.TRIAGE_PROMPT,
+    keys="'risk_score, risk_level, sla_status, sentiment, action_level, recommended_action, routing_recommendation, "
+         "urgency, business_reason, business_impact, risk_factors, internal_manager_note, customer_response_draft, agent_trace'",
+    ticket="s.ticket", baseline=_TRIAGE,
+)} AS prompt
+FROM triaged t JOIN (SELECT ticket_id, {_TICKET} AS ticket FROM scored) s USING (ticket_id)
+"""
+_KPI_JSON = as_json(**{name: name for name in (
+    "total_tickets", "open_tickets", "closed_tickets", "escalated_tickets", "sla_breach_rate", "avg_resolution_hours",
+    "avg_customer_rating", "high_risk_tickets", "negative_sentiment_rate",
+)})
+BRIEFING_PROMPT = f"""
+SELECT {fill(
+    W.BRIEFING_PROMPT, keys="'briefing_sections, recommended_actions, agent_trace'", sections=text(', '.join(W.BRIEF_TITLES)),
+    payload=as_json(kpis=_KPI_JSON, baseline_sections=as_json(**{n: n for n in W.BRIEF_TITLES}), baseline_recommended_actions='actions'),
+)} AS prompt FROM brief
+"""
+
+
 CANDIDATE_PROMPTS = f"""
 SELECT m.resume_id, m.jd_id, {fill(
     W.CANDIDATE_PROMPT,
     keys="'overall_feedback, strengths, gaps, resume_improvements, interview_questions, agent_trace'",
     score='score', matched="array_to_string(matched, ', ')", missing="array_to_string(missing, ', ')",
-    resume=f"substr({redacted('(' + cut('r.text') + ')')}, 1, 12000)",
-    jd=f"substr({redacted('(' + cut('j.text') + ')')}, 1, 12000)",
+    resume=redacted("r.text"), jd=redacted("j.text"),
 )} AS prompt
 FROM matches m JOIN resumes r USING (resume_id) JOIN jds j ON m.jd_id = j.jd_id
 """
@@ -509,6 +551,16 @@ _SQL = {
         f"SELECT {sentiment_of(SENTIMENT_SCORE)} AS sentiment, count(*) AS documents "
         "FROM (SELECT text AS customer_message FROM documents) GROUP BY 1",
     ),
+    "turn_sentiment": (
+        f"""SELECT conv_id, turn, {sentiment_of(SENTIMENT_SCORE)} AS sentiment FROM (
+            SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'thanks, great ' WHEN 1 THEN 'angry, unhappy: ' ELSE '' END
+                                  || coalesce(text, '') AS customer_message FROM conversations)""",
+    ),
+    "us_times_sla": ("SELECT * FROM departments", "departments"),
+    "declared_table": (
+        "SELECT department, priority, count(*) AS tickets, count(closed_at) AS closed, CAST(sum(previous_contacts) AS BIGINT) AS contacts "
+        "FROM tickets GROUP BY department, priority", "tickets",
+    ),
     "scored_tickets": ("SELECT * FROM scored", "scored"),
     "support_kpis": ("SELECT * FROM kpis", "kpis"),
     "agent_performance": ("SELECT * FROM agents", "agents"),
@@ -637,6 +689,8 @@ _SQL = {
     "parsed_replies": ("SELECT * EXCLUDE (reply) FROM parsed", "parsed"),
     "merged_triage": (MERGED, "triaged", "parsed"),
     "csv_roundtrip": ("SELECT *, 'roundtrip' AS source FROM tickets", "tickets"),
+    "triage_prompts": (TRIAGE_PROMPTS, "triaged", "scored"),
+    "briefing_prompt": (BRIEFING_PROMPT, "brief"),
     "guarded_csv": (
         "SELECT department, issue_type, agent, count(*) AS tickets FROM tickets GROUP BY ALL", "tickets",
     ),

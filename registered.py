@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks import constants as C
 from gaugeworks import schemas
 from gaugeworks import wording as W
 from gaugeworks.functions.text import join, redact, truncate
@@ -16,7 +17,7 @@ from gaugeworks.operators import (
 )
 from gaugeworks.operators.measures import rollup
 from gaugeworks.plans import reports
-from gaugeworks.session import materialize, scratch_path
+from gaugeworks.session import scratch_path
 from gaugeworks.sources import sinks, tables
 from gaugeworks.sources.driver_views import AS_OF, SCHEMAS, DriverViews
 from gaugeworks.streaming import tickets as ticket_stream
@@ -129,13 +130,37 @@ def customers_to_contact(v, spark, folder):
 
 @query
 def overloaded_agents(v, spark, folder):
-    agents = materialize(support.agent_performance(_scored(v), ordered=False))
-    return support.overloaded_agents(agents)
+    return support.overloaded_agents(support.agent_performance(_scored(v), ordered=False))
 
 
 # --- Cleaning and quality ---
 
 
+@query
+def us_times_sla(v, spark, folder):
+    """Tickets whose times are written month first."""
+    written = {c: F.date_format(c, "MM/dd/yyyy HH:mm") for c in ("created_at", "sla_due_at", "closed_at")}
+    timed = sla.add_sla(v.tickets.withColumns(written), AS_OF, formats=("MM/dd/yyyy HH:mm",))
+    return sla.sla_summary(timed, "department")
+
+
+@query
+def declared_table(v, spark, folder):
+    """The declared ticket table, asked in SQL."""
+    tables.register_tickets(v.tickets, "support_tickets")
+    return spark.sql(
+        "SELECT department, priority, count(*) AS tickets, count(closed_at) AS closed, sum(previous_contacts) AS contacts "
+        "FROM support_tickets GROUP BY department, priority")
+
+
+@query
+def turn_sentiment(v, spark, folder):
+    """Score and label of every turn of a conversation, between two fixed phrases that differ from turn to turn."""
+    phrase = F.when(F.col("conv_id") % 3 == 0, "thanks, great ").when(F.col("conv_id") % 3 == 1, "angry, unhappy: ").otherwise("")
+    turns = v.table("conversations").withColumn("customer_message", F.concat(phrase, F.coalesce("text", F.lit(""))))
+    return risk.add_sentiment(turns).select("conv_id", "turn", "sentiment")
+
+
 @query
 def clean_tickets(v, spark, folder):
     return cleaning.clean_tickets(v.tickets_raw)
@@ -236,7 +261,7 @@ def support_questions(v, spark, folder):
 
 @query
 def cost_questions(v, spark, folder):
-    rolled = materialize(spend.cost_rollup(_analyzed(v), "department", "vendor"))
+    rolled = spend.cost_rollup(_analyzed(v), "department", "vendor")
     summary = spend.cost_summary(rolled).select("summary").scalar()
     return questions.ask(v.questions, summary, W.COST_QUESTION, W.COST_ANSWER)
 
@@ -286,7 +311,7 @@ def vendor_share(v, spark, folder):
 
 @query
 def cost_report(v, spark, folder):
-    return spend.cost_report(materialize(spend.cost_rollup(_analyzed(v), "department", "vendor")))
+    return spend.cost_report(spend.cost_rollup(_analyzed(v), "department", "vendor"))
 
 
 @query
@@ -300,12 +325,12 @@ def roi_by_department(v, spark, folder):
 
 @query
 def redacted_documents(v, spark, folder):
-    return v.resumes.select("resume_id", redact(F.col("text"), max_chars=None).alias("redacted"))
+    return v.resumes.select("resume_id", redact(F.col("text")).alias("redacted"))
 
 
 @query
 def truncated_documents(v, spark, folder):
-    return v.resumes.select("resume_id", truncate(F.col("text")).alias("truncated"))
+    return v.resumes.select("resume_id", truncate(F.col("text"), C.MAX_TEXT_CHARS).alias("truncated"))
 
 
 @query
@@ -323,8 +348,8 @@ def resume_top_keywords(v, spark, folder):
     return matching.ranked_keywords(v.resumes, "resume_id")
 
 
-def _matches(v: DriverViews) -> DataFrame:
-    return matching.match_pairs(v.applications, matching.non_blank(v.resumes), matching.non_blank(v.jds))
+def _matches(v: DriverViews, **options) -> DataFrame:
+    return matching.match_pairs(v.applications, matching.non_blank(v.resumes), matching.non_blank(v.jds), **options)
 
 
 @query
@@ -344,7 +369,7 @@ def candidate_feedback(v, spark, folder):
 
 @query
 def validated_feedback(v, spark, folder):
-    return _flat(matching.candidate_feedback(_matches(v), v.feedback_replies))
+    return _flat(matching.candidate_feedback(_matches(v, replies=v.feedback_replies)))
 
 
 @query
@@ -354,12 +379,12 @@ def candidate_report(v, spark, folder):
 
 @query
 def feedback_report(v, spark, folder):
-    return matching.feedback_report(matching.candidate_feedback(_matches(v), v.feedback_replies))
+    return matching.feedback_report(matching.candidate_feedback(_matches(v, replies=v.feedback_replies)))
 
 
 @query
 def candidate_prompts(v, spark, folder):
-    return matching.candidate_prompts(_matches(v), v.resumes, v.jds)
+    return matching.candidate_prompts(_matches(v, with_texts=True))
 
 
 # --- Prompts and replies ---
@@ -434,6 +459,7 @@ def stream_scored_tickets(v, spark, folder):
 @query
 def stream_breach_windows(v, spark, folder):
     path = scratch_path(spark, "windows")
-    windows = ticket_stream.breach_windows(_streamed(spark, folder))
+    # The orders come in no order of time: the delay covers all of their years.
+    windows = ticket_stream.breach_windows(_streamed(spark, folder), delay="4000 days")
     ticket_stream.upsert_to(windows, path, path + "-checkpoint").awaitTermination()
     return ticket_stream.latest_windows(spark, path)

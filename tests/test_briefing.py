@@ -37,7 +37,7 @@ def test_briefing_text(tickets):
     text = briefing.briefing_report(brief).first().report
     assert text.startswith(W.BRIEF_HEADING + "\n\n") and "\n1. " + W.ACTION_BREACHES in text
     prompt = briefing.briefing_prompt(brief).first().prompt
-    assert '"total_tickets" : 4' in prompt
+    assert '"total_tickets":4' in prompt
 
 
 def test_merge_briefing(tickets):
@@ -90,7 +90,9 @@ def test_questions(spark):
         F.lit("all is well"), W.SUPPORT_QUESTION, W.SUPPORT_ANSWER,
     )
     rows = {r.question_id: r for r in asked.collect()}
-    assert C.TRUNCATION_MARK in rows["a"].prompt and "all is well" in rows["b"].fallback_answer
+    assert "why " * 200 in rows["a"].prompt and "all is well" in rows["b"].fallback_answer
+    cut = questions.ask(asked.select("question_id", F.col("prompt").alias("question")), F.lit("x"), "{question}{summary}", "{summary}", max_chars=9)
+    assert C.TRUNCATION_MARK in cut.first().prompt
     given = spark.createDataFrame([("a", " because \n")], "question_id string, reply string")
     answers = {r.question_id: r.answer for r in questions.answer(asked, given).collect()}
     assert answers == {"a": "because", "b": rows["b"].fallback_answer}

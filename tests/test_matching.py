@@ -64,7 +64,7 @@ def test_feedback_and_reports(spark, tables):
     plain = matching.candidate_feedback(matches).first()
     assert plain.strengths == ["sql", "python", "excel."] and plain.gaps == ["tableau"]
     reply = spark.createDataFrame([(1, 10, '{"strengths": ["x"]}')], "resume_id bigint, jd_id bigint, reply string")
-    given = matching.candidate_feedback(matches, reply)
+    given = matching.candidate_feedback(matching.match_pairs(*tables, replies=reply).where("resume_id = 1 AND jd_id = 10"))
     assert given.first().strengths == ["x"] and given.first().gaps == ["tableau"]
     assert "- x" in matching.feedback_report(given).first().report
     assert "sql, python, excel." in matching.candidate_report(matches).first().report
@@ -73,14 +73,23 @@ def test_feedback_and_reports(spark, tables):
 def test_prompts_are_redacted(spark, tables):
     pairs, resumes, jds = tables
     secret = resumes.withColumn("text", F.concat("text", F.lit(" me@example.org")))
-    prompts = matching.candidate_prompts(matching.match_pairs(pairs, secret, jds), secret, jds)
+    prompts = matching.candidate_prompts(matching.match_pairs(pairs, secret, jds, with_texts=True))
     assert prompts.where("prompt LIKE '%example.org%'").isEmpty()
     assert prompts.where("prompt LIKE '%[REDACTED_EMAIL]%'").count() == 9
 
 
 def test_hot_keys(spark):
     frame = spark.range(9000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id") + 100).alias("k"))
-    assert [tuple(r) for r in hot_keys(frame, "k", 0.01).collect()] == [(7, 34)]
+    assert [tuple(r) for r in hot_keys(frame, "k", 90).collect()] == [(7, 34)]
+
+
+def test_a_key_with_a_tiny_share_is_split(spark):
+    """The bound is a number of rows, whatever share of the table they are: 0.05 % here."""
+    frame = spark.range(200_000).select(F.when(F.col("id") < 100, -1).otherwise(F.col("id")).alias("k"), "id")
+    hot = hot_keys(frame, "k", 50)
+    assert [tuple(r) for r in hot.collect()] == [(-1, 2)]
+    right = spark.createDataFrame([(-1, "x"), (500, "y")], "k long, v string")
+    assert attach(frame, right, "k", ["id"], hot, "inner").count() == 101
 
 
 def test_attach_spreads_a_hot_key(spark):
@@ -89,7 +98,7 @@ def test_attach_spreads_a_hot_key(spark):
     left = spark.range(30_000).select(key.alias("k"), F.col("id").alias("row"))
     right = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).where("k % 2 = 1")
     for how in ("left", "inner"):
-        got = attach(left, right, "k", ["row"], how, share=0.01)
+        got = attach(left, right, "k", ["row"], hot_keys(left, "k", 100), how)
         want = left.join(right, "k", how)
         assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == want.count()
 
@@ -105,7 +114,7 @@ def test_attach_parts_are_even(spark):
             return frame.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
 
         assert largest(left.join(right, "k")) > 20_000
-        assert largest(attach(left, right, "k", ["row"], "inner")) < 13_000
+        assert largest(attach(left, right, "k", ["row"], hot_keys(left, "k", 500), "inner")) < 13_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", True)
@@ -115,4 +124,4 @@ def test_attach_without_rows_or_keys(spark):
     right = spark.createDataFrame([("a", 1)], "k string, v int")
     for rows in ([], [(None, 1), (None, 2)]):
         left = spark.createDataFrame(rows, "k string, row int")
-        assert attach(left, right, "k", ["row"]).count() == len(rows)
+        assert attach(left, right, "k", ["row"], hot_keys(left, "k")).count() == len(rows)

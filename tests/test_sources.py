@@ -90,3 +90,34 @@ def test_materialized_frames_come_from_the_shared_folder(spark):
     assert "ExistingRDD" in frame._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in frame.collect()} == {(0, 5), (1, 5)}
     assert session.scratch_path(spark, "x").startswith(session.shared_dir(spark).rstrip("/"))
+
+
+def test_qualified_table_names(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("default.numbers_for_load")
+    try:
+        assert tables.load(spark, "default.numbers_for_load").count() == 3
+        assert tables.load(spark, "numbers_for_load").count() == 3
+    finally:
+        spark.sql("DROP TABLE default.numbers_for_load")
+
+
+def test_declared_columns_check_every_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    assert tables.read_csv(spark, str(tmp_path), columns=["x", "y"]).collect()[0].asDict() == {"x": "1", "y": "2"}
+    (tmp_path / "b.csv").write_text("y,x\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv(spark, str(tmp_path), columns=["x", "y"]).collect()
+
+
+def test_strict_costs_and_rejected_cells(spark, tmp_path):
+    path = tmp_path / "costs.csv"
+    path.write_text("date,department,actual_amount\n01/31/2025,IT,10.50\n2025-02-01,HR,1.005\nsoon,HR,much\n")
+    raw = tables.load(spark, str(path))
+    formats = ("MM/dd/yyyy",)
+    assert tables.rejected_cells(raw, schemas.COSTS, formats).first().asDict() == {"date": 1, "department": 0, "actual_amount": 2}
+    costs = tables.load_costs(spark, str(path), formats=formats)
+    assert [str(r.date) for r in costs.collect()] == ["2025-01-31", "2025-02-01", "None"]
+    with pytest.raises(Exception):
+        tables.load_costs(spark, str(path), lenient=False, formats=formats).collect()
+    path.write_text("date,department,actual_amount\n01/31/2025,IT,10.50\n")
+    assert str(tables.load_costs(spark, str(path), lenient=False, formats=formats).first().actual_amount) == "10.50"

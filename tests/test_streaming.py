@@ -35,7 +35,7 @@ def test_windows_equal_batch(spark, tickets, tmp_path):
     windows = stream.breach_windows(risk.add_risk(live), delay="30 days")
     stream.upsert_to(windows, out, checkpoint).awaitTermination()
     got = stream.latest_windows(spark, out)
-    want = stream.breach_windows(risk.add_risk(batch))
+    want = stream.breach_windows(risk.add_risk(batch), delay="30 days")
     assert got.count() == want.count() == 6
     assert got.exceptAll(want.select(got.columns)).isEmpty()
 
@@ -54,10 +54,26 @@ def test_late_rows_are_dropped(spark, tickets, tmp_path):
 
 def test_windows_do_not_depend_on_the_session_zone(spark, tickets):
     frame = risk.add_risk(tickets(dict(created_at=datetime(2025, 1, 1, 23)), dict(created_at=datetime(2025, 3, 30, 2, 30))))
-    want = sorted(map(str, stream.breach_windows(frame, "1 day").collect()))
+    want = sorted(map(str, stream.breach_windows(frame, delay="1 day", window="1 day").collect()))
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        assert sorted(map(str, stream.breach_windows(frame, "1 day").collect())) == want
+        assert sorted(map(str, stream.breach_windows(frame, delay="1 day", window="1 day").collect())) == want
         assert "2025, 1, 1, 0, 0" in want[0] or "2025, 1, 1, 0, 0" in want[1]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_windows_over_split_orders_keep_every_ticket(spark, tmp_path):
+    """Orders in several files, one a trigger and in no order of time: nothing is lost with a delay that covers them."""
+    from pyspark.sql import functions as F
+
+    from gaugeworks.sources.driver_views import AS_OF, SCHEMAS, DriverViews
+
+    small = "/root/testdata/sf0.001"
+    orders = spark.read.schema(SCHEMAS["orders"]).parquet(f"{small}/orders.parquet")
+    orders.repartition(4, F.col("o_orderkey") % 4).write.parquet(str(tmp_path / "orders"))
+    live = spark.readStream.schema(SCHEMAS["orders"]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "orders"))
+    windows = stream.breach_windows(risk.add_risk(DriverViews(spark, small, orders=live).tickets, AS_OF), delay="4000 days")
+    out = str(tmp_path / "out")
+    stream.upsert_to(windows, out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert stream.latest_windows(spark, out).agg(F.sum("total_tickets")).first()[0] == orders.count()

@@ -246,10 +246,8 @@ def test_duplicate_rows(spark):
     assert sum(g[3] for g in got) == quality.duplicate_count(frame).first()[0]
 
 
-def test_duplicates_of_a_hot_id_against_brute_force(spark, monkeypatch):
+def test_duplicates_of_a_hot_id_against_brute_force(spark):
     """A third of the rows under one id, half of those equal copies; few or many repeated ids give the same result."""
-    from gaugeworks.operators import skew
-
     rows = [("hot", 5, "copy")] * 100 + [("hot", i % 7, f"n{i}") for i in range(100)] + [(f"t{i // 2}", i, "x") for i in range(400)]
     frame = spark.createDataFrame(rows, "ticket_id string, created_at int, note string").repartition(4)
     seen, want = set(), {}
@@ -258,6 +256,31 @@ def test_duplicates_of_a_hot_id_against_brute_force(spark, monkeypatch):
             want[r] = want.get(r, 0) + 1
         seen.add(r[0])
     assert {tuple(r)[:3]: r.later_occurrences for r in quality.duplicate_rows(frame).collect()} == want
-    broadcast = skew.broadcast_if_small
-    monkeypatch.setattr(quality, "broadcast_if_small", lambda ids: broadcast(ids, max_rows=1))
-    assert {tuple(r)[:3]: r.later_occurrences for r in quality.duplicate_rows(frame).collect()} == want
+    assert {tuple(r)[:3]: r.later_occurrences for r in quality.duplicate_rows(frame, rows_per_part=10).collect()} == want
+
+
+def test_times_of_several_forms(spark, tickets):
+    frame = spark.createDataFrame(
+        [("01/15/2025 10:00", "01/15/2025 12:00", "01/16/2025 12:00"), ("2025-01-15 10:00:00", "2025-01-15 12:00:00", None)],
+        "created_at string, sla_due_at string, closed_at string",
+    )
+    formats = ("MM/dd/yyyy HH:mm",)
+    got = sla.add_sla(frame, datetime(2025, 1, 15, 11), formats=formats).collect()
+    assert [(r.sla_status, r.actual_resolution_hours) for r in got] == [("Breached", 26.0), ("Open - On Track", None)]
+    assert quality.quality_report(frame, formats).first().invalid_date_count == 0
+    assert quality.quality_report(frame).first().invalid_date_count == 3
+    with pytest.raises(Exception):
+        sla.add_sla(frame, formats=("yyyy/MM/dd",)).collect()
+
+
+def test_sums_of_hours_do_not_depend_on_order(spark):
+    from gaugeworks.operators import measures
+
+    frame = spark.range(20_000).select(
+        F.col("id").cast("string").alias("ticket_id"), (F.col("id") % 7).cast("string").alias("department"),
+        (F.col("id") % 3).cast("string").alias("agent"), (F.expr("id % 1013 * 1234567") / F.lit(3.6e9)).alias("actual_resolution_hours"),
+        F.lit(False).alias("sla_breached"),
+    )
+    exact = lambda f: sorted(map(tuple, measures.rollup(f, "department").select("department", "m_hours").collect()))
+    direct = exact(frame)
+    assert direct == exact(frame.repartition(13)) == exact(measures.rollup(frame.orderBy(F.desc("id")), "department", "agent"))
