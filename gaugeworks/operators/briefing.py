@@ -1,14 +1,13 @@
 """Briefing, findings and recommendations.
 
-Everything but the lists of single tickets follows from one rollup of the tickets by department, issue and agent, which
-`briefing_base` writes to the shared folder. Leaders, means and counts are one-row subqueries over it. Lists inside a
-record are top-n lists; lists that grow with the data (departments, issues, overloaded agents) are frames of their own.
+Everything but the lists of single tickets follows in one pass from a rollup of the tickets by department, issue and
+agent. Nothing is written and no job runs while a frame is being built. Lists inside a record are top-n lists; lists that grow with the data (departments, issues, overloaded agents) are frames of their own.
 """
 
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
@@ -16,10 +15,9 @@ from gaugeworks import wording as W
 from gaugeworks.functions.replies import as_list, no_items, parse_object
 from gaugeworks.functions.text import fill, lines, numbered, present, whole_number
 from gaugeworks.operators import support
-from gaugeworks.operators.measures import rollup
+from gaugeworks.operators.measures import PREFIX, rate, rollup, total
 from gaugeworks.operators.risk import TOP_COLUMNS, ensure_scored, is_scored
 from gaugeworks.operators.sla import sla_summary
-from gaugeworks.session import materialize
 
 SECTIONS = tuple(W.BRIEF_TITLES)
 KPIS = (
@@ -29,8 +27,8 @@ KPIS = (
 
 
 def briefing_base(scored: DataFrame) -> DataFrame:
-    """The rollup all parts of a briefing share, read from the shared folder instead of recomputed."""
-    return materialize(rollup(scored, "department", "issue_type", "agent"))
+    """The rollup that all parts of a briefing follow from."""
+    return rollup(scored, "department", "issue_type", "agent")
 
 
 def records(frame: DataFrame, order: list[tuple[str, bool]], n: int) -> Column:
@@ -45,31 +43,6 @@ def records(frame: DataFrame, order: list[tuple[str, bool]], n: int) -> Column:
     return ranked.agg(F.transform(sorted_items, lambda x: x["item"])).scalar()
 
 
-def worst_department(base: DataFrame) -> Column:
-    found = sla_summary(base, "department", ordered=False)
-    return support.first_by(
-        found, -F.col("sla_breach_rate"), F.col("department"), take=["department", "sla_breach_rate"]
-    )
-
-
-def top_issue(base: DataFrame) -> Column:
-    found = support.issue_summary(base, ordered=False)
-    return support.first_by(found, -F.col("total_tickets"), F.col("issue_type"), take=["issue_type", "total_tickets"])
-
-
-def busiest_agent(base: DataFrame) -> Column:
-    found = support.agent_performance(base, ordered=False)
-    return support.first_by(found, -F.col("total_tickets"), F.col("agent"), take=["agent", "total_tickets"])
-
-
-def worst_pain_point(base: DataFrame) -> Column:
-    found = support.root_causes(base, ordered=False)
-    return support.first_by(
-        found, -F.col("high_risk_tickets"), -F.col("sla_breaches"), F.col("department"), F.col("issue_type"),
-        take=["department", "issue_type", "high_risk_tickets", "sla_breaches"],
-    )
-
-
 def overloaded(base: DataFrame) -> DataFrame:
     return support.overloaded_agents(support.agent_performance(base, ordered=False))
 
@@ -78,16 +51,66 @@ def _or(value: Column, default: str = "N/A") -> Column:
     return F.coalesce(value.cast("string"), F.lit(default))
 
 
-def _facts(base: DataFrame) -> DataFrame:
-    """KPIs, worst department, top issue and number of overloaded agents in one row."""
-    return support.kpis(base).withColumns(
+# Grouping ids over (department, issue_type, agent): a set bit is a key that is summed over.
+ALL, BY_DEPARTMENT, BY_ISSUE, BY_AGENT, BY_CAUSE = 7, 3, 5, 6, 1
+
+
+def facts(base: DataFrame, pain_points: int = 5) -> DataFrame:
+    """One row: the KPIs, the leaders, how many agents are overloaded, and the first `pain_points` root causes.
+
+    One pass over the rollup: grouping sets sum it to all levels, a window per level adds the agents' means and the order
+    of the causes, and one aggregate with a condition per level takes what is asked. The levels hold one row per
+    department, issue, agent and cause, however many tickets there are.
+    """
+    keys = ("department", "issue_type", "agent")
+    measures = [c for c in base.columns if c.startswith(PREFIX)]
+    sets = [[], ["department"], ["issue_type"], ["agent"], ["department", "issue_type"]]
+    levels = base.groupingSets(sets, *keys).agg(F.grouping_id().alias("_level"), *[F.sum(c).alias(c) for c in measures])
+    level, tickets, high, breaches = F.col("_level"), total("ids", F.col), total("high", F.col), total("breached", F.col)
+    named = {
+        BY_DEPARTMENT: F.col("department").isNotNull(),
+        BY_ISSUE: F.col("issue_type").isNotNull(),
+        BY_AGENT: F.col("agent").isNotNull(),
+        BY_CAUSE: F.col("department").isNotNull() & F.col("issue_type").isNotNull(),
+    }
+    counted = levels.withColumn("_named", F.coalesce(*[F.when(level == at, present) for at, present in named.items()], F.lit(True)))
+    within = Window.partitionBy("_level", "_named")
+    cause_order = [-high, -breaches, F.col("department"), F.col("issue_type")]
+    ranked = counted.withColumns(
         {
-            "_department": worst_department(base),
-            "_issue": top_issue(base),
-            "_overloaded": overloaded(base).agg(F.count("*")).scalar(),
+            "_mean_tickets": F.avg(tickets).over(within),
+            "_mean_high": F.avg(high).over(within),
+            "_rank": F.row_number().over(within.orderBy(*cause_order)),
         }
     )
 
+    def at(where: int) -> Column:
+        return (level == where) & F.col("_named")
+
+    def leader(where: int, order: list[Column], **take: Column) -> Column:
+        fields = F.struct(*[c.alias(name) for name, c in take.items()])
+        return F.min_by(F.when(at(where), fields), F.when(at(where), F.struct(*order)))
+
+    breach_rate = rate("breached", "rows", F.col)
+    cause = F.struct("department", "issue_type", *[c.alias(name) for name, c in support.cause_columns(F.col).items()])
+    listed = F.collect_list(F.when(at(BY_CAUSE) & (F.col("_rank") <= pain_points), F.struct("_rank", cause.alias("cause"))))
+    above = at(BY_AGENT) & ((tickets > F.col("_mean_tickets")) | (high > F.col("_mean_high")))
+    row = ranked.agg(
+        *[F.sum(F.when(level == ALL, F.col(c))).alias(c) for c in measures],
+        leader(BY_DEPARTMENT, [-breach_rate, F.col("department")], department=F.col("department"), sla_breach_rate=breach_rate).alias(
+            "_department"),
+        leader(BY_ISSUE, [-tickets, F.col("issue_type")], issue_type=F.col("issue_type"), total_tickets=tickets).alias("_issue"),
+        leader(BY_AGENT, [-tickets, F.col("agent")], agent=F.col("agent"), total_tickets=tickets).alias("_agent"),
+        leader(
+            BY_CAUSE, cause_order, department=F.col("department"), issue_type=F.col("issue_type"), high_risk_tickets=high,
+            sla_breaches=breaches,
+        ).alias("_pain_point"),
+        F.count_if(above).alias("_overloaded"),
+        F.transform(F.array_sort(listed), lambda x: x["cause"]).alias("_pain_points"),
+    )
+    taken = ("_department", "_issue", "_agent", "_pain_point", "_overloaded", "_pain_points")
+    return row.select(*[c.alias(name) for name, c in support.kpi_columns(F.col).items()], *taken)
+
 
 def _sections() -> Column:
     department, issue = F.col("_department"), F.col("_issue")
@@ -132,18 +155,14 @@ def briefing(scored: DataFrame, base: DataFrame | None = None, tickets: int = 10
     The overloaded agents are counted here; `overloaded(base)` lists them.
     """
     base = briefing_base(scored) if base is None else base
-    return _facts(base).select(
+    return facts(base, pain_points).select(
         F.struct(*KPIS).alias("kpis"),
         _sections().alias("briefing_sections"),
         _actions().alias("recommended_actions"),
         records(
             scored.select(*TOP_COLUMNS), [("escalation_risk_score", True), ("ticket_id", False)], tickets
         ).alias("top_high_risk_tickets"),
-        records(
-            support.root_causes(base, ordered=False),
-            [("high_risk_tickets", True), ("sla_breaches", True), ("department", False), ("issue_type", False)],
-            pain_points,
-        ).alias("top_pain_points"),
+        F.col("_pain_points").alias("top_pain_points"),
         F.col("_overloaded").alias("overloaded_agents"),
         F.array(*[F.lit(step) for step in (*W.BRIEF_TRACE, W.TRACE_RULES)]).alias("agent_trace"),
     )
@@ -248,14 +267,8 @@ def run_findings(
 def recommendations(scored: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Up to five rows (position, opportunity, reason, recommendation, impact, difficulty); none without tickets."""
     base = briefing_base(scored) if base is None else base
-    facts = support.kpis(base).withColumns(
-        {
-            "department": worst_department(base),
-            "issue": top_issue(base),
-            "agent": busiest_agent(base),
-            "pain_point": worst_pain_point(base),
-        }
-    )
+    found = facts(base).withColumnsRenamed(
+        {"_department": "department", "_issue": "issue", "_agent": "agent", "_pain_point": "pain_point"})
     none = F.lit("")
     pain = F.col("pain_point")
     # key: (applies, name, value, more)
@@ -291,5 +304,5 @@ def recommendations(scored: DataFrame, base: DataFrame | None = None) -> DataFra
                 ),
             )
         )
-    listed = facts.select(F.inline_outer(F.array_compact(F.array(*items))))
+    listed = found.select(F.inline_outer(F.array_compact(F.array(*items))))
     return listed.where(F.col("position").isNotNull())

@@ -59,17 +59,20 @@ def rollup(frame: DataFrame, *keys: str) -> DataFrame:
     return measured.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measured.columns if c.startswith(PREFIX)])
 
 
-def total(name: str) -> Column:
-    return F.coalesce(F.sum(PREFIX + name), F.lit(0).cast("bigint"))
+# `of` is F.sum in an aggregate, and F.col where each row holds its sums already.
 
 
-def rate(part: str, whole: str) -> Column:
-    return percent(total(part), total(whole))
+def total(name: str, of=F.sum) -> Column:
+    return F.coalesce(of(PREFIX + name), F.lit(0).cast("bigint"))
 
 
-def average(value: str, count: str) -> Column:
-    summed = F.sum(PREFIX + value).cast("double") / UNITS.get(value, 1.0)
-    return round_half_even(ratio(summed, total(count)), 2)
+def rate(part: str, whole: str, of=F.sum) -> Column:
+    return percent(total(part, of), total(whole, of))
+
+
+def average(value: str, count: str, of=F.sum) -> Column:
+    summed = of(PREFIX + value).cast("double") / UNITS.get(value, 1.0)
+    return round_half_even(ratio(summed, total(count, of)), 2)
 
 
 def summarise(frame: DataFrame, by: list[str], **columns: Column) -> DataFrame:

@@ -11,23 +11,25 @@ from gaugeworks.operators.cleaning import find_column
 from gaugeworks.operators.measures import average, rate, summarise, total
 
 
+def kpi_columns(of=F.sum) -> dict[str, Column]:
+    return dict(
+        total_tickets=total("rows", of),
+        open_tickets=total("open", of),
+        closed_tickets=total("closed", of),
+        escalated_tickets=total("escalated", of),
+        sla_breach_rate=rate("breached", "rows", of),
+        avg_resolution_hours=average("hours", "hours_n", of),
+        avg_customer_rating=average("rating", "rating_n", of),
+        high_risk_tickets=total("high", of),
+        negative_sentiment_rate=rate("negative", "rows", of),
+        breached_tickets=total("breached", of),
+        negative_tickets=total("negative", of),
+    )
+
+
 def kpis(frame: DataFrame) -> DataFrame:
     """One row with all KPIs and the counters the briefing needs."""
-    return summarise(
-        frame,
-        [],
-        total_tickets=total("rows"),
-        open_tickets=total("open"),
-        closed_tickets=total("closed"),
-        escalated_tickets=total("escalated"),
-        sla_breach_rate=rate("breached", "rows"),
-        avg_resolution_hours=average("hours", "hours_n"),
-        avg_customer_rating=average("rating", "rating_n"),
-        high_risk_tickets=total("high"),
-        negative_sentiment_rate=rate("negative", "rows"),
-        breached_tickets=total("breached"),
-        negative_tickets=total("negative"),
-    )
+    return summarise(frame, [], **kpi_columns())
 
 
 def agent_performance(frame: DataFrame, ordered: bool = True) -> DataFrame:
@@ -55,17 +57,19 @@ def issue_summary(frame: DataFrame, ordered: bool = True) -> DataFrame:
     return found.orderBy(F.desc("total_tickets"), "issue_type") if ordered else found
 
 
+def cause_columns(of=F.sum) -> dict[str, Column]:
+    return dict(
+        total_tickets=total("ids", of),
+        sla_breaches=total("breached", of),
+        high_risk_tickets=total("high", of),
+        avg_risk_score=average("score", "rows", of),
+        avg_customer_rating=average("rating", "rating_n", of),
+    )
+
+
 def root_causes(frame: DataFrame, ordered: bool = True) -> DataFrame:
     """Per department and issue, most high-risk tickets first, then most breaches."""
-    found = summarise(
-        frame,
-        ["department", "issue_type"],
-        total_tickets=total("ids"),
-        sla_breaches=total("breached"),
-        high_risk_tickets=total("high"),
-        avg_risk_score=average("score", "rows"),
-        avg_customer_rating=average("rating", "rating_n"),
-    )
+    found = summarise(frame, ["department", "issue_type"], **cause_columns())
     order = [F.desc("high_risk_tickets"), F.desc("sla_breaches"), "department", "issue_type"]
     return found.orderBy(*order) if ordered else found
 
@@ -81,7 +85,7 @@ def risk_histogram(frame: DataFrame) -> DataFrame:
 def overloaded_agents(agents: DataFrame) -> DataFrame:
     """Agents of an `agent_performance` frame above the mean in tickets or in high-risk tickets, and why.
 
-    The means come in as a one-row subquery; the frame is read twice, so pass a materialised one if it is costly.
+    The means come in as a one-row subquery over the same frame, whose shuffle the two share.
     """
     mean = agents.agg(F.avg("total_tickets").alias("tickets"), F.avg("high_risk_tickets").alias("high"))
     compared = agents.withColumn("_mean", mean.select(F.struct("tickets", "high")).scalar())

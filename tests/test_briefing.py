@@ -96,3 +96,15 @@ def test_questions(spark):
     given = spark.createDataFrame([("a", " because \n")], "question_id string, reply string")
     answers = {r.question_id: r.answer for r in questions.answer(asked, given).collect()}
     assert answers == {"a": "because", "b": rows["b"].fallback_answer}
+
+
+def test_no_job_runs_while_a_briefing_is_built(spark, tickets):
+    scored = risk.add_risk(tickets(dict(), dict()))
+    spark.sparkContext.setJobGroup("building", "none expected")
+    try:
+        briefing.briefing(scored)
+        briefing.run_findings(scored)
+        briefing.recommendations(scored)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
