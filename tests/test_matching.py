@@ -125,3 +125,21 @@ def test_attach_without_rows_or_keys(spark):
     for rows in ([], [(None, 1), (None, 2)]):
         left = spark.createDataFrame(rows, "k string, row int")
         assert attach(left, right, "k", ["row"], hot_keys(left, "k")).count() == len(rows)
+
+
+def scans(frame, column):
+    """How many scans of a physical plan read a column."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return sum(f" {column}#" in line.split("PartitionFilters")[0] or f",{column}#" in line or f"[{column}#" in line for line in plan.splitlines() if "FileScan" in line)
+
+
+def test_texts_are_read_once(spark):
+    import registered
+
+    folder = "/root/testdata/sf0.001"
+    # Once for the resumes and once for the jobs.
+    assert scans(registered.QUERIES["candidate_prompts"](spark, folder), "text") == 2
+    assert scans(registered.QUERIES["validated_feedback"](spark, folder), "text") == 2
+    # Once for the scored side, once for the view that invents the replies.
+    assert scans(registered.QUERIES["merged_triage"](spark, folder), "o_orderkey") == 2
+    assert "RoundRobin" not in registered.QUERIES["ticket_triage"](spark, folder)._jdf.queryExecution().executedPlan().toString()
