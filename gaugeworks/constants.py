@@ -105,3 +105,18 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+
+# Columns of the top-risk list, fields of a triage record and of its reply, KPIs of a briefing, in order.
+TOP_COLUMNS = (
+    "ticket_id", "department", "issue_type", "priority", "agent", "status", "sla_status", "sentiment",
+    "previous_contacts", "customer_rating", "escalation_risk_score", "customer_message",
+)
+TRIAGE_FIELDS = (
+    "ticket_id", "risk_score", "risk_level", "sla_status", "sentiment", "action_level", "recommended_action",
+    "routing_recommendation", "urgency", "business_reason", "business_impact", "risk_factors",
+    "internal_manager_note", "customer_response_draft", "agent_trace",
+)
+KPIS = (
+    "total_tickets", "open_tickets", "closed_tickets", "escalated_tickets", "sla_breach_rate",
+    "avg_resolution_hours", "avg_customer_rating", "high_risk_tickets", "negative_sentiment_rate",
+)

@@ -20,10 +20,7 @@ from gaugeworks.operators.risk import TOP_COLUMNS, ensure_scored, is_scored
 from gaugeworks.operators.sla import sla_summary
 
 SECTIONS = tuple(W.BRIEF_TITLES)
-KPIS = (
-    "total_tickets", "open_tickets", "closed_tickets", "escalated_tickets", "sla_breach_rate",
-    "avg_resolution_hours", "avg_customer_rating", "high_risk_tickets", "negative_sentiment_rate",
-)
+KPIS = C.KPIS
 
 
 def briefing_base(scored: DataFrame) -> DataFrame:

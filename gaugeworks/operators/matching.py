@@ -89,13 +89,19 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _advice(keywords: str, line: str, nothing: str) -> Column:
+    """A line for each of the first keywords of a list; one line of its own if the list is empty."""
+    made = F.transform(F.slice(keywords, 1, W.ADVICE_ITEMS), lambda k: fill(line, keyword=k))
+    return F.when(F.size(keywords) > 0, made).otherwise(_texts([nothing]))
+
+
 def _fallback_fields(max_items: int) -> dict[str, Column]:
     return {
         "overall_feedback": fill(W.FEEDBACK, score=F.col("score")),
         "strengths": F.slice("matched", 1, max_items),
         "gaps": F.slice("missing", 1, max_items),
-        "resume_improvements": _texts(W.IMPROVEMENTS),
-        "interview_questions": _texts(W.QUESTIONS),
+        "resume_improvements": _advice("missing", W.IMPROVEMENT, W.NOTHING_MISSING),
+        "interview_questions": _advice("matched", W.QUESTION, W.NOTHING_MATCHED),
         "agent_trace": _texts([W.FEEDBACK_TRACE]),
     }
 
@@ -148,8 +154,8 @@ def candidate_report(matches: DataFrame, shown: int = 20) -> DataFrame:
         fill(W.CANDIDATE_SCORE, score=F.col("score")),
         *_section("Matched keywords", join(F.slice("matched", 1, shown))),
         *_section("Missing keywords", join(F.slice("missing", 1, shown))),
-        *_section("Improvements", numbered(_texts(W.IMPROVEMENTS))),
-        *_section("Interview questions", numbered(_texts(W.QUESTIONS))),
+        *_section("Improvements", numbered(_advice("missing", W.IMPROVEMENT, W.NOTHING_MISSING))),
+        *_section("Interview questions", numbered(_advice("matched", W.QUESTION, W.NOTHING_MATCHED))),
     )
     return matches.select("resume_id", "jd_id", report.alias("report"))
 

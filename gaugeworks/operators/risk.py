@@ -10,10 +10,7 @@ from gaugeworks.functions.numeric import band, points
 from gaugeworks.functions.sentiment import label_of_score, sentiment_score
 from gaugeworks.operators.sla import add_sla
 
-TOP_COLUMNS = (
-    "ticket_id", "department", "issue_type", "priority", "agent", "status", "sla_status", "sentiment",
-    "previous_contacts", "customer_rating", "escalation_risk_score", "customer_message",
-)
+TOP_COLUMNS = C.TOP_COLUMNS
 
 
 def add_sentiment(frame: DataFrame) -> DataFrame:

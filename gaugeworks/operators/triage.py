@@ -8,11 +8,7 @@ from gaugeworks import wording as W
 from gaugeworks.functions.sentiment import is_negative
 from gaugeworks.functions.text import fill, join, present
 
-FIELDS = (
-    "ticket_id", "risk_score", "risk_level", "sla_status", "sentiment", "action_level", "recommended_action",
-    "routing_recommendation", "urgency", "business_reason", "business_impact", "risk_factors",
-    "internal_manager_note", "customer_response_draft", "agent_trace",
-)
+FIELDS = C.TRIAGE_FIELDS
 
 
 def _text(name: str, default: str = "") -> Column:

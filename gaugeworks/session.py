@@ -18,6 +18,7 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 PARTITION_BYTES = 128 * 1024 * 1024
+_scratch: list[str] = []
 
 
 def settings_for(shuffled_bytes: int) -> dict[str, str]:
@@ -33,11 +34,14 @@ def settings_for(shuffled_bytes: int) -> dict[str, str]:
     }
 
 
-def build_session(app: str = "gaugeworks", master: str | None = None, **conf) -> SparkSession:
+def build_session(
+    app: str = "gaugeworks", master: str | None = None, shuffled_bytes: int | None = None, **conf
+) -> SparkSession:
+    """A session with this library's settings. `shuffled_bytes`, the largest shuffle expected, sizes its partitions."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    for key, value in {**SETTINGS, **(settings_for(shuffled_bytes) if shuffled_bytes else {}), **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -65,8 +69,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/gaugeworks/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. Its owner is this process, until `clear_scratch`."""
+    path = f"{shared_dir(spark).rstrip('/')}/gaugeworks/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this process has written to scratch paths, once no frame that reads it is needed any more."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(frame: DataFrame) -> DataFrame:

@@ -114,11 +114,9 @@ COST_REPORT_LINES = (
     "Vendor with the highest spend: {vendor}",
     "",
     "Next steps:",
-    "1. Look at lines more than 15% over budget.",
-    "2. Talk to the largest vendors about prices or bundling.",
-    "3. Check subscriptions and cloud use that recur every month.",
-    "4. Warn owners once a line is 10% over budget.",
-    "5. Ask the owners of lines that are over budget again and again.",
+    "1. Go through the lines of {department}.",
+    "2. Ask {vendor} for better terms.",
+    "3. Set ${savings} as the aim of both.",
     "",
     "Savings assume that 45% of the overspend can be avoided.",
 )
@@ -148,20 +146,12 @@ COST_ANSWER = (
 
 # Matching
 FEEDBACK = "{score} of 100 keywords match. Show tools, results and their value in the terms of this job."
-IMPROVEMENTS = (
-    "Work missing keywords into the lines on past jobs, where they are true.",
-    "Give numbers: time saved, cost cut, errors avoided.",
-    "Bring the skills section in line with the job description.",
-    "Tell one project from the first analysis to the decision.",
-    "Name work with stakeholders, requirements and KPI reports.",
-)
-QUESTIONS = (
-    "Which process have you improved, and how?",
-    "How do you find out and write down what stakeholders need?",
-    "How would you study SLA or cost figures?",
-    "Which dashboards or reports are yours?",
-    "How do you explain a technical finding to others?",
-)
+# One line for each of the first ADVICE_ITEMS keywords, missing ones for improvements and matched ones for questions.
+ADVICE_ITEMS = 5
+IMPROVEMENT = "Show where you have worked with {keyword}, if you have."
+NOTHING_MISSING = "No leading keyword of the job is missing; add results in numbers."
+QUESTION = "What have you done with {keyword}, and what came of it?"
+NOTHING_MATCHED = "Which of your tools would help in this job?"
 FEEDBACK_TRACE = "Feedback comes from the keyword match"
 FEEDBACK_REPLY_TRACE = "Feedback takes over the model reply"
 FEEDBACK_BAD_REPLY = "The model reply could not be read; feedback comes from the keyword match"

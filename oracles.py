@@ -289,13 +289,22 @@ def strings(values) -> str:
     return "[" + ", ".join(text(v) for v in values) + "]"
 
 
+def advice(keywords: str, line: str, nothing: str) -> str:
+    made = f"list_transform({keywords}[1:{W.ADVICE_ITEMS}], lambda k: {fill(line, keyword='k')})"
+    return f"CASE WHEN len({keywords}) > 0 THEN {made} ELSE [{text(nothing)}] END"
+
+
+IMPROVEMENTS = advice("missing", W.IMPROVEMENT, W.NOTHING_MISSING)
+INTERVIEW = advice("matched", W.QUESTION, W.NOTHING_MATCHED)
+
+
 FEEDBACK = f"""
 SELECT m.resume_id, m.jd_id, m.score, f.reply,
        CASE WHEN resume_id % 4 = 0 THEN 'Good fit' ELSE {fill(W.FEEDBACK, score='score')} END AS overall_feedback,
        CASE WHEN resume_id % 4 = 0 THEN ['sql', 'reports'] ELSE matched[1:8] END AS strengths,
        CASE WHEN resume_id % 4 = 0 THEN [] ELSE missing[1:8] END AS gaps,
-       {strings(W.IMPROVEMENTS)} AS resume_improvements,
-       CASE WHEN resume_id % 4 = 1 THEN ['Why us?'] ELSE {strings(W.QUESTIONS)} END AS interview_questions,
+       {IMPROVEMENTS} AS resume_improvements,
+       CASE WHEN resume_id % 4 = 1 THEN ['Why us?'] ELSE {INTERVIEW} END AS interview_questions,
        CASE WHEN resume_id % 4 < 2 THEN {strings([W.FEEDBACK_TRACE, W.FEEDBACK_REPLY_TRACE])}
             WHEN resume_id % 4 = 2 THEN {strings([W.FEEDBACK_TRACE, W.FEEDBACK_BAD_REPLY])}
             ELSE {strings([W.FEEDBACK_TRACE])} END AS agent_trace
@@ -666,7 +675,7 @@ _SQL = {
     "candidate_feedback": (
         f"""SELECT resume_id, jd_id, score, {fill(W.FEEDBACK, score='score')} AS overall_feedback,
             array_to_string(matched[1:8], '|') AS strengths, array_to_string(missing[1:8], '|') AS gaps,
-            {text('|'.join(W.IMPROVEMENTS))} AS resume_improvements, {text('|'.join(W.QUESTIONS))} AS interview_questions,
+            array_to_string({IMPROVEMENTS}, '|') AS resume_improvements, array_to_string({INTERVIEW}, '|') AS interview_questions,
             {text(W.FEEDBACK_TRACE)} AS agent_trace FROM matches""", "matches",
     ),
     "validated_feedback": (
@@ -676,8 +685,8 @@ _SQL = {
         f"""SELECT resume_id, jd_id, {report(
             ('Matched keywords', "coalesce(array_to_string(matched[1:20], ', '), '')"),
             ('Missing keywords', "coalesce(array_to_string(missing[1:20], ', '), '')"),
-            ('Improvements', numbered(strings(W.IMPROVEMENTS))),
-            ('Interview questions', numbered(strings(W.QUESTIONS))))} AS report FROM matches""", "matches",
+            ('Improvements', numbered(IMPROVEMENTS)),
+            ('Interview questions', numbered(INTERVIEW)))} AS report FROM matches""", "matches",
     ),
     "feedback_report": (
         f"""SELECT resume_id, jd_id, {report(

@@ -440,7 +440,8 @@ def guarded_csv(v, spark, folder):
     path = scratch_path(spark, "volumes") + ".csv"
     counted = rollup(_scored(v), "department", "issue_type", "agent")
     sinks.write_csv(counted.select("department", "issue_type", "agent", "m_rows"), path)
-    read = tables.read_guarded_csv(spark, path)
+    # The view has 5 departments, 8 issues and 8 agents, whatever the number of orders.
+    read = tables.read_guarded_csv(spark, path, max_rows=5 * 8 * 8)
     return read.select("department", "issue_type", "agent", F.col("m_rows").cast("bigint").alias("tickets"))
 
 

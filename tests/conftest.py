@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from gaugeworks import schemas  # noqa: E402
-from gaugeworks.session import build_session  # noqa: E402
+from gaugeworks.session import build_session, clear_scratch  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

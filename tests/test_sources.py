@@ -121,3 +121,11 @@ def test_strict_costs_and_rejected_cells(spark, tmp_path):
         tables.load_costs(spark, str(path), lenient=False, formats=formats).collect()
     path.write_text("date,department,actual_amount\n01/31/2025,IT,10.50\n")
     assert str(tables.load_costs(spark, str(path), lenient=False, formats=formats).first().actual_amount) == "10.50"
+
+
+def test_scratch_goes_when_its_owner_says_so(spark):
+    path = session.scratch_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    session.clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
