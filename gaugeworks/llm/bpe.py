@@ -12,6 +12,7 @@ Reuse is within a Python worker, across its tasks: moving chunks and ids through
 the whole cluster would move more bytes than the input has. The caches are bounded and keep the more recent half.
 """
 
+import os
 import re
 import sys
 import types
@@ -25,7 +26,9 @@ WINDOW = 16
 CHUNK_BITS = 9
 BASE = 0x9E3779B1
 WORD_CACHE = 400_000
-CHUNK_CACHE = 40_000
+CHUNK_CACHE = 10_000
+
+ROUND_TRIP = "doc_id long, n_tokens long, ids binary, decoded string"
 
 # These four end no word for the tokenizer, but would for str.split().
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -33,6 +36,19 @@ SPACES = re.compile("[ \t\n\r\x0b\x0c]+")
 FIRST_SPACE = re.compile("[ \t\n\r\x0b\x0c]")
 
 
+# Words of visible ASCII and the accented Latin letters need no normalizing but lower case: their pieces are letters, single
+# digits and runs of the rest. An apostrophe starts pieces of its own and < may start a special token, so these are left out.
+PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> list[str]:
+    """The visible character that stands for each byte: itself where it is one, else the next one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Recent:
     """A map of at most about `size` entries that forgets those not used for longest, half at a time."""
 
@@ -70,6 +86,7 @@ class Codec:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -78,9 +95,32 @@ class Codec:
         if self.tokenizer.decoder is not None:
             raise ValueError("only vocabularies without a decoder, whose tokens are joined by spaces, are decoded here")
         self.words, self.chunks = Recent(WORD_CACHE), Recent(CHUNK_CACHE)
+        self.letters, self.merge = byte_letters(), self.tokenizer.model.tokenize
+        sample = "Größe42-x"
+        self.plain = self._plain(sample) == tuple(self.tokenizer.encode(sample, add_special_tokens=False).ids)
+
+    def _plain(self, word: str) -> tuple[int, ...]:
+        """A word that matches PLAIN, piece by piece straight through the merges."""
+        word = word.lower()
+        pieces = [word] if word.isascii() and word.isalpha() else PIECES.findall(word)
+        ids, merge = [], self.merge
+        for piece in pieces:
+            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids += [token.id for token in merge(shown)]
+        return tuple(ids)
 
     def _encode_words(self, words: list[str]) -> None:
-        """Encode new words in one call and tell their ids apart by where they stand."""
+        """Encode new words: plain ones by the merges alone, the others in one call, told apart by where they stand."""
+        if self.plain:
+            others = []
+            for word in words:
+                if PLAIN.fullmatch(word):
+                    self.words.put(word, self._plain(word))
+                else:
+                    others.append(word)
+            words = others
+        if not words:
+            return
         line = "\n".join(words)
         found = self.tokenizer.encode(line, add_special_tokens=False)
         ids, at, end, begin = found.ids, 0, 0, [s for s, _ in found.offsets]
@@ -156,6 +196,14 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, dtype="<u4").tolist()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids: ids packed as little-endian unsigned 32-bit numbers. One row per input row, no shuffle.
 
@@ -164,8 +212,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = vocabulary(docs.sparkSession, path)
 
     def run(ids, bodies):
-        encoded = [codec(shared.value).encode(body) for body in bodies]
-        return ids, [len(e) for e in encoded], [np.array(e, dtype="<u4").tobytes() for e in encoded]
+        encoded = [packed(codec(shared.value).encode(body)) for body in bodies]
+        return ids, [len(e) // 4 for e in encoded], encoded
 
     return map_batches(texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids binary")
 
@@ -174,7 +222,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of `encode` with the decoded text as column `decoded`."""
     shared = vocabulary(encoded.sparkSession, path)
 
-    def run(ids, sizes, packed):
-        return ids, sizes, packed, [codec(shared.value).decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
+    def run(ids, sizes, tokens):
+        return ids, sizes, tokens, [codec(shared.value).decode(unpacked(t)) for t in tokens]
+
+    return map_batches(encoded.select("doc_id", "n_tokens", "ids"), run, ROUND_TRIP)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`encode` and then `decode`, in one pass and thus with one Python worker and one set of caches per core."""
+    shared = vocabulary(docs.sparkSession, path)
+
+    def run(ids, bodies):
+        own = codec(shared.value)
+        tokens = [packed(own.encode(body)) for body in bodies]
+        return ids, [len(t) // 4 for t in tokens], tokens, [own.decode(unpacked(t)) for t in tokens]
 
-    return map_batches(encoded.select("doc_id", "n_tokens", "ids"), run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return map_batches(texts(docs, id_col, text_col), run, ROUND_TRIP)

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from gaugeworks.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE_ROWS = 500
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -22,13 +23,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def map_batches(frame: DataFrame, function, schema: str) -> DataFrame:
-    """`function` gets the columns of an Arrow batch as lists and returns the columns of the schema as lists or arrays."""
+    """`function` gets the columns of some rows as lists and returns the columns of the schema as lists or arrays.
+
+    It sees SLICE_ROWS rows at a time, so Python never holds a whole batch of long texts as objects.
+    """
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                columns = function(*(c.to_pylist() for c in batch.columns))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                columns = function(*(c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns))
                 arrays = [pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=fields)
 
