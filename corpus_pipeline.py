@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: without letters, or without a language of at least half the score."""
+    """Drops documents whose language cannot be told: without letters, or with a score below 0.4 (several languages)."""
     return language.keep(docs, language.train(docs)).select(*COLUMNS)
 
 

@@ -175,7 +175,8 @@ def test_language_on_held_out_documents(spark):
 
 
 def test_script_narrows_the_candidates():
-    allowed = {"latin": np.array([True, False]), "cyrillic": np.array([False, True])}
+    allowed = np.zeros((len(language.NAMES), 2), dtype=bool)
+    allowed[language.NAMES.index("latin"), 0] = allowed[language.NAMES.index("cyrillic"), 1] = True
     model = language.Model(["en", "ru"], np.zeros((2, language.BUCKETS)), allowed)
     assert language.label("привет мир " * 5 + "hello there " * 9, model)[0] == "en"
     assert [s["lang"] for s in language.label("привет мир " * 9 + "hello there " * 9, model)[2]] == ["ru", "en"]
