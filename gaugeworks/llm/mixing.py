@@ -21,7 +21,7 @@ SHARE_PERCENT = 150
 MOST_TIMES = 2
 BLOCK_WORDS = 128
 BUCKET_ROWS = 50_000
-SLOT_RANGE = 1 << 15
+SLOT_RANGE = 1 << 12
 SHARD_SLOTS = 1 << 13
 ROUNDS = 12
 PRIME = (1 << 31) - 1
@@ -119,7 +119,8 @@ def slots(per_source: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0)
     ranges = (
         per_source.where("n_slots > 0")
         .select("key", "source_no", "n_blocks", "n_slots", "all_slots", F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {SLOT_RANGE})")).alias("_range"))
-        .repartition("key", "_range")
+        # With a number, as adaptive execution would merge these few rows into one task before they are exploded.
+        .repartition(int(per_source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "_range")
         .withColumn("_keys", round_keys("source_no", "n_blocks", seed))
     )
     every = ranges.select(
@@ -210,9 +211,11 @@ class Mixture:
         every_word = F.filter(F.split(F.col("carried.text"), SPACES), lambda w: w != "")
         mine = F.expr("filter(blocks, b -> b.uses >= time)")
         start = f"cast(greatest(first_word, b.block * {self.block_words}) - first_word + 1 AS INT)"
+        # The words are the variable of an outer lambda, so a text is split once and not once for each of its blocks.
+        used = f"array_join(flatten(transform(_mine, b -> slice(words, {start}, cast(b.words AS INT)))), ' ')"
         return (
             each.withColumn("_words", every_word)
             .withColumn("_mine", mine)
-            .withColumn("text", F.expr(f"array_join(flatten(transform(_mine, b -> slice(_words, {start}, cast(b.words AS INT)))), ' ')"))
+            .withColumn("text", F.expr(f"transform(array(_words), words -> {used})[0]"))
             .select("carried", "text", "time")
         )

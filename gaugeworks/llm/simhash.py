@@ -226,6 +226,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, agree:
     return dealt.mapInArrow(compare, "u long, v long")
 
 
+def classes(marked: DataFrame, tables: SharedTables, radius: int = RADIUS) -> DataFrame:
+    """bits, component_id: each distinct fingerprint of `marked` (doc_id, bits) and the smallest doc_id that links reach."""
+    distinct = tables.write(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
+    stars = components(links(distinct.select("bits"), radius), tables)
+    rooted = distinct.join(stars.select(F.col("u").alias("bits"), F.col("v").alias("root")), "bits", "left").withColumn(
+        "root", F.coalesce("root", "bits"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return tables.write(rooted.join(named, "root").select("bits", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, bits, component_id: one row per input row; component_id is the smallest doc_id that links reach.
 
@@ -234,13 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tables = SharedTables(docs.sparkSession, "simhash")
     marked = tables.write(fingerprints(docs, id_col, text_col), "marked")
-    distinct = tables.write(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = components(links(distinct.select("bits"), radius), tables)
-    rooted = distinct.join(stars.select(F.col("u").alias("bits"), F.col("v").alias("root")), "bits", "left").withColumn(
-        "root", F.coalesce("root", "bits"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = tables.write(rooted.join(named, "root").select("bits", "component_id"), "classes")
-    return marked.join(classes, "bits").select("doc_id", "bits", "component_id")
+    return marked.join(classes(marked, tables, radius), "bits").select("doc_id", "bits", "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -248,13 +252,15 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both the id and the fingerprint are one document, of which one row stays.
     """
-    found = near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("bits").alias("_own")).distinct()
+    tables = SharedTables(docs.sparkSession, "simhash-keep")
 
     @F.pandas_udf("long")
-    def bits(bodies: pd.Series) -> pd.Series:
+    def bits_of(bodies: pd.Series) -> pd.Series:
         return pd.Series([signed(fingerprint(b or "")) for b in bodies], dtype="int64")
 
-    rows = docs.withColumn("_bits", bits("text"))
+    # Written with the documents, so that fingerprints are made once.
+    rows = tables.write(docs.withColumn("_bits", bits_of("text")), "rows")
+    found = classes(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_bits").alias("bits")), tables)
+    stays = found.select(F.col("component_id").alias("_id"), F.col("bits").alias("_own"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_bits") == F.col("_own"))
     return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_bits"]).drop("_bits")
