@@ -8,6 +8,8 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts in a docume
 2. Meet. A bucket tells which hashes more than one document has; documents get back the list of theirs.
 3. Cut. Each document cuts the runs with such a hash into strings of at most `PIECE + LENGTH - 1` bytes. A string that
    several documents of a batch have is sent once, with the smallest of their ids; the others are resolved on the spot.
+   Where a hash is in very many documents, the strings around it would meet in one bucket; its windows are sent one by
+   one instead, each to the bucket of its own bytes.
 4. Sort. A bucket builds the Burrows-Wheeler transform and the common prefixes of its collection of strings. Each round
    inserts one symbol of every string: the stable order of the transform's symbols says where the extended suffixes go, and
    the least common prefix between neighbours with the same symbol, plus one, is the new common prefix. Suffixes whose
@@ -18,6 +20,8 @@ The transform, common prefixes and suffix names are streams that a round reads f
 memory, as a block of the collection is bounded by `BLOCK_STRINGS`, and one task sorts one block after the other.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,7 +33,12 @@ from gaugeworks.llm.common import SharedTables, texts
 LENGTH = 50
 GRAM = 24
 PIECE = LENGTH - GRAM + 1
-BLOCK_STRINGS = 20_000
+BLOCK_STRINGS = 4_000
+# Documents that a task looks at together.
+BATCH_ROWS = 4_000
+# A hash is hot from this many documents on, or from more if there would be over HOT_HASHES of them, as these are broadcast.
+HOT_DOCUMENTS = 50_000
+HOT_HASHES = 5_000_000
 NO_ID = -(1 << 63)
 
 
@@ -92,17 +101,21 @@ def collection_minima(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]
     """For each window of each string, the smallest id of a string that has it.
 
     Column-wise construction of the transform (`symbols`) and the common prefixes (`common`, up to LENGTH) of the strings'
-    suffixes; `owner` and `size` name the suffixes. Each string ends in a terminator that is smaller than any byte.
+    suffixes; `names` (string times 256 plus length) says whose suffix each is. Each string ends in a terminator that is
+    smaller than any byte. Bytes that occur are numbered anew, in order, as sorting eight bits is fast.
     """
     count = len(strings)
     lengths = np.array([len(s) for s in strings])
     longest = int(lengths.max())
-    columns = np.zeros((longest, count), dtype=np.uint16)
+    used = np.unique(np.frombuffer(b"".join(strings), dtype=np.uint8))
+    kind = np.uint8 if len(used) < 256 else np.uint16
+    number = np.zeros(256, dtype=kind)
+    number[used] = np.arange(1, len(used) + 1)
+    columns = np.zeros((longest, count), dtype=kind)
     for i, s in enumerate(strings):
-        columns[: len(s), i] = np.frombuffer(s, dtype=np.uint8)[::-1]
-    columns += 1
-    owner, size = np.arange(count, dtype=np.int32), np.zeros(count, dtype=np.uint8)
-    symbols, common, place = np.zeros(count, dtype=np.uint16), np.zeros(count, dtype=np.uint8), np.arange(count)
+        columns[: len(s), i] = number[np.frombuffer(s, dtype=np.uint8)[::-1]]
+    names = np.arange(count, dtype=np.int64) << 8
+    symbols, common, place = np.zeros(count, dtype=kind), np.zeros(count, dtype=np.uint8), np.arange(count)
     for turn in range(longest):
         active = np.flatnonzero(lengths > turn)
         symbols[place[active]] = columns[turn, active]
@@ -129,16 +142,18 @@ def collection_minima(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]
         total = len(symbols) + len(active)
         old = np.ones(total, dtype=bool)
         old[to] = False
-        grown = [np.zeros(total, dtype=a.dtype) for a in (symbols, common, owner, size)]
-        for target, source in zip(grown, (symbols, common, owner, size)):
-            target[old] = source
-        symbols, common, owner, size = grown
-        extended = np.flatnonzero(~old)
-        before = owner_of(order[new], place, active)
-        owner[extended], size[extended] = before, turn + 1
+        stay = np.flatnonzero(old)
+        grown = [np.zeros(total, dtype=a.dtype) for a in (symbols, common, names)]
+        # Suffixes are extended in the order of their symbols' places: the names at those places tell whose they are.
+        before = names[order[new]] >> 8
+        for target, source in zip(grown, (symbols, common, names)):
+            target[stay] = source
+        symbols, common, names = grown
+        names[to] = (before << 8) + turn + 1
         common[count + changed] = prefix
-        place[before] = extended
+        place[before] = to
     starts = np.flatnonzero(common < LENGTH)
+    owner, size = names >> 8, names & 255
     least = np.minimum.reduceat(ids[owner], starts)
     each = np.repeat(least, np.diff(np.r_[starts, len(common)]))
     whole = size >= LENGTH
@@ -151,22 +166,16 @@ def collection_minima(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]
     return result
 
 
-def owner_of(places: np.ndarray, place: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """The strings whose last suffix stands at the given places."""
-    known = place[active]
-    order = np.argsort(known)
-    return active[order[np.searchsorted(known[order], places)]]
-
-
 def spans_of(ok: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Byte spans covered by the windows from `start` on that are marked."""
-    edges = np.flatnonzero(np.diff(np.r_[0, ok.astype(np.int8), 0]))
-    return [(start + int(a), start + int(b) - 1 + LENGTH) for a, b in zip(edges[::2], edges[1::2])]
+    turns = [0, *(np.flatnonzero(ok[1:] != ok[:-1]) + 1).tolist(), len(ok)]
+    first = 0 if ok[0] else 1
+    return [(start + a, start + b - 1 + LENGTH) for a, b in zip(turns[first::2], turns[first + 1 :: 2])]
 
 
-def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted(zip(starts.tolist(), ends.tolist())):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -182,9 +191,15 @@ def longs(values) -> pa.Array:
     return pa.array(values, type=pa.int64())
 
 
+def slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
 def mark(batches, buckets: int, known: bool):
     """The hashes of each batch: what its documents have in common (`known`), or one entry per hash for the buckets."""
-    for batch in batches:
+    for batch in slices(batches):
         hashes, owners = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = np.unique(runs(np.frombuffer(text.encode(), dtype=np.uint8))[0])
@@ -193,22 +208,18 @@ def mark(batches, buckets: int, known: bool):
         if not hashes or not sum(map(len, hashes)):
             continue
         value, owner = np.concatenate(hashes).astype(np.int64), np.concatenate(owners)
-        order = np.lexsort((owner, value))
+        order = np.argsort(value)
         value, owner = value[order], owner[order]
-        once = np.r_[True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]
-        value, owner = value[once], owner[once]
         first = np.r_[True, value[1:] != value[:-1]]
         several = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(value)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(value)]))
-        keys, blobs = [], []
         if known:
-            for key, spots in by_bucket(owner[several]):
-                keys.append(key)
-                blobs.append(packed(value[several][spots]))
-        else:
-            value, owner, several = value[first], owner[first], several[first]
-            for key, spots in by_bucket(value % buckets):
-                keys.append(key)
-                blobs.append(packed(value[spots] * 2 + several[spots], owner[spots]))
+            yield record([pa.array(owner[several]), pa.array(value[several])], ["doc_id", "hash"])
+            continue
+        keys, blobs = [], []
+        value, owner, several = value[first], owner[first], several[first]
+        for key, spots in by_bucket(value % buckets):
+            keys.append(key)
+            blobs.append(packed(value[spots] * 2 + several[spots], owner[spots]))
         if keys:
             yield record([longs(keys), pa.array(blobs, type=pa.binary())], ["key", "blob"])
 
@@ -228,7 +239,7 @@ def grouped(batches, columns: int):
 
 
 def meet(batches):
-    """Of each bucket, the hashes that more than one entry has, packed for each document that is not told yet."""
+    """Of each bucket, the hashes that more than one entry has, for each document that is not told yet."""
     for _, blobs in grouped(batches, 2):
         parts = [unpacked(b, 2) for (b,) in blobs]
         value, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
@@ -237,15 +248,10 @@ def meet(batches):
         several, value = value & 1, value >> 1
         shared = np.r_[False, value[1:] == value[:-1]] | np.r_[value[1:] == value[:-1], False]
         tell = shared & (several == 0)
-        keys, told = [], []
-        for key, spots in by_bucket(owner[tell]):
-            keys.append(key)
-            told.append(packed(value[tell][spots]))
-        if keys:
-            yield record([longs(keys), pa.array(told, type=pa.binary())], ["key", "blob"])
+        yield record([pa.array(owner[tell]), pa.array(value[tell])], ["doc_id", "hash"])
 
 
-CUT = "bucket long, blob binary, body binary, doc_id long, row long, starts array<long>, ends array<long>"
+CUT = "bucket long, blob binary, body binary, doc_id long, row long, start long, end long"
 
 
 def cut(batches, buckets: int):
@@ -254,26 +260,32 @@ def cut(batches, buckets: int):
     The smallest document that has a string is sent; larger ones are resolved. Places of one document with the same
     string are all sent, as none of them is in a smaller document.
     """
-    for batch in batches:
+    for batch in slices(batches):
         found: dict[bytes, tuple[int, list]] = {}
-        for doc_id, row, text, blobs in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        listed = batch.column(3)
+        edges, hashes = listed.offsets.to_numpy(), listed.values.to_numpy()  # offsets into all values, also of a slice
+        for doc_id, row, text, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), edges, edges[1:]):
             body = text.encode()
             value, starts, sizes = runs(np.frombuffer(body, dtype=np.uint8))
-            told = np.unique(np.concatenate([unpacked(b, 1)[0] for b in blobs]))
-            value = value.astype(np.int64)
-            for i in np.flatnonzero(np.isin(value, told)).tolist():
-                start = int(starts[i])
-                key = body[start : start + int(sizes[i]) + LENGTH - 1]
-                found.setdefault(key, (int(value[i]), []))[1].append((doc_id, row, start))
-        resolved: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        sent = []
+            value, told = value.astype(np.int64), hashes[a:b]
+            hot = set(told[told & 1 == 1].tolist())
+            for i in np.flatnonzero(np.isin(value, told >> 1)).tolist():
+                start, group = int(starts[i]), int(value[i])
+                if group * 2 + 1 in hot:
+                    for at in range(start, start + int(sizes[i])):
+                        key = body[at : at + LENGTH]
+                        found.setdefault(key, ((zlib.crc32(key) << 16) + (group & 0xFFFF), []))[1].append((doc_id, row, at))
+                else:
+                    key = body[start : start + int(sizes[i]) + LENGTH - 1]
+                    found.setdefault(key, (group, []))[1].append((doc_id, row, start))
+        resolved, sent = [], []
         for body, (value, spots) in found.items():
             least = min(s[0] for s in spots)
             for doc_id, row, start in spots:
                 if doc_id == least:
                     sent.append((value, body, doc_id, row, start))
                 else:
-                    resolved.setdefault((doc_id, row), []).append((start, start + len(body)))
+                    resolved.append((doc_id, row, start, start + len(body)))
         if sent:
             value = np.array([s[0] for s in sent])
             sizes, ids, rows, starts = (np.array(c, dtype=np.int64) for c in zip(*((len(s[1]), *s[2:]) for s in sent)))
@@ -284,20 +296,14 @@ def cut(batches, buckets: int):
                 blobs.append(packed(value[spots], sizes[spots], ids[spots], rows[spots], starts[spots]))
                 bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join(sent[i][1] for i in spots.tolist())))
             none = [None] * len(keys)
-            yield pa.RecordBatch.from_arrays(
-                [longs(keys), pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary()), longs(none), longs(none),
-                 pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int64()))], names=CUT_NAMES)
+            yield record([longs(keys), pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary()), *[longs(none)] * 4], CUT_NAMES)
         if resolved:
             none = [None] * len(resolved)
-            pairs = [merged(*(np.array(x) for x in zip(*spans))) for spans in resolved.values()]
-            yield pa.RecordBatch.from_arrays(
-                [longs(none), pa.array(none, pa.binary()), pa.array(none, pa.binary()), longs([k[0] for k in resolved]),
-                 longs([k[1] for k in resolved]), pa.array([[s for s, _ in p] for p in pairs], pa.list_(pa.int64())),
-                 pa.array([[e for _, e in p] for p in pairs], pa.list_(pa.int64()))], names=CUT_NAMES)
+            yield record([longs(none), *[pa.array(none, pa.binary())] * 2, *map(longs, zip(*resolved))], CUT_NAMES)
 
 
 CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
-SPANS = "doc_id long, row long, starts array<long>, ends array<long>"
+SPANS = "doc_id long, row long, start long, end long"
 
 
 def sort_strings(batches):
@@ -330,20 +336,16 @@ def sort_strings(batches):
             if size > 1:
                 block += order[at : at + size].tolist()
             at += size
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        found = []
         for number, doc_id, row, start in spots:
             own = minima.get(number)
             if own is not None:
                 covered = spans_of(own < doc_id, start)
             else:
                 covered = [(start, start + len(bodies[number]))] if least[number] < doc_id else []
-            if covered:
-                found.setdefault((doc_id, row), []).extend(covered)
+            found += [(doc_id, row, a, b) for a, b in covered]
         if found:
-            pairs = [merged(*(np.array(x) for x in zip(*spans))) for spans in found.values()]
-            yield pa.RecordBatch.from_arrays(
-                [longs([k[0] for k in found]), longs([k[1] for k in found]), pa.array([[s for s, _ in p] for p in pairs], pa.list_(pa.int64())),
-                 pa.array([[e for _, e in p] for p in pairs], pa.list_(pa.int64()))], names=[c.split()[0] for c in SPANS.split(", ")])
+            yield record([longs(c) for c in zip(*found)], ["doc_id", "row", "start", "end"])
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, kept binary, starts array<long>, ends array<long>"
@@ -352,12 +354,13 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, kept binary, starts array<
 def remove(batches):
     for batch in batches:
         out = []
-        for doc_id, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            body, spans = text.encode(), []
-            if starts:
-                spans = merged(np.concatenate([np.array(s) for s in starts]), np.concatenate([np.array(e) for e in ends]))
-            edges = [0, *(x for span in spans for x in span), len(body)]
-            kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        listed = batch.column(2)
+        edges = listed.offsets.to_pylist()
+        starts, ends = (listed.values.field(i).to_pylist() for i in (0, 1))
+        for doc_id, text, a, b in zip(*(batch.column(c).to_pylist() for c in range(2)), edges, edges[1:]):
+            body, spans = text.encode(), merged(list(zip(starts[a:b], ends[a:b])))
+            bounds = [0, *(x for span in spans for x in span), len(body)]
+            kept = b"".join(body[i:j] for i, j in zip(bounds[::2], bounds[1::2]))
             out.append((doc_id, len(body), len(body) - len(kept), kept, [s for s, _ in spans], [e for _, e in spans]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         if out:
@@ -365,7 +368,9 @@ def remove(batches):
                 [pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in REMOVED.split(", ")])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (bytes), starts, ends (removed runs): one row per input row.
 
     A null text counts as empty; texts of fewer than LENGTH bytes lose nothing. Rows with the same id do not remove from
@@ -375,19 +380,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = SharedTables(spark, "suffix-dedup")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    entry = "key long, blob binary"
-    marked = rows.mapInArrow(lambda b: mark(b, buckets, False), entry)
-    met = tables.write(marked.repartition("key").sortWithinPartitions("key").mapInArrow(meet, entry), "met")
-    told = met.unionAll(rows.mapInArrow(lambda b: mark(b, buckets, True), entry))
-    lists = told.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("blob").alias("blobs"))
-    candidates = rows.join(lists, "doc_id").select("doc_id", F.xxhash64("text").alias("row"), "text", "blobs")
+    pair = "doc_id long, hash long"
+    marked = rows.mapInArrow(lambda b: mark(b, buckets, False), "key long, blob binary")
+    met = marked.repartition("key").sortWithinPartitions("key").mapInArrow(meet, pair)
+    told = tables.write(met.unionAll(rows.mapInArrow(lambda b: mark(b, buckets, True), pair)), "told")
+    most = max(hot_documents, told.count() // HOT_HASHES)
+    hot = told.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("hash", F.lit(1).alias("hot"))
+    # At most HOT_HASHES numbers, by the choice of the bound.
+    flagged = told.join(F.broadcast(hot), "hash", "left").select("doc_id", F.expr("hash * 2 + coalesce(hot, 0)").alias("hash"))
+    lists = flagged.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
+    candidates = rows.join(lists, "doc_id").select("doc_id", F.xxhash64("text").alias("row"), "text", "hashes")
     pieces = tables.write(candidates.mapInArrow(lambda b: cut(b, buckets), CUT), "pieces")
     strings = pieces.where("bucket IS NOT NULL").select("bucket", "blob", "body").repartition("bucket").sortWithinPartitions("bucket")
-    resolved = pieces.where("bucket IS NULL").select("doc_id", "row", "starts", "ends")
+    resolved = pieces.where("bucket IS NULL").select("doc_id", "row", "start", "end")
     spans = tables.write(strings.mapInArrow(sort_strings, SPANS).unionAll(resolved), "spans")
-    tables.drop("met")
+    tables.drop("told")
     tables.drop("pieces")
-    per_row = spans.groupBy("doc_id", "row").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    whole = rows.withColumn("row", F.xxhash64("text")).join(per_row, ["doc_id", "row"], "left").select("doc_id", "text", "starts", "ends")
+    per_row = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = rows.withColumn("row", F.xxhash64("text")).join(per_row, ["doc_id", "row"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
     return whole.mapInArrow(remove, REMOVED).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID + 1} - 1)"))
 

@@ -117,8 +117,11 @@ def slow_removal(rows):
     return out
 
 
-def test_removal_by_brute_force(odd, odd_rows, none):
-    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), r.starts) for r in suffix_dedup.remove_repeats(odd).collect()]
+@pytest.mark.parametrize("hot_documents", [1, suffix_dedup.HOT_DOCUMENTS])
+def test_removal_by_brute_force(odd, odd_rows, none, hot_documents):
+    """Also where all hashes count as hot."""
+    found = suffix_dedup.remove_repeats(odd, hot_documents=hot_documents)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), r.starts) for r in found.collect()]
     assert sorted(got, key=str) == sorted(slow_removal(odd_rows), key=str)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
