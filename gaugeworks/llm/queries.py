@@ -31,7 +31,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = token_rollup.counted(docs, "words-1", F.regexp_count("text", F.lit(WORD)))
     second = token_rollup.counted(docs, "pieces-2", F.regexp_count("text", F.lit(r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]")))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    taken_back = token_rollup.counted(docs.join(toxic, "doc_id", "left_semi"), "words-1", F.regexp_count("text", F.lit(WORD)))
+    taken_back = first.join(toxic, "doc_id", "left_semi")
     rollup = token_rollup.Rollup(spark, SharedTables(spark, "token-counts").path("rollup"))
     rollup.commit("load", token_rollup.inserts(first))
     rollup.commit("second-version", token_rollup.inserts(second))

@@ -16,8 +16,11 @@ DELTAS = "source string, lang string, tokenizer string, documents long, tokens l
 
 
 def counted(docs: DataFrame, tokenizer: str, count: Column) -> DataFrame:
-    """The documents' counts under one tokenizer version: source, lang, tokenizer, tokens. A null text has no tokens."""
-    return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.coalesce(count, F.lit(0)).cast("long").alias("tokens"))
+    """The documents' counts under one tokenizer version: doc_id, source, lang, tokenizer, tokens. A null text has no tokens.
+
+    Join counts, not documents, where only some are meant: the texts then stay where they are.
+    """
+    return docs.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.coalesce(count, F.lit(0)).cast("long").alias("tokens"))
 
 
 def inserts(counts: DataFrame) -> DataFrame:
