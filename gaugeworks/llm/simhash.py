@@ -7,6 +7,10 @@ Comparison: a task lays the fingerprints of its buckets out as 64 bit planes, on
 compared with themselves shifted by a lag, which gives the difference planes of all pairs at that lag at once; these are
 added into bitwise counters with carry-save adders. A block of lanes is abandoned as soon as all its distances exceed the
 radius. Pairs within a bucket are never emitted: each bucket returns a star per component, at most one edge a row.
+
+`keep` asks for more than the query: all texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more. Two
+such sets share one of the smallest hashes (a fifth of each set), so these hashes are the buckets. Fingerprints within a wide
+radius there are only candidates; the exact likeness, taken inside the groups that candidates form, decides on a link.
 """
 
 from itertools import combinations
@@ -15,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import SharedTables, map_batches, texts
+from gaugeworks.llm.common import SLICE_ROWS, SharedTables, map_batches, texts
 from gaugeworks.llm.components import components
 
 SHINGLE = 4
@@ -27,20 +31,34 @@ RADIUS = 4
 BANDS, AGREE = 6, 2
 UNIT_ROWS = 8192
 BLOCK_WORDS = 64
+# What `keep` asks for: shingles of so many words, a likeness of at least LEAST[0] / LEAST[1]. At a likeness of 0.8 fingerprints
+# differ in 9.7 bits on average with a standard deviation of 2.9, so the radius is 3.6 deviations away.
+KEEP_SHINGLE, KEEP_RADIUS, LEAST = 5, 20, (4, 5)
+CONFIRM_ROWS = 4096
+COMPARE_ROWS = 100_000
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """64 bits as an unsigned number; zero without words."""
+def hashes_of(text: str, words: int) -> np.ndarray:
+    """A hash of each shingle, in order; a text of fewer words has a single one, a text without words none."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, and ASCII white space alone
     if not parts:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     size = min(words, len(parts))
     stops = (ends[size - 1 :] - 1).tolist()
     starts = [0, *ends.tolist()][: len(stops)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts, stops)], dtype="<u8")
+    return np.array([digest(line[s:e], SEED) for s, e in zip(starts, stops)], dtype="<u8")
+
+
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """64 bits as an unsigned number; zero without words."""
+    return majority(hashes_of(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit as in more than half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -93,13 +111,15 @@ def shifted(sliced: np.ndarray, lag: int) -> np.ndarray:
 
 
 def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Packed lanes whose values differ in at most `radius` (below 8) bits.
+    """Packed lanes whose values differ in at most `radius` bits.
 
-    Difference planes go in groups of three through a full adder, its sum and carry into the counter bits ones, twos and
-    fours; a carry beyond fours marks the lane as over. Blocks of lanes that are all over take no part in later planes.
+    Difference planes go in groups of three through a full adder, its sum and carry into the counter bits ones, twos, fours
+    and as many more as the radius needs; a carry beyond the last marks the lane as over. Blocks of lanes that are all over
+    take no part in later planes.
     """
     width = left.shape[1]
-    ones, twos, fours, over = (np.zeros(width, dtype="<u8") for _ in range(4))
+    counters = [np.zeros(width, dtype="<u8") for _ in range(max(3, radius.bit_length()))]
+    (ones, twos), over = counters[:2], np.zeros(width, dtype="<u8")
     live = np.arange(width)
     every = np.uint64(0xFFFFFFFFFFFFFFFF)
     for at in range(0, 64, 3):
@@ -113,10 +133,13 @@ def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndar
         add = first ^ high ^ carry
         second = (first & high) | (carry & (first ^ high))
         twos[live] = add
-        over[live] |= fours[live] & second
-        fours[live] ^= second
+        for plane in counters[2:]:
+            held = plane[live]
+            plane[live] = held ^ second
+            second = held & second
+        over[live] |= second
         if at % 12 == 9:
-            exceeded = over[live] | above(ones[live], twos[live], fours[live], radius)
+            exceeded = over[live] | above([c[live] for c in counters], radius)
             blocks = -(-len(live) // BLOCK_WORDS)
             full = np.full(blocks * BLOCK_WORDS, every, dtype="<u8")
             full[: len(live)] = exceeded
@@ -127,14 +150,14 @@ def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndar
                 live = live[~gone]
                 if not len(live):
                     break
-    return ~(over | above(ones, twos, fours, radius))
+    return ~(over | above(counters, radius))
 
 
-def above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Packed lanes whose three-bit counter is greater than the radius."""
-    greater, equal = np.zeros_like(ones), ~np.zeros_like(ones)
-    for bit, plane in ((4, fours), (2, twos), (1, ones)):
-        if radius & bit:
+def above(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Packed lanes whose counter (planes from the lowest bit on) is greater than the radius."""
+    greater, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for bit, plane in reversed(list(enumerate(counters))):
+        if radius >> bit & 1:
             equal = equal & plane
         else:
             greater, equal = greater | (equal & plane), equal & ~plane
@@ -142,16 +165,23 @@ def above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) ->
 
 
 def linked(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what lies within the radius inside each group: values, and the smallest index's value.
+    """Stars that connect what lies within the radius inside each group: values, and the smallest index's value."""
+    leaf, root = stars(values, groups, radius)
+    return values[leaf], values[root]
 
-    `groups` is sorted. Larger groups come first, so that the lanes still to be compared at a lag are a prefix.
+
+def stars(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """`linked` as places in `values`.
+
+    `groups` is sorted. Larger groups come first, so that the lanes still to be compared at a lag are a prefix. It ends
+    early when each group is one component.
     """
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 1]
     if not len(order):
-        return values[:0], values[:0]
+        return order, order
     sizes, starts = sizes[order], starts[order]
     index = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
     chosen, number = values[index], np.repeat(np.arange(len(sizes)), sizes)
@@ -175,8 +205,10 @@ def linked(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tupl
         if len(hits):
             while not np.array_equal(root, root[root]):
                 root = root[root]
+            if np.count_nonzero(root == np.arange(len(root))) == len(sizes):
+                break
     leaf = np.flatnonzero(root != np.arange(len(root)))
-    return chosen[leaf], chosen[root[leaf]]
+    return index[leaf], index[root[leaf]]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, agree: int = AGREE, unit_rows: int = UNIT_ROWS) -> DataFrame:
@@ -226,10 +258,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, bands: int = BANDS, agree:
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def classes(marked: DataFrame, tables: SharedTables, radius: int = RADIUS) -> DataFrame:
-    """bits, component_id: each distinct fingerprint of `marked` (doc_id, bits) and the smallest doc_id that links reach."""
+def classes(marked: DataFrame, tables: SharedTables, edges) -> DataFrame:
+    """bits, component_id: each distinct `bits` of `marked` (doc_id, bits) and the smallest doc_id that links reach.
+
+    `edges` gives the links (u, v) of a frame of distinct bits.
+    """
     distinct = tables.write(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
-    stars = components(links(distinct.select("bits"), radius), tables)
+    stars = components(edges(distinct.select("bits")), tables)
     rooted = distinct.join(stars.select(F.col("u").alias("bits"), F.col("v").alias("root")), "bits", "left").withColumn(
         "root", F.coalesce("root", "bits"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -244,23 +279,176 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tables = SharedTables(docs.sparkSession, "simhash")
     marked = tables.write(fingerprints(docs, id_col, text_col), "marked")
-    return marked.join(classes(marked, tables, radius), "bits").select("doc_id", "bits", "component_id")
+    return marked.join(classes(marked, tables, lambda distinct: links(distinct, radius)), "bits").select("doc_id", "bits", "component_id")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: of each group of near duplicates the one with the smallest doc_id.
+def identity(text: str) -> int:
+    """A hash of the words: texts with the same words in the same order are one node of the graph of likenesses."""
+    return signed(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SEED))
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, node, bits, keys: `identity`, the fingerprint, and the shingle hashes one of which any like text shares.
+
+    In the order of the hashes, two sets that share a LEAST part of either have a common hash among all but the last
+    `ceil(LEAST * size) - 1` of each.
+    """
+
+    def run(ids, bodies):
+        nodes, bits, keys = [], [], []
+        for body in bodies:
+            hashes = hashes_of(body, KEEP_SHINGLE)
+            distinct = np.unique(hashes)
+            nodes.append(identity(body))
+            bits.append(signed(majority(hashes)))
+            keys.append(distinct[: len(distinct) + 1 - needed(len(distinct))].view(np.int64) if len(distinct) else [0])
+        return ids, nodes, bits, keys
+
+    return map_batches(texts(docs), run, "doc_id long, node long, bits long, keys array<long>")
+
+
+def needed(size):
+    """The least number of common shingles with a set of this size, whatever the other set: LEAST of it, rounded up."""
+    return -(-LEAST[0] * size // LEAST[1])
 
-    Rows that repeat both the id and the fingerprint are one document, of which one row stays.
+
+def in_units(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by `unit`: their key, or for keys in `large` (key, parts) each pair of parts as a unit of its own.
+
+    `large` is broadcast: it has at most a row for each half unit of rows. Rows are dealt to parts by their `node`.
+    """
+    part = F.expr("cast(pmod(xxhash64(node), parts) AS INT)")
+    dealt = (
+        rows.join(F.broadcast(large), key, "left")
+        .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(part))
+        .withColumn("other", F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0) ELSE sequence(0, parts - 1) END")))
+        .withColumn("unit", F.when(F.col("parts").isNull(), F.col(key)).otherwise(
+            F.xxhash64(key, F.least("part", "other"), F.greatest("part", "other"))))
+    )
+    return dealt.drop(key, "parts", "part", "other").repartition("unit").sortWithinPartitions("unit")
+
+
+def candidates(marked: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """u, v: stars of nodes that share a key of `sketched` and lie within KEEP_RADIUS.
+
+    How large a bucket is, is estimated from a part of its nodes: this only decides how it is cut, not what is compared.
     """
-    tables = SharedTables(docs.sparkSession, "simhash-keep")
+    share = min(16, max(1, unit_rows // 512))
+    rows = marked.select(F.explode("keys").alias("key"), "node", "bits")
+    large = rows.where(F.pmod("node", F.lit(share)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") * share * 2 > unit_rows).select("key", F.expr(f"cast(ceil(2 * n * {share} / {unit_rows}) AS INT)").alias("parts"))
+
+    def compare(batches):
+        held = [np.zeros(0, dtype=np.int64)] * 3
+
+        def done(unit, node, bits):
+            # Texts with the same words are one node.
+            first = np.lexsort((node, unit))
+            first = first[np.r_[True, (unit[first][1:] != unit[first][:-1]) | (node[first][1:] != node[first][:-1])]] if len(first) else first
+            leaf, root = stars(bits[first].view(np.uint64), unit[first], KEEP_RADIUS) if len(first) else (first, first)
+            return pa.RecordBatch.from_arrays([pa.array(node[first][leaf]), pa.array(node[first][root])], names=["u", "v"])
 
+        # Many rows at a time, as there are as many turns as the largest group has rows.
+        waiting, size = [held], 0
+        for batch in batches:
+            waiting.append([batch.column(n).to_numpy(zero_copy_only=False) for n in ("unit", "node", "bits")])
+            size += batch.num_rows
+            if size >= COMPARE_ROWS:
+                held = [np.concatenate(c) for c in zip(*waiting)]
+                # The last group may go on in the next batch.
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                yield done(*(h[:cut] for h in held))
+                waiting, size = [[h[cut:] for h in held]], 0
+        yield done(*(np.concatenate(c) for c in zip(*waiting)))
+
+    return in_units(rows, large, "key").mapInArrow(compare, "u long, v long")
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """A label for each set; those connected by likenesses of LEAST or more have the same one, the first such place."""
+    label, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    prefix = [s[: max(1, len(s) + 1 - needed(len(s)))] for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefix])
+    flat = np.concatenate(prefix)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i in range(1, len(sets)):
+        near = np.zeros(i, dtype=bool)
+        for a, b in zip(np.searchsorted(flat, prefix[i]).tolist(), np.searchsorted(flat, prefix[i], side="right").tolist()):
+            found = owner[a:b]
+            near[found[: np.searchsorted(found, i)]] = True
+        near &= (sizes[:i] >= needed(sizes[i])) & (needed(sizes[:i]) <= sizes[i])
+        left = np.flatnonzero(near & (label[:i] != label[i]))
+        while len(left):
+            j = int(left[0])
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common * LEAST[1] >= LEAST[0] * (sizes[i] + sizes[j] - common):
+                low, high = sorted((int(label[i]), int(label[j])))
+                label[label == high] = low
+                left = left[label[left] != label[i]]
+            else:
+                left = left[1:]
+    return label
+
+
+def confirmed(docs: DataFrame, stars: DataFrame, unit_rows: int = CONFIRM_ROWS) -> DataFrame:
+    """u, v: links of a likeness of LEAST or more within the groups that `stars` (u, v: a node and its group's first) make.
+
+    They leave the same components as all such links there. A group of more than `unit_rows` nodes is cut like a bucket.
+    """
+    group = stars.select(F.col("u").alias("node"), F.col("v").alias("group")).unionAll(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
+    large = stars.groupBy(F.col("v").alias("group")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= unit_rows).select(
+        "group", F.expr(f"cast(ceil(2 * n / {unit_rows}) AS INT)").alias("parts"))
+    rows = docs.select(nodes_of("text").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(group, "node")
+
+    def links_of(nodes: dict[int, np.ndarray]):
+        names = np.array(list(nodes), dtype=np.int64)
+        label = alike(list(nodes.values()))
+        leaf = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(names[leaf]), pa.array(names[label[leaf]])], names=["u", "v"])
+
+    def compare(batches):
+        unit, nodes = None, {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(start, SLICE_ROWS)
+                for key, node, text in zip(*(piece.column(n).to_pylist() for n in ("unit", "node", "text"))):
+                    if key != unit and len(nodes) > 1:
+                        yield links_of(nodes)
+                    if key != unit:
+                        unit, nodes = key, {}
+                    if node not in nodes:
+                        nodes[node] = np.unique(hashes_of(text, KEEP_SHINGLE))
+        if len(nodes) > 1:
+            yield links_of(nodes)
+
+    return in_units(rows, large, "group").mapInArrow(compare, "u long, v long")
+
+
+def nodes_of(text_col: str) -> Column:
     @F.pandas_udf("long")
-    def bits_of(bodies: pd.Series) -> pd.Series:
-        return pd.Series([signed(fingerprint(b or "")) for b in bodies], dtype="int64")
+    def nodes(bodies: pd.Series) -> pd.Series:
+        return pd.Series([identity(b or "") for b in bodies], dtype="int64")
+
+    return nodes(text_col)
 
-    # Written with the documents, so that fingerprints are made once.
-    rows = tables.write(docs.withColumn("_bits", bits_of("text")), "rows")
-    found = classes(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_bits").alias("bits")), tables)
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns: of each group of near duplicates the one with the smallest doc_id.
+
+    Texts are near duplicates if links reach from one to the other; a link is a Jaccard likeness of LEAST or more between the
+    sets of KEEP_SHINGLE words. Texts without words are alike. Rows that repeat both the id and the words are one document,
+    of which one row stays.
+    """
+    spark = docs.sparkSession
+    tables, grouping = SharedTables(spark, "simhash-keep"), SharedTables(spark, "simhash-groups")
+    marked = tables.write(sketched(docs), "marked")
+    groups = components(candidates(marked), grouping)
+    found = classes(marked.select("doc_id", F.col("node").alias("bits")), tables, lambda _: confirmed(docs, groups))
+    tables.drop("marked")
+    grouping.drop()
     stays = found.select(F.col("component_id").alias("_id"), F.col("bits").alias("_own"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_bits") == F.col("_own"))
-    return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_bits"]).drop("_bits")
+    rows = docs.withColumn("_node", nodes_of("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_own"))
+    return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")

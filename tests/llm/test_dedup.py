@@ -1,13 +1,14 @@
 """Exact dedup, SimHash and removal of repeated strings against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_samples import slow_components, slow_fingerprint
+from llm_samples import COLUMNS, sentence, slow_components, slow_fingerprint
 
 from gaugeworks.llm import components, exact_dedup, simhash, suffix_dedup
 from gaugeworks.llm.common import SharedTables
@@ -146,3 +147,46 @@ def test_equal_windows_share_a_run_hash():
     assert all(each[i] == each[i + 256] for i in range(len(body) - 49 - 256))
     assert len(suffix_dedup.runs(np.frombuffer(b"short", dtype=np.uint8))[0]) == 0
     assert suffix_dedup.runs(np.frombuffer(b"a" * 5000, dtype=np.uint8))[2].max() <= suffix_dedup.PIECE
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("unit_rows", [4096, 8])
+def test_keep_finds_copies_down_to_a_likeness_of_four_fifths(spark, unit_rows, monkeypatch):
+    """Planted copies with a growing number of changed words, against all pairs; also where groups are cut into parts."""
+    monkeypatch.setattr(simhash.candidates, "__defaults__", (2 * unit_rows,))
+    monkeypatch.setattr(simhash.confirmed, "__defaults__", (unit_rows,))
+    rng = random.Random(3)
+    texts = []
+    for size in (12, 60, 200, 400):
+        for changes in (0, 1, 2, 3, 5, 8, 12):
+            words = sentence(rng, size).split()
+            texts.append(" ".join(words))
+            for _ in range(3):
+                copy = list(words)
+                for at in rng.sample(range(size), min(changes, size // 2)):
+                    copy[at] = "changed" + str(rng.random())
+                texts.append(" ".join(copy) + " end" * (changes == 0))
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    assert {r.doc_id for r in simhash.keep(docs).collect()} == set(root)
+
+
+def test_bit_sliced_distances_of_a_wide_radius():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    values[1:] ^= (values[:-1] ^ values[1:]) & rng.integers(0, 1 << 63, 299, dtype=np.uint64)
+    sliced = simhash.planes(values)
+    near = simhash.within(sliced, simhash.shifted(sliced, 1), 20)
+    bits = np.unpackbits(near.view(np.uint8), bitorder="little")[:299].astype(bool)
+    assert bits.any() and (bits == (np.bitwise_count(values[:-1] ^ values[1:]) <= 20)).all()

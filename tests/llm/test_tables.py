@@ -170,6 +170,27 @@ def test_pipeline_against_brute_force(spark):
     assert seen[4].count() == seen[3].count() == corpus_pipeline.run(spark, SMALL).count()
 
 
+def test_near_duplicate_stage_by_all_pairs(spark):
+    """Five-word shingles, a Jaccard likeness of 0.8; some pairs of these are more than 4 bits apart."""
+    docs = read(spark, SMALL)
+    last = {r.text: r.doc_id for r in sorted(docs.collect(), key=lambda r: r.doc_id)}
+    texts = {i: t for t, i in last.items() if t}
+    ids, sets, far = sorted(texts), {}, 0
+    for i in ids:
+        words = texts[i].encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    root = {i: i for i in ids}
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            common = len(sets[i] & sets[j])
+            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                far += (slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).bit_count() > 4
+                low, high = sorted((root[i], root[j]))
+                root = {n: low if r == high else r for n, r in root.items()}
+    kept = corpus_pipeline.distinct_contents(spark, docs.where(F.col("doc_id").isin(ids)), SMALL)
+    assert far and {r.doc_id for r in kept.collect()} == set(root.values())
+
+
 def test_queries_read_whole_tables(spark):
     rows = read(spark, SMALL).count()
     for name in ("op1_simhash", "op2_pii", "op4_fingerprints", "op7_suffix_dedup", "op8_toxicity", "op9_bpe", "op10_language"):
