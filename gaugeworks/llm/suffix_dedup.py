@@ -8,12 +8,13 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts in a docume
 2. Meet. A bucket tells which hashes more than one document has; documents get back the list of theirs.
 3. Cut. Each document cuts the runs with such a hash into strings of at most `PIECE + LENGTH - 1` bytes. A string that
    several documents of a batch have is sent once, with the smallest of their ids; the others are resolved on the spot.
-   Where a hash is in very many documents, the strings around it would meet in one bucket; its windows are sent one by
-   one instead, each to the bucket of its own bytes.
+   Where a hash stands in very many places, be it of a few documents, the strings around it would meet in one bucket; its
+   windows are sent one by one instead, each to the bucket of its own bytes.
 4. Sort. A bucket builds the Burrows-Wheeler transform and the common prefixes of its collection of strings. Each round
    inserts one symbol of every string: the stable order of the transform's symbols says where the extended suffixes go, and
    the least common prefix between neighbours with the same symbol, plus one, is the new common prefix. Suffixes whose
-   common prefixes reach LENGTH are equal windows; the smallest id among them decides.
+   common prefixes reach LENGTH are equal windows; the smallest id among them decides. More than `BLOCK_STRINGS` strings
+   with one hash are no block: their windows are compared piece by piece.
 5. Remove. The spans found come back to their documents and the rest of the bytes is kept.
 
 The transform, common prefixes and suffix names are streams that a round reads front to back and writes anew. They stay in
@@ -36,7 +37,12 @@ PIECE = LENGTH - GRAM + 1
 BLOCK_STRINGS = 4_000
 # Documents that a task looks at together.
 BATCH_ROWS = 4_000
-# A hash is hot from this many documents on, or from more if there would be over HOT_HASHES of them, as these are broadcast.
+# A cut looks at so many places before it sends what it has.
+CUT_PLACES = 200_000
+# Windows of a large group that are compared together.
+PIECE_WINDOWS = 200_000
+# A hash is hot from this many places in all documents on, or from more if there would be over HOT_HASHES of them, as these
+# are broadcast.
 HOT_DOCUMENTS = 50_000
 HOT_HASHES = 5_000_000
 NO_ID = -(1 << 63)
@@ -166,6 +172,31 @@ def collection_minima(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]
     return result
 
 
+def window_minima(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
+    """As `collection_minima`, for any number of strings: equal windows are found by sorting PIECE_WINDOWS or so at a time.
+
+    Equal windows start with the same gram, whose hash tells the piece.
+    """
+    data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    lengths = np.array([len(s) for s in strings])
+    counts = lengths - LENGTH + 1
+    owner = np.repeat(np.arange(len(strings)), counts)
+    place = np.arange(counts.sum()) + (np.cumsum(lengths) - lengths - np.cumsum(counts) + counts)[owner]
+    pieces = -(-len(place) // PIECE_WINDOWS)
+    piece = gram_hashes(data)[place] % np.uint64(pieces)
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    flat = np.empty(len(place), dtype=np.int64)
+    for number in range(pieces):
+        at = np.flatnonzero(piece == number)
+        if len(at):
+            # All have LENGTH bytes, so that zero bytes at the end cannot make two of them equal.
+            _, kind = np.unique(np.ascontiguousarray(windows[place[at]]).view(f"S{LENGTH}").ravel(), return_inverse=True)
+            least = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, kind, ids[owner[at]])
+            flat[at] = least[kind]
+    return np.split(flat, np.cumsum(counts)[:-1])
+
+
 def spans_of(ok: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Byte spans covered by the windows from `start` on that are marked."""
     turns = [0, *(np.flatnonzero(ok[1:] != ok[:-1]) + 1).tolist(), len(ok)]
@@ -198,28 +229,32 @@ def slices(batches):
 
 
 def mark(batches, buckets: int, known: bool):
-    """The hashes of each batch: what its documents have in common (`known`), or one entry per hash for the buckets."""
+    """The hashes of each batch: what its documents have in common (`known`), or one entry per hash for the buckets.
+
+    With each hash goes the number of places of the document that have it.
+    """
     for batch in slices(batches):
-        hashes, owners = [], []
+        hashes, owners, places = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = np.unique(runs(np.frombuffer(text.encode(), dtype=np.uint8))[0])
+            found, times = np.unique(runs(np.frombuffer(text.encode(), dtype=np.uint8))[0], return_counts=True)
             hashes.append(found)
+            places.append(times)
             owners.append(np.full(len(found), doc_id, dtype=np.int64))
         if not hashes or not sum(map(len, hashes)):
             continue
-        value, owner = np.concatenate(hashes).astype(np.int64), np.concatenate(owners)
+        value, owner, times = np.concatenate(hashes).astype(np.int64), np.concatenate(owners), np.concatenate(places)
         order = np.argsort(value)
-        value, owner = value[order], owner[order]
+        value, owner, times = value[order], owner[order], times[order]
         first = np.r_[True, value[1:] != value[:-1]]
         several = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(value)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(value)]))
         if known:
-            yield record([pa.array(owner[several]), pa.array(value[several])], ["doc_id", "hash"])
+            yield record([pa.array(owner[several]), pa.array(value[several]), longs(times[several])], ["doc_id", "hash", "places"])
             continue
         keys, blobs = [], []
-        value, owner, several = value[first], owner[first], several[first]
+        value, owner, times, several = value[first], owner[first], times[first], several[first]
         for key, spots in by_bucket(value % buckets):
             keys.append(key)
-            blobs.append(packed(value[spots] * 2 + several[spots], owner[spots]))
+            blobs.append(packed(value[spots] * 2 + several[spots], owner[spots], times[spots]))
         if keys:
             yield record([longs(keys), pa.array(blobs, type=pa.binary())], ["key", "blob"])
 
@@ -241,14 +276,14 @@ def grouped(batches, columns: int):
 def meet(batches):
     """Of each bucket, the hashes that more than one entry has, for each document that is not told yet."""
     for _, blobs in grouped(batches, 2):
-        parts = [unpacked(b, 2) for (b,) in blobs]
-        value, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        parts = [unpacked(b, 3) for (b,) in blobs]
+        value, owner, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.argsort(value >> 1, kind="stable")
-        value, owner = value[order], owner[order]
+        value, owner, times = value[order], owner[order], times[order]
         several, value = value & 1, value >> 1
         shared = np.r_[False, value[1:] == value[:-1]] | np.r_[value[1:] == value[:-1], False]
         tell = shared & (several == 0)
-        yield record([pa.array(owner[tell]), pa.array(value[tell])], ["doc_id", "hash"])
+        yield record([pa.array(owner[tell]), pa.array(value[tell]), longs(times[tell])], ["doc_id", "hash", "places"])
 
 
 CUT = "bucket long, blob binary, body binary, doc_id long, row long, start long, end long"
@@ -258,10 +293,11 @@ def cut(batches, buckets: int):
     """Strings for the buckets, and the spans of documents whose string a smaller one of the batch has as well.
 
     The smallest document that has a string is sent; larger ones are resolved. Places of one document with the same
-    string are all sent, as none of them is in a smaller document.
+    string are all sent, as none of them is in a smaller document. After CUT_PLACES places all that was found goes out.
     """
     for batch in slices(batches):
         found: dict[bytes, tuple[int, list]] = {}
+        places = 0
         listed = batch.column(3)
         edges, hashes = listed.offsets.to_numpy(), listed.values.to_numpy()  # offsets into all values, also of a slice
         for doc_id, row, text, a, b in zip(*(batch.column(c).to_pylist() for c in range(3)), edges, edges[1:]):
@@ -275,31 +311,41 @@ def cut(batches, buckets: int):
                     for at in range(start, start + int(sizes[i])):
                         key = body[at : at + LENGTH]
                         found.setdefault(key, ((zlib.crc32(key) << 16) + (group & 0xFFFF), []))[1].append((doc_id, row, at))
+                    places += int(sizes[i])
                 else:
                     key = body[start : start + int(sizes[i]) + LENGTH - 1]
                     found.setdefault(key, (group, []))[1].append((doc_id, row, start))
-        resolved, sent = [], []
-        for body, (value, spots) in found.items():
-            least = min(s[0] for s in spots)
-            for doc_id, row, start in spots:
-                if doc_id == least:
-                    sent.append((value, body, doc_id, row, start))
-                else:
-                    resolved.append((doc_id, row, start, start + len(body)))
-        if sent:
-            value = np.array([s[0] for s in sent])
-            sizes, ids, rows, starts = (np.array(c, dtype=np.int64) for c in zip(*((len(s[1]), *s[2:]) for s in sent)))
-            keys, blobs, bodies = [], [], []
-            for key, spots in by_bucket(value % buckets):
-                spots = spots[np.argsort(value[spots], kind="stable")]
-                keys.append(key)
-                blobs.append(packed(value[spots], sizes[spots], ids[spots], rows[spots], starts[spots]))
-                bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join(sent[i][1] for i in spots.tolist())))
-            none = [None] * len(keys)
-            yield record([longs(keys), pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary()), *[longs(none)] * 4], CUT_NAMES)
-        if resolved:
-            none = [None] * len(resolved)
-            yield record([longs(none), *[pa.array(none, pa.binary())] * 2, *map(longs, zip(*resolved))], CUT_NAMES)
+                    places += 1
+                if places >= CUT_PLACES:
+                    yield from dealt(found, buckets)
+                    found, places = {}, 0
+        yield from dealt(found, buckets)
+
+
+def dealt(found: dict[bytes, tuple[int, list]], buckets: int):
+    """The rows that `cut` makes of the places found."""
+    resolved, sent = [], []
+    for body, (value, spots) in found.items():
+        least = min(s[0] for s in spots)
+        for doc_id, row, start in spots:
+            if doc_id == least:
+                sent.append((value, body, doc_id, row, start))
+            else:
+                resolved.append((doc_id, row, start, start + len(body)))
+    if sent:
+        value = np.array([s[0] for s in sent])
+        sizes, ids, rows, starts = (np.array(c, dtype=np.int64) for c in zip(*((len(s[1]), *s[2:]) for s in sent)))
+        keys, blobs, bodies = [], [], []
+        for key, spots in by_bucket(value % buckets):
+            spots = spots[np.argsort(value[spots], kind="stable")]
+            keys.append(key)
+            blobs.append(packed(value[spots], sizes[spots], ids[spots], rows[spots], starts[spots]))
+            bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join(sent[i][1] for i in spots.tolist())))
+        none = [None] * len(keys)
+        yield record([longs(keys), pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary()), *[longs(none)] * 4], CUT_NAMES)
+    if resolved:
+        none = [None] * len(resolved)
+        yield record([longs(none), *[pa.array(none, pa.binary())] * 2, *map(longs, zip(*resolved))], CUT_NAMES)
 
 
 CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
@@ -333,7 +379,10 @@ def sort_strings(batches):
             if block and (not size or len(block) + size > BLOCK_STRINGS):
                 minima.update(zip(block, collection_minima([bodies[i] for i in block], least[block])))
                 block = []
-            if size > 1:
+            if size > BLOCK_STRINGS:
+                chosen = order[at : at + size]
+                minima.update(zip(chosen.tolist(), window_minima([bodies[i] for i in chosen.tolist()], least[chosen])))
+            elif size > 1:
                 block += order[at : at + size].tolist()
             at += size
         found = []
@@ -368,6 +417,12 @@ def remove(batches):
                 [pa.array(c, type=k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in REMOVED.split(", ")])
 
 
+def hot_hashes(told: DataFrame, least: int = HOT_DOCUMENTS) -> DataFrame:
+    """hash: those of `told` (doc_id, hash, places) with more than `least` places, at most HOT_HASHES."""
+    most = max(least, (told.agg(F.sum("places")).first()[0] or 0) // HOT_HASHES)
+    return told.groupBy("hash").agg(F.sum("places").alias("n")).where(F.col("n") > most).select("hash")
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_documents: int = HOT_DOCUMENTS
 ) -> DataFrame:
@@ -380,12 +435,11 @@ def remove_repeats(
     tables = SharedTables(spark, "suffix-dedup")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    pair = "doc_id long, hash long"
+    pair = "doc_id long, hash long, places long"
     marked = rows.mapInArrow(lambda b: mark(b, buckets, False), "key long, blob binary")
     met = marked.repartition("key").sortWithinPartitions("key").mapInArrow(meet, pair)
     told = tables.write(met.unionAll(rows.mapInArrow(lambda b: mark(b, buckets, True), pair)), "told")
-    most = max(hot_documents, told.count() // HOT_HASHES)
-    hot = told.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("hash", F.lit(1).alias("hot"))
+    hot = hot_hashes(told, hot_documents).select("hash", F.lit(1).alias("hot"))
     # At most HOT_HASHES numbers, by the choice of the bound.
     flagged = told.join(F.broadcast(hot), "hash", "left").select("doc_id", F.expr("hash * 2 + coalesce(hot, 0)").alias("hash"))
     lists = flagged.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))

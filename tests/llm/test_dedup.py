@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -190,3 +191,53 @@ def test_bit_sliced_distances_of_a_wide_radius():
     near = simhash.within(sliced, simhash.shifted(sliced, 1), 20)
     bits = np.unpackbits(near.view(np.uint8), bitorder="little")[:299].astype(bool)
     assert bits.any() and (bits == (np.bitwise_count(values[:-1] ^ values[1:]) <= 20)).all()
+
+
+def test_places_of_few_documents_make_a_hash_hot(spark):
+    told = spark.createDataFrame([(1, 7, 60), (2, 7, 60), (1, 8, 1), (2, 8, 1)], "doc_id long, hash long, places long")
+    assert [r.hash for r in suffix_dedup.hot_hashes(told, 100).collect()] == [7]
+
+
+def phrase_in_many_contexts(times):
+    """Two documents with one phrase before texts that vary, a third of them in both."""
+    rng = random.Random(11)
+    contexts = [f"{rng.getrandbits(120):036d}" for _ in range(2 * times)]
+    # Of some phrases, the one whose least hash is smallest, so that it is that of the windows around it.
+    phrases = [f"the phrase of all these lines, {i:03d}: " for i in range(300)]
+    phrase = min(phrases, key=lambda p: int(suffix_dedup.gram_hashes(np.frombuffer(p.encode(), dtype=np.uint8)).min()))
+    part = lambda c: phrase + c
+    return [(1, "\n".join(map(part, contexts[:times]))), (2, "\n".join(map(part, contexts[2 * times // 3 : times + 2 * times // 3])))]
+
+
+@pytest.mark.parametrize("hot_documents", [1000, suffix_dedup.HOT_DOCUMENTS])
+def test_removal_around_a_phrase_in_two_documents(spark, hot_documents):
+    rows = phrase_in_many_contexts(5000)
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot_documents=hot_documents)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept), r.starts) for r in found.collect()]
+    assert sorted(got) == sorted(slow_removal(rows))
+
+
+def test_no_block_is_larger_than_the_bound(monkeypatch):
+    """The strings of one hash and of the whole batch, sorted in this process."""
+    rows = phrase_in_many_contexts(5000)
+    hashes = [np.unique(suffix_dedup.runs(np.frombuffer(t.encode(), dtype=np.uint8))[0]).astype(np.int64) * 2 for _, t in rows]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array([0, 0]), pa.array([t for _, t in rows]), pa.array(hashes, type=pa.list_(pa.int64()))], names=list("abcd"))
+    sizes, sort = [], suffix_dedup.collection_minima
+    monkeypatch.setattr(suffix_dedup, "collection_minima", lambda strings, ids: sizes.append(len(strings)) or sort(strings, ids))
+    sent = [b for b in suffix_dedup.cut([batch], 1) if b.column(0).null_count == 0]
+    assert sum(b.num_rows for b in suffix_dedup.sort_strings(sent)) > 0
+    assert max(sizes, default=0) <= suffix_dedup.BLOCK_STRINGS
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.text("ab\0", min_size=50, max_size=76), st.integers(0, 20)), min_size=1, max_size=30), st.integers(1, 40))
+def test_window_minima_equal_those_of_the_collection(pairs, piece):
+    strings = {s.encode(): i for s, i in pairs}
+    ids, before = np.array(list(strings.values())), suffix_dedup.PIECE_WINDOWS
+    suffix_dedup.PIECE_WINDOWS = piece
+    try:
+        found = suffix_dedup.window_minima(list(strings), ids)
+    finally:
+        suffix_dedup.PIECE_WINDOWS = before
+    assert [m.tolist() for m in found] == [m.tolist() for m in suffix_dedup.collection_minima(list(strings), ids)]
