@@ -4,9 +4,10 @@ Words are cut by letters. The script of a word narrows its candidate languages t
 Each candidate gets a score for the word from hashed character trigrams and the word itself (naive Bayes, centred and
 clipped), all new words of some hundred texts at once. Viterbi over the words, with a penalty for each switch, labels spans of mixed-language text.
 
-Most texts have one language. If no interval of words gains more than the penalty in another language than the best one,
-staying with the best is optimal, as every deviation pays the penalty at least once. That is a cumulative sum and a
-running minimum; only the other texts go through the dynamic programme.
+Most texts have one language. Staying with the best is optimal if no interval of words gains more than the penalty in another
+language, and no first words and last words together: a path that visits the best label pays the penalty for each other
+interval, and one that never does pays for all but one of them, of which one begins and one ends the text. That is a
+cumulative sum and a running minimum; only the other texts go through the dynamic programme.
 """
 
 import math
@@ -111,7 +112,8 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     gains = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     lowest = np.minimum(np.minimum.accumulate(gains, axis=0), 0)
     before = np.vstack([np.zeros((1, scores.shape[1])), lowest[:-1]])
-    if ((gains - before).max(axis=0) <= penalty).all():
+    rises = gains - before
+    if rises.max() <= penalty and gains.max() + rises[-1].max() <= penalty:
         return np.full(len(scores), best)
     back, state = [], scores[0].tolist()
     count = len(state)

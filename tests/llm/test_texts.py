@@ -215,3 +215,21 @@ def test_toxicity_of_odd_rows(spark, odd, odd_rows, none):
     nothing = toxicity.train(none, none.selectExpr("doc_id", "1 AS quality", "1 AS toxic"))
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.5}
     assert toxicity.score(none, nothing).count() == 0
+
+
+def worth(scores, path, penalty):
+    return scores[np.arange(len(path)), path].sum() - penalty * (path[1:] != path[:-1]).sum()
+
+
+def test_viterbi_does_not_stay_with_a_label_that_is_best_nowhere():
+    scores = np.array([[4, -4, 1.25]] * 4 + [[-4, 4, 1.25]] * 4)
+    path = language.viterbi(scores, 12)
+    assert path.tolist() == [0] * 4 + [1] * 4 and worth(scores, path, 12) == slow_viterbi(scores, 12) == 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 12), st.floats(2, 14))
+def test_viterbi_is_optimal_with_three_raised_labels(seed, half, penalty):
+    rng = np.random.default_rng(seed)
+    scores = np.array([[4, -4, 1.25, -2]] * half + [[-4, 4, 1.25, -2]] * half) + rng.normal(0, 0.5, (2 * half, 4))
+    assert worth(scores, language.viterbi(scores, penalty), penalty) == pytest.approx(slow_viterbi(scores, penalty))
