@@ -233,3 +233,12 @@ def test_viterbi_is_optimal_with_three_raised_labels(seed, half, penalty):
     rng = np.random.default_rng(seed)
     scores = np.array([[4, -4, 1.25, -2]] * half + [[-4, 4, 1.25, -2]] * half) + rng.normal(0, 0.5, (2 * half, 4))
     assert worth(scores, language.viterbi(scores, penalty), penalty) == pytest.approx(slow_viterbi(scores, penalty))
+
+
+def test_ibans_end_where_their_country_says():
+    found = lambda text: [text[s["start"] : s["end"]] for s in pii.find_in_text(text) if s["kind"] == "iban"]
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for after in (" BIC COBADEFF", " 100 EUR", " MAX MUSTERMANN", ".", " please", ""):
+        assert found(f"IBAN {one}{after}") == [one]
+    assert found(f"{one} {two} {one}") == [one, two, one] and found(f"AB12 {one}") == [one]
+    assert found(f"x{one}") == found(f"{one}0") == found(f"{one[:-1]}1 BIC COBADEFF") == []
