@@ -87,4 +87,27 @@ FROM placed LEFT JOIN taken USING (row)
 """
 
 
-ORACLES = {"op3_token_counts": TOKEN_COUNTS, "op5_mixing": _mixing(), "op6_exact_dedup": EXACT_DEDUP}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS terms FROM documents
+), size AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS documents, cast(sum(len(terms)) AS BIGINT) AS words FROM docs
+), postings AS (
+    SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+    FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY row, term
+), weights AS (
+    SELECT term, cast(floor(1000 * ln(cast(2 * any_value(documents) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, size GROUP BY term
+), items AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, row, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // words)))) AS BIGINT) AS score
+    FROM items JOIN weights USING (term) JOIN postings USING (term), size GROUP BY item_id, doc_id, row
+), ranked AS (
+    SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op11_search": SEARCH, "op3_token_counts": TOKEN_COUNTS, "op5_mixing": _mixing(), "op6_exact_dedup": EXACT_DEDUP}

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, exact_dedup, language, mixing, pii, simhash, spans, suffix_dedup, token_rollup, toxicity
+from gaugeworks.llm import bpe, exact_dedup, language, mixing, pii, search, simhash, spans, suffix_dedup, token_rollup, toxicity
 from gaugeworks.llm.common import WORD, SharedTables, read
 from gaugeworks.llm.oracles import ORACLES
 
@@ -84,8 +84,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.Index(read(spark, sf_dir)).search(read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup,
     "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language,
+    "op11_search": op11_search,
 }
