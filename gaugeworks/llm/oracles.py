@@ -110,4 +110,38 @@ WITH docs AS (
 SELECT * FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op11_search": SEARCH, "op3_token_counts": TOKEN_COUNTS, "op5_mixing": _mixing(), "op6_exact_dedup": EXACT_DEDUP}
+COLLOCATIONS = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents
+), spoken AS (
+    SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, 1 AS k, unnest(w) AS phrase FROM spoken
+    UNION ALL SELECT lang, 2, unnest([array_to_string(w[i:i + 1], ' ') for i in range(1, len(w))]) FROM spoken
+    UNION ALL SELECT lang, 3, unnest([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) FROM spoken
+), f AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, k, phrase
+), totals AS (
+    SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), cut_at AS (
+    SELECT lang, phrase, k, w, f AS a, unnest(range(1, k)) AS c FROM f WHERE k > 1 AND f >= 10
+), cuts AS MATERIALIZED (
+    SELECT *, array_to_string(w[1:c], ' ') AS start, array_to_string(w[c + 1:], ' ') AS rest FROM cut_at
+), scored AS (
+    SELECT x.lang, x.phrase, x.k, x.w, x.a, x.c, l.f AS l, r.f AS r, (1000000::HUGEINT * x.a * x.a) // (l.f::HUGEINT * r.f) AS score
+    FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.start JOIN f r ON r.lang = x.lang AND r.phrase = x.rest
+), least AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), absorbed AS (
+    SELECT DISTINCT s.lang, s.phrase FROM least s JOIN (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inner_phrase FROM least WHERE k = 3
+    ) t ON t.lang = s.lang AND t.inner_phrase = s.phrase WHERE 100 * t.a >= 50 * s.a
+), ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, cast(n AS BIGINT) AS n,
+           cast(score AS BIGINT) AS score
+    FROM least ANTI JOIN absorbed USING (lang, phrase) JOIN totals USING (lang)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op12_collocations": COLLOCATIONS, "op11_search": SEARCH, "op3_token_counts": TOKEN_COUNTS, "op5_mixing": _mixing(), "op6_exact_dedup": EXACT_DEDUP}
