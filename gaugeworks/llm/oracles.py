@@ -144,4 +144,22 @@ WITH pieces AS (
 SELECT * FROM ranked WHERE rank <= 2000
 """
 
-ORACLES = {"op12_collocations": COLLOCATIONS, "op11_search": SEARCH, "op3_token_counts": TOKEN_COUNTS, "op5_mixing": _mixing(), "op6_exact_dedup": EXACT_DEDUP}
+SKETCH_JOIN = rf"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM docs
+), items AS MATERIALIZED (
+    SELECT row, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS MATERIALIZED (
+    SELECT a.row AS x, b.row AS y FROM items a JOIN items b USING (shingle) WHERE a.row <> b.row
+    GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached(x, y) AS (
+    SELECT row, row FROM docs UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y
+)
+SELECT s.doc_id, cast(len(s.s) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM sets s JOIN reached ON reached.x = s.row JOIN docs t ON t.row = reached.y GROUP BY s.row, s.doc_id, s.s
+"""
+
+ORACLES = {"op13_sketch_join": SKETCH_JOIN, "op12_collocations": COLLOCATIONS, "op11_search": SEARCH, "op3_token_counts": TOKEN_COUNTS, "op5_mixing": _mixing(), "op6_exact_dedup": EXACT_DEDUP}

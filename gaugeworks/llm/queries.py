@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, collocations, exact_dedup, language, mixing, pii, search, simhash, spans, suffix_dedup, token_rollup, toxicity
+from gaugeworks.llm import bpe, collocations, exact_dedup, language, mixing, pii, search, simhash, sketch_join, spans, suffix_dedup, token_rollup, toxicity
 from gaugeworks.llm.common import WORD, SharedTables, read
 from gaugeworks.llm.oracles import ORACLES
 
@@ -92,9 +92,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.Collocations(read(spark, sf_dir)).best()
 
 
+def op13_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_join.join(read(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_token_counts": op3_token_counts, "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing, "op6_exact_dedup": op6_exact_dedup,
     "op7_suffix_dedup": op7_suffix_dedup, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language,
     "op11_search": op11_search, "op12_collocations": op12_collocations,
+    "op13_sketch_join": op13_sketch_join,
 }
