@@ -51,3 +51,27 @@ def with_keyword_counts(frame: DataFrame, text: str, out: str = "keywords") -> D
 def ranked(keywords: str) -> Column:
     """A `with_keyword_counts` array, most frequent first, ties by first occurrence."""
     return F.sort_array(keywords)
+
+
+# A run of characters that may belong to one keyword, from the start of a text.
+_RUN = r"^[a-z+#.]*"
+_RUN_CHARS = 10_000
+
+
+def text_pieces(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """The rows with `text` cut into pieces of about `size` characters, one row each, numbered by `piece`.
+
+    A piece starts behind the run of keyword characters that stands at its place, so no keyword is cut: the tokens of the
+    pieces, in order, are those of the whole text. A piece that one run covers is empty.
+    """
+    whole = rows.withColumn(text, F.lower(F.col(text)))
+    starts = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))))
+
+    def start(piece: Column) -> Column:
+        at = piece * size + 1
+        run = F.length(F.regexp_extract(F.substring(F.col(text), at, F.lit(_RUN_CHARS)), _RUN, 0))
+        longer = F.length(F.regexp_extract(F.substring(F.col(text), at, F.length(text)), _RUN, 0))
+        return F.when(piece <= 0, F.lit(1)).otherwise(at + F.when(run < _RUN_CHARS, run).otherwise(longer))
+
+    cut = starts.withColumns({"_from": start(F.col("piece")), "_to": start(F.col("piece") + 1)})
+    return cut.withColumn(text, F.substring(F.col(text), F.col("_from"), F.col("_to") - F.col("_from"))).drop("_from", "_to")

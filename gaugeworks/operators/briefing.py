@@ -7,7 +7,7 @@ agent. Nothing is written and no job runs while a frame is being built. Lists in
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
@@ -28,14 +28,14 @@ def briefing_base(scored: DataFrame) -> DataFrame:
     return rollup(scored, "department", "issue_type", "agent")
 
 
-def records(frame: DataFrame, order: list[tuple[str, bool]], n: int) -> Column:
-    """The first n rows of a frame as an array of structs. `order` lists (column, descending) of numeric or text keys.
+def records(frame: DataFrame, order: list[tuple[str, bool]], n: int, take: str | None = None) -> Column:
+    """The first n rows of a frame as an array of structs, or their column `take`. `order` lists (column, descending) of numeric or text keys.
 
     n bounds the rows that are collected into the array.
     """
     ranked = frame.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]).limit(n)
     keys = [(-F.col(c) if down else F.col(c)).alias(f"k{i}") for i, (c, down) in enumerate(order)]
-    item = F.struct(*keys, F.struct(*frame.columns).alias("item"))
+    item = F.struct(*keys, (F.col(take) if take else F.struct(*frame.columns)).alias("item"))
     sorted_items = F.sort_array(F.collect_list(item))
     return ranked.agg(F.transform(sorted_items, lambda x: x["item"])).scalar()
 
@@ -55,9 +55,9 @@ ALL, BY_DEPARTMENT, BY_ISSUE, BY_AGENT, BY_CAUSE = 7, 3, 5, 6, 1
 def facts(base: DataFrame, pain_points: int = 5) -> DataFrame:
     """One row: the KPIs, the leaders, how many agents are overloaded, and the first `pain_points` root causes.
 
-    One pass over the rollup: grouping sets sum it to all levels, a window per level adds the agents' means and the order
-    of the causes, and one aggregate with a condition per level takes what is asked. The levels hold one row per
-    department, issue, agent and cause, however many tickets there are.
+    One pass over the rollup: grouping sets sum it to all levels, and one aggregate with a condition per level takes what is
+    asked. The agents' means are sums of additive totals, and the first causes are a top-n of which each task keeps its own
+    n best; both come in as one-row subqueries over the same sums. So no level is ever gathered in one task.
     """
     keys = ("department", "issue_type", "agent")
     measures = [c for c in base.columns if c.startswith(PREFIX)]
@@ -71,15 +71,7 @@ def facts(base: DataFrame, pain_points: int = 5) -> DataFrame:
         BY_CAUSE: F.col("department").isNotNull() & F.col("issue_type").isNotNull(),
     }
     counted = levels.withColumn("_named", F.coalesce(*[F.when(level == at, present) for at, present in named.items()], F.lit(True)))
-    within = Window.partitionBy("_level", "_named")
     cause_order = [-high, -breaches, F.col("department"), F.col("issue_type")]
-    ranked = counted.withColumns(
-        {
-            "_mean_tickets": F.avg(tickets).over(within),
-            "_mean_high": F.avg(high).over(within),
-            "_rank": F.row_number().over(within.orderBy(*cause_order)),
-        }
-    )
 
     def at(where: int) -> Column:
         return (level == where) & F.col("_named")
@@ -90,9 +82,12 @@ def facts(base: DataFrame, pain_points: int = 5) -> DataFrame:
 
     breach_rate = rate("breached", "rows", F.col)
     cause = F.struct("department", "issue_type", *[c.alias(name) for name, c in support.cause_columns(F.col).items()])
-    listed = F.collect_list(F.when(at(BY_CAUSE) & (F.col("_rank") <= pain_points), F.struct("_rank", cause.alias("cause"))))
-    above = at(BY_AGENT) & ((tickets > F.col("_mean_tickets")) | (high > F.col("_mean_high")))
-    row = ranked.agg(
+    causes = counted.where(at(BY_CAUSE)).select(high.alias("high"), breaches.alias("breaches"), "department", "issue_type", cause.alias("cause"))
+    first_causes = records(causes, [("high", True), ("breaches", True), ("department", False), ("issue_type", False)], pain_points, "cause")
+    mean = counted.where(at(BY_AGENT)).agg(F.avg(tickets).alias("tickets"), F.avg(high).alias("high"))
+    compared = counted.withColumn("_mean", mean.select(F.struct("tickets", "high")).scalar())
+    above = at(BY_AGENT) & ((tickets > F.col("_mean.tickets")) | (high > F.col("_mean.high")))
+    row = compared.agg(
         *[F.sum(F.when(level == ALL, F.col(c))).alias(c) for c in measures],
         leader(BY_DEPARTMENT, [-breach_rate, F.col("department")], department=F.col("department"), sla_breach_rate=breach_rate).alias(
             "_department"),
@@ -103,8 +98,7 @@ def facts(base: DataFrame, pain_points: int = 5) -> DataFrame:
             sla_breaches=breaches,
         ).alias("_pain_point"),
         F.count_if(above).alias("_overloaded"),
-        F.transform(F.array_sort(listed), lambda x: x["cause"]).alias("_pain_points"),
-    )
+    ).withColumn("_pain_points", first_causes)
     taken = ("_department", "_issue", "_agent", "_pain_point", "_overloaded", "_pain_points")
     return row.select(*[c.alias(name) for name, c in support.kpi_columns(F.col).items()], *taken)
 

@@ -4,17 +4,19 @@ Keywords are found inside each text's row; pairs come from the caller (who appli
 pairs, not with resumes times jobs. A pair row meets its two keyword arrays in two lookup joins by id.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import constants as C
 from gaugeworks import wording as W
-from gaugeworks.functions.keywords import keyword_tokens, ranked, with_keyword_counts
+from gaugeworks.functions.keywords import keyword_tokens, ranked, text_pieces, with_keyword_counts
 from gaugeworks.functions.numeric import round_half_even
 from gaugeworks.functions.text import bulleted, fill, join, lines, numbered, redact, strip, truncate
 from gaugeworks.operators.replies import FEEDBACK_FIELDS, one_reply_per, with_feedback_reply
 from gaugeworks.operators.skew import ROWS_PER_PART, attach, hot_keys
 
+LONG_TEXT_CHARS = 1_000_000
+
 
 def non_blank(frame: DataFrame, text: str = "text", max_chars: int | None = None) -> DataFrame:
     """Rows with a text. `max_chars` cuts texts as an input form would; by default they stay whole."""
@@ -22,12 +24,37 @@ def non_blank(frame: DataFrame, text: str = "text", max_chars: int | None = None
     return kept if max_chars is None else kept.withColumn(text, truncate(F.col(text), max_chars))
 
 
-def keyword_counts(frame: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, keyword, n, first_pos): every distinct keyword of every text. No shuffle."""
-    counted = with_keyword_counts(frame.select(key, text), text)
+def keyword_counts(frame: DataFrame, key: str, text: str = "text", long_chars: int = LONG_TEXT_CHARS) -> DataFrame:
+    """(key, keyword, n, first_pos): every distinct keyword of every text.
+
+    Texts of up to `long_chars` are counted within their row, without a shuffle. Longer ones are cut into pieces of about that
+    size, which go to tasks of their own; each piece's counts and first positions are then merged by keyword.
+    """
+    rows = frame.select(key, F.col(text).alias("text"))
+    short = rows.where(F.coalesce(F.length("text") <= long_chars, F.lit(True)))
+    return _counted_rows(short, [key]).select(key, "keyword", "n", "first_pos").unionAll(
+        _long_keyword_counts(rows.where(F.length("text") > long_chars), key, long_chars))
+
+
+def _counted_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    counted = with_keyword_counts(rows.select(*keys, "text"), "text")
     # The outer form: for the inner one the optimizer would copy the whole computation into a size > 0 filter.
-    listed = counted.select(key, F.inline_outer("keywords")).where(F.col("keyword").isNotNull())
-    return listed.select(key, "keyword", (-F.col("minus_n")).alias("n"), "first_pos")
+    listed = counted.select(*keys, F.inline_outer("keywords")).where(F.col("keyword").isNotNull())
+    return listed.select(*keys, "keyword", (-F.col("minus_n")).alias("n"), "first_pos")
+
+
+def _long_keyword_counts(rows: DataFrame, key: str, piece_chars: int) -> DataFrame:
+    """`keyword_counts` of long texts. A text is a row of its own: rows that share a key are not merged."""
+    pieces = text_pieces(rows.withColumn("_row", F.monotonically_increasing_id()), "text", piece_chars)
+    # With both columns, so that the pieces of one text spread; written partitions do not depend on the row number's order.
+    counted = _counted_rows(pieces.repartition("_row", "piece"), [key, "_row", "piece"])
+    within = Window.partitionBy("_row").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy("_row", "piece").agg(F.sum("n").alias("tokens"))
+    before = sizes.select("_row", "piece", F.coalesce(F.sum("tokens").over(within), F.lit(0)).alias("before"))
+    merged = counted.groupBy(key, "_row", "keyword").agg(
+        F.sum("n").cast("int").alias("n"), F.min(F.struct("piece", "first_pos")).alias("first"))
+    placed = merged.withColumn("piece", F.col("first.piece")).join(before, ["_row", "piece"])
+    return placed.select(key, "keyword", "n", (F.col("before") + F.col("first.first_pos")).cast("int").alias("first_pos"))
 
 
 def ranked_keywords(frame: DataFrame, key: str, text: str = "text", n: int = C.TOP_KEYWORDS) -> DataFrame:

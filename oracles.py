@@ -699,6 +699,11 @@ _SQL = {
     "merged_triage": (MERGED, "triaged", "parsed"),
     "csv_roundtrip": ("SELECT *, 'roundtrip' AS source FROM tickets", "tickets"),
     "triage_prompts": (TRIAGE_PROMPTS, "triaged", "scored"),
+    "logged_replies": (
+        f"""SELECT ticket_id, '{{"risk_score": ' || length(prompt) % 101 || ', "urgency": "' || right(prompt, 1) || '"}}' AS reply,
+            1 AS asked FROM ({TRIAGE_PROMPTS})""", "triaged", "scored",
+    ),
+    "ticket_lookup": ("SELECT * FROM scored WHERE ticket_id IN (SELECT ticket_id FROM replies)", "scored", "replies"),
     "briefing_prompt": (BRIEFING_PROMPT, "brief"),
     "guarded_csv": (
         "SELECT department, issue_type, agent, count(*) AS tickets FROM tickets GROUP BY ALL", "tickets",

@@ -18,8 +18,9 @@ from gaugeworks.operators import (
 from gaugeworks.operators.measures import rollup
 from gaugeworks.plans import reports
 from gaugeworks.session import scratch_path
-from gaugeworks.sources import sinks, tables
+from gaugeworks.sources import scored_table, sinks, tables
 from gaugeworks.sources.driver_views import AS_OF, SCHEMAS, DriverViews
+from gaugeworks.sources.reply_log import ReplyLog
 from gaugeworks.streaming import tickets as ticket_stream
 
 QUERIES = {}
@@ -410,6 +411,32 @@ def merged_triage(v, spark, folder):
     return _flat(replies.merge_triage(_scored(v), v.replies))
 
 
+def _plain_answer(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that answers the same prompt alike."""
+    return [f'{{"risk_score": {len(p) % 101}, "urgency": "{p[-1:]}"}}' for p in prompts]
+
+
+@query
+def logged_replies(v, spark, folder):
+    """All prompts asked through a reply log, in two parts, by a run that is repeated; `asked` counts a prompt's replies."""
+    log = ReplyLog(spark, scratch_path(spark, "replies"))
+    prompts = triage.triage_prompts(_scored(v))
+    log.ask(prompts, _plain_answer, parts=2)
+    if log.ask(prompts, _plain_answer):
+        raise RuntimeError("a prompt that has a reply was asked again")
+    asked = log.replies().groupBy("prompt_hash").agg(F.max("reply").alias("reply"), F.count(F.lit(1)).alias("asked"))
+    hashed = prompts.select("ticket_id", F.sha2("prompt", 256).alias("prompt_hash"))
+    return hashed.join(asked, "prompt_hash", "left").select("ticket_id", "reply", "asked")
+
+
+@query
+def ticket_lookup(v, spark, folder):
+    """The scored tickets that have a reply, from a stored table."""
+    path = scratch_path(spark, "scored-table")
+    scored_table.store(_scored(v), path, buckets=4, period="yyyy")
+    return scored_table.by_ids(spark, path, v.replies, buckets=4)
+
+
 @query
 def merged_briefing(v, spark, folder):
     reply = F.lit('{"briefing_sections": {"sla_risk": "Look at SLA."}, "agent_trace": ["read"]}')
@@ -462,5 +489,5 @@ def stream_breach_windows(v, spark, folder):
     path = scratch_path(spark, "windows")
     # The orders come in no order of time: the delay covers all of their years.
     windows = ticket_stream.breach_windows(_streamed(spark, folder), delay="4000 days")
-    ticket_stream.upsert_to(windows, path, path + "-checkpoint").awaitTermination()
+    ticket_stream.upsert_to(windows, path, path + "-checkpoint", compact_every=1).awaitTermination()
     return ticket_stream.latest_windows(spark, path)

@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB SQL over the smallest tables."""
 
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 
 import __spark_entry__ as contract
 import check

@@ -70,7 +70,7 @@ def test_risk_level_edges(spark):
 
 
 def test_scores_are_bounded_and_agree_with_levels(spark):
-    from conftest import SMALL
+    from small_tables import SMALL
     from gaugeworks.sources.driver_views import AS_OF, DriverViews
 
     scored = risk.add_risk(DriverViews(spark, SMALL).tickets, AS_OF)
@@ -104,7 +104,7 @@ def test_summaries(tickets):
 
 
 def test_summaries_of_a_rollup_are_the_same(spark):
-    from conftest import SMALL
+    from small_tables import SMALL
     from gaugeworks.sources.driver_views import AS_OF, DriverViews
 
     scored = risk.add_risk(DriverViews(spark, SMALL).tickets, AS_OF)
