@@ -25,8 +25,11 @@ from gaugeworks.llm.common import map_batches, texts
 WINDOW = 16
 CHUNK_BITS = 9
 BASE = 0x9E3779B1
-WORD_CACHE = 400_000
-CHUNK_CACHE = 10_000
+# What the two caches of a worker hold at most, in bytes of Python objects, roughly.
+WORD_CACHE = 96 << 20
+CHUNK_CACHE = 32 << 20
+# An entry with its key, value and place in the map, and what each id of it adds.
+ENTRY_BYTES, ID_BYTES = 300, 8
 
 ROUND_TRIP = "doc_id long, n_tokens long, ids binary, decoded string"
 
@@ -50,10 +53,10 @@ def byte_letters() -> list[str]:
 
 
 class Recent:
-    """A map of at most about `size` entries that forgets those not used for longest, half at a time."""
+    """A map of texts to ids that forgets those not used for longest, half at a time, when it holds about `size` bytes."""
 
     def __init__(self, size: int):
-        self.half, self.young, self.old = size // 2, {}, {}
+        self.half, self.held, self.young, self.old = size // 2, 0, {}, {}
 
     def get(self, key):
         found = self.young.get(key)
@@ -61,10 +64,11 @@ class Recent:
             self.put(key, found)
         return found
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.young, self.old = {}, self.young
+    def put(self, key, value, ids: int | None = None) -> None:
+        if self.held >= self.half:
+            self.young, self.old, self.held = {}, self.young, 0
         self.young[key] = value
+        self.held += ENTRY_BYTES + len(key) + ID_BYTES * (len(value) if ids is None else ids)
 
 
 def cuts(text: str) -> list[int]:
@@ -156,7 +160,7 @@ class Codec:
                 return None
             last = max(text.rfind(c) for c in " \t\n\r\x0b\x0c")
             found = (text[: first.start()], self.settled(text[first.start() : last + 1]), text[last + 1 :])
-            self.chunks.put(text, found)
+            self.chunks.put(text, found, len(found[1]) + len(text) // ID_BYTES)
         return found
 
     def encode(self, text: str) -> list[int]:

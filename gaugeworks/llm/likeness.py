@@ -68,22 +68,23 @@ def enough(common, one, other, least: tuple[int, int]):
     return common * least[1] >= least[0] * (one + other - common)
 
 
-MARK = "bucket long, blob binary, doc_id long, n long, digest binary, sketch binary, own long, key long"
+MARK = "bucket long, blob binary, doc_id long, tag long, n long, digest binary, sketch binary, own long, key long"
 
 
 def marks(batches, method: Method, buckets: int):
-    """Three kinds of rows: documents (doc_id, n, digest, sketch, own), blobs for the buckets, and (own, key) of keys that several
+    """Three kinds of rows: documents (doc_id, tag, n, digest, sketch, own), blobs for the buckets, and (own, key) of keys that several
     texts of the batch have. A key ends with its flag; `own` names a text by the first half of its digest."""
     known = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
             piece = batch.slice(at, BATCH_ROWS)
-            ids, sizes, digests, sketches, names, keys, owners, seen = [], [], [], [], [], [], [], set()
-            for doc_id, text in zip(*(c.to_pylist() for c in piece.columns)):
+            ids, tags, sizes, digests, sketches, names, keys, owners, seen = [], [], [], [], [], [], [], [], set()
+            for doc_id, text, tag in zip(*(c.to_pylist() for c in piece.columns)):
                 own = shingles(text, known)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 found, flags, sketch = method.keys(own) if len(own) else (own, own, b"")
                 ids.append(doc_id)
+                tags.append(tag)
                 sizes.append(len(own))
                 digests.append(digest)
                 sketches.append(sketch)
@@ -92,7 +93,7 @@ def marks(batches, method: Method, buckets: int):
                     seen.add(digest)
                     keys.append(np.unique(found >> np.uint64(65 - KEY_BITS) << np.uint64(1) | flags.astype(np.uint64)).astype(np.int64))
                     owners.append(np.full(len(keys[-1]), names[-1]))
-            yield record(MARK, None, None, ids, sizes, digests, sketches, names, None)
+            yield record(MARK, None, None, ids, tags, sizes, digests, sketches, names, None)
             key, owner = np.concatenate(keys), np.concatenate(owners)
             if not len(key):
                 continue
@@ -102,14 +103,14 @@ def marks(batches, method: Method, buckets: int):
             several = counts > 1
             told = np.repeat(several, counts)
             if told.any():
-                yield record(MARK, None, None, None, None, None, None, owner[told], key[told])
+                yield record(MARK, *[None] * 7, owner[told], key[told])
             key, owner = key[starts], owner[starts]
             order = np.argsort((key >> 1) % buckets, kind="stable")
             key, owner, several = key[order], owner[order], several[order]
             begin, size = runs_of((key >> 1) % buckets)
             blobs = [packed(np.diff(key[a : a + n], prepend=0), owner[a : a + n], several[a : a + n])
                      for a, n in zip(begin.tolist(), size.tolist())]
-            yield record(MARK, (key[begin] >> 1) % buckets, blobs, None, None, None, None, None, None)
+            yield record(MARK, (key[begin] >> 1) % buckets, blobs, *[None] * 7)
 
 
 def met(batches):
@@ -225,17 +226,18 @@ class Likeness:
     """Classes of alike texts among `docs` (doc_id, text).
 
     `classes`: digest, node, least (the smallest doc_id), n; `links`: u, v between nodes, enough to connect whatever alike
-    texts connect. `labelled`: doc_id, n, component_id per row. Null texts count as empty; texts without words have an empty set
+    texts connect; `labelled`: a row per document. Null texts count as empty; texts without words have an empty set
     and are linked with nothing. Rows that repeat a doc_id may be in several components. An empty table gives an empty result.
     """
 
     def __init__(self, docs: DataFrame, method: Method, name: str, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.method, self.tables = docs.sparkSession, method, SharedTables(docs.sparkSession, name)
         self.rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+        tagged = self.rows.withColumn("tag", F.xxhash64("text"))
         # A scan's partitions have a bounded size, so buckets keep theirs where their number follows that of the partitions.
         self.buckets = max(16, 4 * docs.rdd.getNumPartitions())
-        self.marked = self.tables.write(self.rows.mapInArrow(lambda b, n=self.buckets: marks(b, method, n), MARK), "marked")
-        self.documents = self.marked.where("digest IS NOT NULL").select("doc_id", "n", "digest", "sketch", "own")
+        self.marked = self.tables.write(tagged.mapInArrow(lambda b, n=self.buckets: marks(b, method, n), MARK), "marked")
+        self.documents = self.marked.where("digest IS NOT NULL").select("doc_id", "tag", "n", "digest", "sketch", "own")
         grouped = self.documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"),
             F.first("sketch").alias("sketch"), F.first("own").alias("own"))
         self.classes = self.tables.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -303,14 +305,14 @@ class Likeness:
         return self._dealt(rows, "unit").mapInArrow(lambda b: settled(b, least), "u long, v long").distinct()
 
     def labelled(self) -> DataFrame:
-        """doc_id, n, digest, component_id: one row per document."""
+        """doc_id, tag, n, component_id: one row per document; the tag, a hash of the text, tells rows of one doc_id apart."""
         stars = components(self.links, SharedTables(self.spark, "alike"))
         rooted = self.classes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
             "digest", "least", F.coalesce("root", "node").alias("root"))
         named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         found = self.tables.write(rooted.join(named, "root").select("digest", "component_id"), "named")
         return self.documents.join(found, "digest", "left").select(
-            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n", "digest",
+            F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "tag", "n",
             F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"))
 
 

@@ -9,21 +9,23 @@ added into bitwise counters with carry-save adders. A block of lanes is abandone
 radius. Pairs within a bucket are never emitted: each bucket returns a star per component, at most one edge a row.
 
 `keep` asks for more than the query: all texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more. Two
-such sets share one of the smallest hashes (a fifth of each set), so these hashes are the buckets. Fingerprints within a wide
-radius there are only candidates; the exact likeness, taken inside the groups that candidates form, decides on a link.
+such sets share one of the smallest hashes (a fifth of each set), so these hashes are the keys; those that one text alone has
+go no further. Fingerprints of 256 bits, compared by the same bit planes, tell which texts with a common key are candidates, and
+the exact likeness decides on a link (see `likeness`).
 """
 
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import SLICE_ROWS, SharedTables, map_batches, texts
+from gaugeworks.llm.arrays import mixed
+from gaugeworks.llm.common import SharedTables, map_batches, texts
 from gaugeworks.llm.components import components
+from gaugeworks.llm.likeness import Likeness, Method
 
 SHINGLE = 4
 SEED = 42
@@ -31,11 +33,12 @@ RADIUS = 4
 BANDS, AGREE = 6, 2
 UNIT_ROWS = 8192
 BLOCK_WORDS = 64
-# What `keep` asks for: shingles of so many words, a likeness of at least LEAST[0] / LEAST[1]. At a likeness of 0.8 fingerprints
-# differ in 9.7 bits on average with a standard deviation of 2.9, so the radius is 3.6 deviations away.
-KEEP_SHINGLE, KEEP_RADIUS, LEAST = 5, 20, (4, 5)
-CONFIRM_ROWS = 4096
-COMPARE_ROWS = 100_000
+# What `keep` asks for: a likeness of at least LEAST[0] / LEAST[1]. At a likeness of 0.8 fingerprints of 256 bits differ in 39
+# bits on average with a standard deviation of 5.7, so the radius is 4.4 deviations away; unrelated ones differ in 128.
+LEAST = (4, 5)
+WIDE, WIDE_RADIUS = 256, 64
+# Lags are compared several at a time while few lanes are left.
+LAG_LANES = 1 << 12
 
 
 def hashes_of(text: str, words: int) -> np.ndarray:
@@ -90,7 +93,9 @@ def buckets(distinct: DataFrame, bands: int = BANDS, agree: int = AGREE) -> Data
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """64 rows of packed bits: row j holds bit j of all values."""
+    """64 rows of packed bits: row j holds bit j of all values. Values of several words give 64 rows for each word."""
+    if values.ndim > 1:
+        return np.concatenate([planes(np.ascontiguousarray(column)) for column in values.T])
     lanes = -(-len(values) // 64) * 64
     padded = np.zeros(lanes, dtype="<u8")
     padded[: len(values)] = values
@@ -122,8 +127,8 @@ def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndar
     (ones, twos), over = counters[:2], np.zeros(width, dtype="<u8")
     live = np.arange(width)
     every = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for at in range(0, 64, 3):
-        group = [left[j][live] ^ right[j][live] for j in range(at, min(at + 3, 64))]
+    for at in range(0, len(left), 3):
+        group = [left[j][live] ^ right[j][live] for j in range(at, min(at + 3, len(left)))]
         group += [np.zeros(len(live), dtype="<u8")] * (3 - len(group))
         a, b, c = group
         low, high = a ^ b ^ c, (a & b) | (c & (a ^ b))
@@ -170,42 +175,58 @@ def linked(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tupl
     return values[leaf], values[root]
 
 
-def stars(values: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def stars(values: np.ndarray, groups: np.ndarray, radius: int, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """`linked` as places in `values`.
 
     `groups` is sorted. Larger groups come first, so that the lanes still to be compared at a lag are a prefix. It ends
-    early when each group is one component.
+    early when each group is one component. With `sizes` of sets, ascending in each group, pairs too different in size for
+    LEAST do not count, and it ends when only such are left.
     """
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    sizes = np.diff(np.r_[starts, len(groups)])
-    order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] > 1]
+    counts = np.diff(np.r_[starts, len(groups)])
+    order = np.argsort(-counts, kind="stable")
+    order = order[counts[order] > 1]
     if not len(order):
         return order, order
-    sizes, starts = sizes[order], starts[order]
-    index = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-    chosen, number = values[index], np.repeat(np.arange(len(sizes)), sizes)
+    counts, starts = counts[order], starts[order]
+    index = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+    chosen, number = values[index], np.repeat(np.arange(len(counts)), counts)
+    own = None if sizes is None else sizes[index]
     root = np.arange(len(chosen))
-    sliced, ends = planes(chosen), np.cumsum(sizes)
-    for lag in range(1, int(sizes[0])):
-        lanes = int(ends[np.searchsorted(-sizes, -lag, side="left") - 1])
+    sliced, ends = planes(chosen), np.cumsum(counts)
+    lag = 1
+    while lag < int(counts[0]):
+        lanes = int(ends[np.searchsorted(-counts, -lag, side="left") - 1])
         words = -(-lanes // 64)
-        reach = min(sliced.shape[1], words + lag // 64 + 2)
-        near = within(sliced[:, :words], shifted(sliced[:, :reach], lag)[:, :words], radius)
-        hits = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: max(0, min(lanes, len(chosen) - lag))])
-        hits = hits[number[hits] == number[hits + lag]]
-        hits = hits[root[hits] != root[hits + lag]]
-        for i in hits.tolist():
-            a, b = i, i + lag
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            root[max(a, b)] = min(a, b)
-        if len(hits):
-            while not np.array_equal(root, root[root]):
-                root = root[root]
-            if np.count_nonzero(root == np.arange(len(root))) == len(sizes):
+        turns = min(max(1, LAG_LANES // words), int(counts[0]) - lag)
+        reach = min(sliced.shape[1], words + (lag + turns) // 64 + 2)
+        right = np.concatenate([shifted(sliced[:, :reach], k)[:, :words] for k in range(lag, lag + turns)], axis=1)
+        near = within(np.tile(sliced[:, :words], (1, turns)), right, radius)
+        flags = np.unpackbits(near.view(np.uint8), bitorder="little").reshape(turns, -1)
+        found = False
+        for turn, k in enumerate(range(lag, lag + turns)):
+            hits = np.flatnonzero(flags[turn, : max(0, min(lanes, len(chosen) - k))])
+            hits = hits[number[hits] == number[hits + k]]
+            if own is not None:
+                hits = hits[own[hits] * LEAST[1] >= own[hits + k] * LEAST[0]]
+            hits = hits[root[hits] != root[hits + k]]
+            for i in hits.tolist():
+                a, b = i, i + k
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
+            if len(hits):
+                found = True
+                while not np.array_equal(root, root[root]):
+                    root = root[root]
+        if found and np.count_nonzero(root == np.arange(len(root))) == len(counts):
+            break
+        lag += turns
+        if own is not None and lag < int(counts[0]):
+            ahead = np.arange(min(lanes, len(chosen) - lag))
+            if not ((number[ahead] == number[ahead + lag]) & (own[ahead] * LEAST[1] >= own[ahead + lag] * LEAST[0])).any():
                 break
     leaf = np.flatnonzero(root != np.arange(len(root)))
     return index[leaf], index[root[leaf]]
@@ -282,173 +303,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes(marked, tables, lambda distinct: links(distinct, radius)), "bits").select("doc_id", "bits", "component_id")
 
 
-def identity(text: str) -> int:
-    """A hash of the words: texts with the same words in the same order are one node of the graph of likenesses."""
-    return signed(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SEED))
+def wide_fingerprint(own: np.ndarray) -> bytes:
+    """WIDE bits of a set of hashes: a majority of 64 bits for each of several ways to spread a hash."""
+    words = [majority(mixed(own + np.uint64(i))) for i in range(WIDE // 64)]
+    return np.array(words, dtype="<u8").tobytes()
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bits, keys: `identity`, the fingerprint, and the shingle hashes one of which any like text shares.
+def prefix_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The shingle hashes one of which any like text shares, and the wide fingerprint.
 
     In the order of the hashes, two sets that share a LEAST part of either have a common hash among all but the last
     `ceil(LEAST * size) - 1` of each.
     """
+    keys = own[: len(own) + 1 - (-(-LEAST[0] * len(own) // LEAST[1]))]
+    return keys, np.zeros(len(keys), dtype=np.uint64), wide_fingerprint(own)
 
-    def run(ids, bodies):
-        nodes, bits, keys = [], [], []
-        for body in bodies:
-            hashes = hashes_of(body, KEEP_SHINGLE)
-            distinct = np.unique(hashes)
-            nodes.append(identity(body))
-            bits.append(signed(majority(hashes)))
-            keys.append(distinct[: len(distinct) + 1 - needed(len(distinct))].view(np.int64) if len(distinct) else [0])
-        return ids, nodes, bits, keys
 
-    return map_batches(texts(docs), run, "doc_id long, node long, bits long, keys array<long>")
+def wide_forest(unit: np.ndarray, entry: np.ndarray, flags: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that connect what is within WIDE_RADIUS in its unit and of sizes that LEAST allows."""
+    bits = np.frombuffer(b"".join(sketches), dtype="<u8").reshape(len(sketches), WIDE // 64)
+    order = np.lexsort((sizes[entry], unit))
+    entry = entry[order]
+    leaf, root = stars(bits[entry], unit[order], WIDE_RADIUS, sizes[entry])
+    return entry[leaf], entry[root]
 
 
-def needed(size):
-    """The least number of common shingles with a set of this size, whatever the other set: LEAST of it, rounded up."""
-    return -(-LEAST[0] * size // LEAST[1])
-
-
-def in_units(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
-    """The rows dealt by `unit`: their key, or for keys in `large` (key, parts) each pair of parts as a unit of its own.
-
-    `large` is broadcast: it has at most a row for each half unit of rows. Rows are dealt to parts by their `node`.
-    """
-    part = F.expr("cast(pmod(xxhash64(node), parts) AS INT)")
-    dealt = (
-        rows.join(F.broadcast(large), key, "left")
-        .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(part))
-        .withColumn("other", F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0) ELSE sequence(0, parts - 1) END")))
-        .withColumn("unit", F.when(F.col("parts").isNull(), F.col(key)).otherwise(
-            F.xxhash64(key, F.least("part", "other"), F.greatest("part", "other"))))
-    )
-    return dealt.drop(key, "parts", "part", "other").repartition("unit").sortWithinPartitions("unit")
-
-
-def candidates(marked: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
-    """u, v: stars of nodes that share a key of `sketched` and lie within KEEP_RADIUS.
-
-    How large a bucket is, is estimated from a part of its nodes: this only decides how it is cut, not what is compared.
-    """
-    share = min(16, max(1, unit_rows // 512))
-    rows = marked.select(F.explode("keys").alias("key"), "node", "bits")
-    large = rows.where(F.pmod("node", F.lit(share)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") * share * 2 > unit_rows).select("key", F.expr(f"cast(ceil(2 * n * {share} / {unit_rows}) AS INT)").alias("parts"))
-
-    def compare(batches):
-        held = [np.zeros(0, dtype=np.int64)] * 3
-
-        def done(unit, node, bits):
-            # Texts with the same words are one node.
-            first = np.lexsort((node, unit))
-            first = first[np.r_[True, (unit[first][1:] != unit[first][:-1]) | (node[first][1:] != node[first][:-1])]] if len(first) else first
-            leaf, root = stars(bits[first].view(np.uint64), unit[first], KEEP_RADIUS) if len(first) else (first, first)
-            return pa.RecordBatch.from_arrays([pa.array(node[first][leaf]), pa.array(node[first][root])], names=["u", "v"])
-
-        # Many rows at a time, as there are as many turns as the largest group has rows.
-        waiting, size = [held], 0
-        for batch in batches:
-            waiting.append([batch.column(n).to_numpy(zero_copy_only=False) for n in ("unit", "node", "bits")])
-            size += batch.num_rows
-            if size >= COMPARE_ROWS:
-                held = [np.concatenate(c) for c in zip(*waiting)]
-                # The last group may go on in the next batch.
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                yield done(*(h[:cut] for h in held))
-                waiting, size = [[h[cut:] for h in held]], 0
-        yield done(*(np.concatenate(c) for c in zip(*waiting)))
-
-    return in_units(rows, large, "key").mapInArrow(compare, "u long, v long")
-
-
-def alike(sets: list[np.ndarray]) -> np.ndarray:
-    """A label for each set; those connected by likenesses of LEAST or more have the same one, the first such place."""
-    label, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
-    prefix = [s[: max(1, len(s) + 1 - needed(len(s)))] for s in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefix])
-    flat = np.concatenate(prefix)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    for i in range(1, len(sets)):
-        near = np.zeros(i, dtype=bool)
-        for a, b in zip(np.searchsorted(flat, prefix[i]).tolist(), np.searchsorted(flat, prefix[i], side="right").tolist()):
-            found = owner[a:b]
-            near[found[: np.searchsorted(found, i)]] = True
-        near &= (sizes[:i] >= needed(sizes[i])) & (needed(sizes[:i]) <= sizes[i])
-        left = np.flatnonzero(near & (label[:i] != label[i]))
-        while len(left):
-            j = int(left[0])
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if common * LEAST[1] >= LEAST[0] * (sizes[i] + sizes[j] - common):
-                low, high = sorted((int(label[i]), int(label[j])))
-                label[label == high] = low
-                left = left[label[left] != label[i]]
-            else:
-                left = left[1:]
-    return label
-
-
-def confirmed(docs: DataFrame, stars: DataFrame, unit_rows: int = CONFIRM_ROWS) -> DataFrame:
-    """u, v: links of a likeness of LEAST or more within the groups that `stars` (u, v: a node and its group's first) make.
-
-    They leave the same components as all such links there. A group of more than `unit_rows` nodes is cut like a bucket.
-    """
-    group = stars.select(F.col("u").alias("node"), F.col("v").alias("group")).unionAll(
-        stars.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
-    large = stars.groupBy(F.col("v").alias("group")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= unit_rows).select(
-        "group", F.expr(f"cast(ceil(2 * n / {unit_rows}) AS INT)").alias("parts"))
-    rows = docs.select(nodes_of("text").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(group, "node")
-
-    def links_of(nodes: dict[int, np.ndarray]):
-        names = np.array(list(nodes), dtype=np.int64)
-        label = alike(list(nodes.values()))
-        leaf = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(names[leaf]), pa.array(names[label[leaf]])], names=["u", "v"])
-
-    def compare(batches):
-        unit, nodes = None, {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(start, SLICE_ROWS)
-                for key, node, text in zip(*(piece.column(n).to_pylist() for n in ("unit", "node", "text"))):
-                    if key != unit and len(nodes) > 1:
-                        yield links_of(nodes)
-                    if key != unit:
-                        unit, nodes = key, {}
-                    if node not in nodes:
-                        nodes[node] = np.unique(hashes_of(text, KEEP_SHINGLE))
-        if len(nodes) > 1:
-            yield links_of(nodes)
-
-    return in_units(rows, large, "group").mapInArrow(compare, "u long, v long")
-
-
-def nodes_of(text_col: str) -> Column:
-    @F.pandas_udf("long")
-    def nodes(bodies: pd.Series) -> pd.Series:
-        return pd.Series([identity(b or "") for b in bodies], dtype="int64")
-
-    return nodes(text_col)
+NEAR = Method(prefix_keys, wide_forest, LEAST)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each group of near duplicates the one with the smallest doc_id.
 
     Texts are near duplicates if links reach from one to the other; a link is a Jaccard likeness of LEAST or more between the
-    sets of KEEP_SHINGLE words. Texts without words are alike. Rows that repeat both the id and the words are one document,
-    of which one row stays.
+    sets of five-word shingles. Texts without words, null ones included, are alike. Rows that repeat both the id and the text
+    are one document, of which one row stays; a null id is smaller than any other. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    tables, grouping = SharedTables(spark, "simhash-keep"), SharedTables(spark, "simhash-groups")
-    marked = tables.write(sketched(docs), "marked")
-    groups = components(candidates(marked), grouping)
-    found = classes(marked.select("doc_id", F.col("node").alias("bits")), tables, lambda _: confirmed(docs, groups))
-    tables.drop("marked")
-    grouping.drop()
-    stays = found.select(F.col("component_id").alias("_id"), F.col("bits").alias("_own"))
-    rows = docs.withColumn("_node", nodes_of("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_own"))
-    return rows.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_node"]).drop("_node")
+    found = Likeness(docs, NEAR, "simhash-keep").labelled()
+    wordless = found.where("n = 0")
+    first = wordless.agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first")).select("first.doc_id").scalar()
+    least = F.when(F.col("n") == 0, first).otherwise(F.col("component_id"))
+    stays = found.where(F.col("doc_id").eqNullSafe(least)).select(F.col("doc_id").alias("stays_id"), F.col("tag").alias("stays_tag")).distinct()
+    # The row travels as one struct, so that no column of the caller's can clash.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tag"))
+    same = F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("tag") == F.col("stays_tag"))
+    return rows.join(stays, same, "left_semi").dropDuplicates(["id", "tag"]).select("row.*")

@@ -29,3 +29,35 @@ def slow_components(values, radius=4):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     return root
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike_roots(sets):
+    """Root index of each set: pairs of non-empty sets with a Jaccard likeness of 0.8 or more are linked."""
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def changed_copies(rng):
+    """Texts and their copies with a growing number of changed words."""
+    texts = []
+    for size in (12, 60, 200, 400):
+        for changes in (0, 1, 2, 3, 5, 8, 12):
+            words = sentence(rng, size).split()
+            texts.append(" ".join(words))
+            for _ in range(3):
+                copy = list(words)
+                for at in rng.sample(range(size), min(changes, size // 2)):
+                    copy[at] = "changed" + str(rng.random())
+                texts.append(" ".join(copy) + " end" * (changes == 0))
+    return texts

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_samples import COLUMNS, sentence, slow_components, slow_fingerprint
+from llm_samples import COLUMNS, alike_roots, changed_copies, five_words, sentence, slow_components, slow_fingerprint
 
-from gaugeworks.llm import components, exact_dedup, simhash, suffix_dedup
+from gaugeworks.llm import components, exact_dedup, likeness, simhash, sketch_join, suffix_dedup
 from gaugeworks.llm.common import SharedTables
 
 LOW = -(1 << 63)
@@ -55,7 +55,9 @@ def test_simhash_by_brute_force(odd, odd_rows, none):
     assert sorted(map(tuple, simhash.near_duplicates(odd).collect()), key=str) == sorted(want, key=str)
     assert simhash.near_duplicates(none).count() == simhash.keep(none).count() == 0
     kept = simhash.keep(odd)
-    assert kept.columns == odd.columns and kept.count() == len(set(root))
+    alike = alike_roots([five_words(t) for _, t, *_ in odd_rows])
+    wordless = sum(not five_words(t) for _, t, *_ in odd_rows)
+    assert kept.columns == odd.columns and kept.count() == len(set(alike)) - wordless + 1
 
 
 def near_values(rng, count=400):
@@ -150,37 +152,49 @@ def test_equal_windows_share_a_run_hash():
     assert suffix_dedup.runs(np.frombuffer(b"a" * 5000, dtype=np.uint8))[2].max() <= suffix_dedup.PIECE
 
 
-def shingle_set(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-@pytest.mark.parametrize("unit_rows", [4096, 8])
-def test_keep_finds_copies_down_to_a_likeness_of_four_fifths(spark, unit_rows, monkeypatch):
+@pytest.mark.parametrize("bounds", [None, (3, 1, 2)])
+@pytest.mark.parametrize("operator", [simhash, sketch_join])
+def test_copies_down_to_a_likeness_of_four_fifths(spark, bounds, operator, monkeypatch):
     """Planted copies with a growing number of changed words, against all pairs; also where groups are cut into parts."""
-    monkeypatch.setattr(simhash.candidates, "__defaults__", (2 * unit_rows,))
-    monkeypatch.setattr(simhash.confirmed, "__defaults__", (unit_rows,))
-    rng = random.Random(3)
-    texts = []
-    for size in (12, 60, 200, 400):
-        for changes in (0, 1, 2, 3, 5, 8, 12):
-            words = sentence(rng, size).split()
-            texts.append(" ".join(words))
-            for _ in range(3):
-                copy = list(words)
-                for at in rng.sample(range(size), min(changes, size // 2)):
-                    copy[at] = "changed" + str(rng.random())
-                texts.append(" ".join(copy) + " end" * (changes == 0))
-    sets = [shingle_set(t) for t in texts]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            common = len(sets[i] & sets[j])
-            if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
-    assert {r.doc_id for r in simhash.keep(docs).collect()} == set(root)
+    for name, value in zip(("UNIT", "HUB_LEAVES", "SETTLE_ROWS"), bounds or ()):
+        monkeypatch.setattr(likeness, name, value)
+    texts = changed_copies(random.Random(3))
+    root = alike_roots([five_words(t) for t in texts])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS).repartition(2)
+    if operator is simhash:
+        assert {r.doc_id for r in simhash.keep(docs).collect()} == set(root)
+    else:
+        assert {r.doc_id: r.component_id for r in sketch_join.join(docs).collect()} == dict(enumerate(root))
+
+
+def test_sketch_join_by_brute_force(odd, odd_rows, none):
+    sets = [five_words(t) for _, t, *_ in odd_rows]
+    root, least = alike_roots(sets), {}
+    # Texts with equal sets are one class even where a null id comes first.
+    for (doc_id, *_), r in zip(odd_rows, root):
+        least[r] = min(order(doc_id), least.get(r, order(doc_id)))
+    plain = lambda x: None if x == LOW else x
+    want = [(d, len(s), plain(least[r])) for (d, *_), s, r in zip(odd_rows, sets, root)]
+    assert sorted(map(tuple, sketch_join.join(odd).collect()), key=str) == sorted(want, key=str)
+    assert sketch_join.join(none).count() == 0
+
+
+@given(st.integers(1, 3000), st.integers(0, 2**32), st.floats(0, 0.3))
+@settings(max_examples=60, deadline=None)
+def test_alike_sets_share_a_parity_word_and_pass_the_bits(size, seed, share):
+    """Whatever two sets with a likeness of 0.8: a common key in a common band, and a distance within the bound."""
+    rng = np.random.default_rng(seed)
+    one = np.unique(rng.integers(1, 1 << 63, size, dtype=np.uint64))
+    drop, add = rng.random(len(one)) < share * rng.random(), rng.integers(1, 1 << 63, int(share * size * rng.random()), dtype=np.uint64)
+    other = np.unique(np.r_[one[~drop], add])
+    common = len(np.intersect1d(one, other))
+    if not len(other) or 5 * common < 4 * (len(one) + len(other) - common):
+        return
+    assert set(sketch_join.keys(one)[0].tolist()) & set(sketch_join.keys(other)[0].tolist())
+    level = min(sketch_join.band(len(one)), sketch_join.band(len(other)))
+    a, b = (np.frombuffer(sketch_join.parity_bits(s, level), dtype=np.uint64) for s in (one, other))
+    assert sketch_join.close(a, b[None, :], np.int64(len(one)), np.array([len(other)])).all()
+    assert np.count_nonzero(sketch_join.parity_words(one, level) != sketch_join.parity_words(other, level)) <= len(one) + len(other) - 2 * common
 
 
 def test_bit_sliced_distances_of_a_wide_radius():

@@ -134,12 +134,16 @@ def test_bpe_of_odd_rows(odd, odd_rows, none, tokenizer):
     assert bpe.encode(none, PATH).count() == bpe.round_trip(none, PATH).count() == 0
 
 
-def test_recent_forgets_the_old_half():
-    cache = bpe.Recent(4)
+def test_recent_is_bounded_by_bytes():
+    cache = bpe.Recent(4 * (bpe.ENTRY_BYTES + 1 + 2 * bpe.ID_BYTES))
     for i in range(10):
-        cache.put(i, i)
-        assert cache.get(0) == (0 if i < 20 else None)
-    assert len(cache.young) + len(cache.old) <= 5 and cache.get(3) is None
+        cache.put(str(i), (i, i))
+        assert cache.get("0") == (0, 0)
+    assert len(cache.young) + len(cache.old) <= 5 and cache.get("3") is None
+    cache.put("x" * 100_000, (1,))
+    cache.put("y" * 100_000, (1,))
+    cache.put("z", (1,))
+    assert len(cache.young) + len(cache.old) <= 2
 
 
 def slow_viterbi(scores, penalty):
