@@ -4,6 +4,7 @@ from gaugeworks.llm import mixing
 
 COUNT = r"len(regexp_extract_all(coalesce(text, ''), '{}'))".format
 WORDS = COUNT(r"[^\x20\x09-\x0D]+")
+RUNS = COUNT(r"[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]")
 PIECES = COUNT(r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]")
 
 EXACT_DEDUP = """
@@ -16,6 +17,8 @@ TOKEN_COUNTS = f"""
 WITH counts AS (
     SELECT source, lang, 'words-1' AS tokenizer, 1 AS sign, {WORDS} AS tokens FROM documents
     UNION ALL SELECT source, lang, 'pieces-2', 1, {PIECES} FROM documents
+    UNION ALL SELECT source, lang, 'pieces-2', -1, {PIECES} FROM documents
+    UNION ALL SELECT source, lang, 'pieces-2', 1, {RUNS} FROM documents
     UNION ALL SELECT source, lang, 'words-1', -1, {WORDS} FROM documents
               WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
 )

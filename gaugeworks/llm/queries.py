@@ -26,15 +26,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under a first tokenizer version, revised to a second one; toxic ones taken back; one batch sent twice."""
+    """All documents under two tokenizer versions; the second one's counts revised; toxic documents taken back; one batch sent twice.
+
+    The second version first counts each digit by itself; the revision counts runs of digits. A document is taken back with all
+    rows of its doc_id.
+    """
     docs, labels = read(spark, sf_dir), read(spark, sf_dir, "labels")
     first = token_rollup.counted(docs, "words-1", F.regexp_count("text", F.lit(WORD)))
     second = token_rollup.counted(docs, "pieces-2", F.regexp_count("text", F.lit(r"[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]")))
+    revised = token_rollup.counted(docs, "pieces-2", F.regexp_count("text", F.lit(r"[A-Za-z]+|[0-9]+|[^\x20\x09-\x0DA-Za-z0-9]")))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     taken_back = first.join(toxic, "doc_id", "left_semi")
     rollup = token_rollup.Rollup(spark, SharedTables(spark, "token-counts").path("rollup"))
     rollup.commit("load", token_rollup.inserts(first))
     rollup.commit("second-version", token_rollup.inserts(second))
+    rollup.commit("second-revised", token_rollup.revisions(second, revised))
     rollup.commit("toxic", token_rollup.deletes(taken_back))
     rollup.commit("load", token_rollup.inserts(first))
     return rollup.totals()

@@ -15,6 +15,7 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts in a docume
    the least common prefix between neighbours with the same symbol, plus one, is the new common prefix. Suffixes whose
    common prefixes reach LENGTH are equal windows; the smallest id among them decides. More than `BLOCK_STRINGS` strings
    with one hash are no block: their windows are compared piece by piece.
+Spans of a document that overlap or touch are joined before they leave a task.
 5. Remove. The spans found come back to their documents and the rest of the bytes is kept.
 
 The transform, common prefixes and suffix names are streams that a round reads front to back and writes anew. They stay in
@@ -214,6 +215,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def spans_joined(rows: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+    """Spans (doc_id, row, start, end) with those of one row that overlap or touch made one; columns in this order."""
+    doc_id, row, start, end = (np.array(c, dtype=np.int64) for c in zip(*rows))
+    order = np.lexsort((start, row, doc_id))
+    doc_id, row, start, end = doc_id[order], row[order], start[order], end[order]
+    first = np.r_[True, (doc_id[1:] != doc_id[:-1]) | (row[1:] != row[:-1])]
+    # The furthest end so far within a row: a text has fewer bytes than a step from one row to the next is worth.
+    step = int(end.max()) + 1
+    reach = np.maximum.accumulate((np.cumsum(first) - 1) * step + end) - (np.cumsum(first) - 1) * step
+    fresh = first | np.r_[False, start[1:] > reach[:-1]]
+    begin = np.flatnonzero(fresh)
+    last = np.r_[begin[1:], len(start)] - 1
+    return [doc_id[begin], row[begin], start[begin], reach[last]]
+
+
 def record(columns, names):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -344,8 +360,9 @@ def dealt(found: dict[bytes, tuple[int, list]], buckets: int):
         none = [None] * len(keys)
         yield record([longs(keys), pa.array(blobs, pa.binary()), pa.array(bodies, pa.binary()), *[longs(none)] * 4], CUT_NAMES)
     if resolved:
-        none = [None] * len(resolved)
-        yield record([longs(none), *[pa.array(none, pa.binary())] * 2, *map(longs, zip(*resolved))], CUT_NAMES)
+        spans = spans_joined(resolved)
+        none = [None] * len(spans[0])
+        yield record([longs(none), *[pa.array(none, pa.binary())] * 2, *map(longs, spans)], CUT_NAMES)
 
 
 CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
@@ -394,7 +411,7 @@ def sort_strings(batches):
                 covered = [(start, start + len(bodies[number]))] if least[number] < doc_id else []
             found += [(doc_id, row, a, b) for a, b in covered]
         if found:
-            yield record([longs(c) for c in zip(*found)], ["doc_id", "row", "start", "end"])
+            yield record([longs(c) for c in spans_joined(found)], ["doc_id", "row", "start", "end"])
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, kept binary, starts array<long>, ends array<long>"
@@ -433,7 +450,8 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     tables = SharedTables(spark, "suffix-dedup")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The partitions of a scan have a bounded size, so buckets keep theirs where their number follows that of the partitions.
+    buckets = max(16, 4 * docs.rdd.getNumPartitions())
     rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     pair = "doc_id long, hash long, places long"
     marked = rows.mapInArrow(lambda b: mark(b, buckets, False), "key long, blob binary")

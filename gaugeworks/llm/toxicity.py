@@ -4,8 +4,11 @@ A text is the set of its hashed terms. The machine adds a weight for each term a
 their short factor vectors, so a pair such as an insult and the mention of a group can weigh more than both alone. The sum
 over pairs takes time linear in the terms: half of (sum of factors) squared minus the sum of squares.
 
-Training reads at most `TRAIN_ROWS` labelled documents. Terms that say nothing about the label there are left out, so the
-model has at most `MODEL_TERMS` terms, whatever the size of the input.
+Training reads at most `TRAIN_ROWS` labelled documents. A term takes part if it says something about the label there by itself,
+or together with another term: a group mention as common in clean as in toxic texts says nothing alone, but the texts where it
+meets an insult differ from those that have only one of both. With thousands of terms and few labels, terms that show neither
+only add noise: a machine over all terms of the sample found fewer toxic texts (see README). The model has at most
+`MODEL_TERMS` terms, whatever the size of the input.
 """
 
 import zlib
@@ -24,10 +27,14 @@ MIN_DOCUMENTS = 5
 MODEL_TERMS = 2048
 # A term's share of toxic documents has to stand out by so many standard deviations.
 MIN_DEVIATION = 4.0
+# Pairs are sought among the terms that stand out and this many of the most frequent ones. What a pair's texts differ by from
+# those with one of its terms has to be so many standard deviations, with so many texts on each side.
+PAIR_TERMS, PAIR_DEVIATION, PAIR_DOCUMENTS = 1024, 6.0, 20
 FACTORS = 4
 EPOCHS, STEPS, BATCH, RATE, DECAY = 6, 1500, 32, 0.2, 1e-5
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
+PAIR_ROWS = 1_000
 
 
 def hashed(word: str) -> int:
@@ -116,18 +123,52 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     if sparse.empty:
         return FactorizationMachine({})
     answers = sparse["y"].to_numpy()
-    flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in sparse["terms"]])
-    toxic = np.concatenate([np.full(len(t), y) for t, y in zip(sparse["terms"], answers)])
+    lists = [np.asarray(t, dtype=np.int64) for t in sparse["terms"]]
+    del sparse
+    machine = FactorizationMachine({t: i for i, t in enumerate(telling(lists, answers))})
+    machine.fit([machine.places(set(t.tolist())) for t in lists], answers.tolist())
+    return machine
+
+
+def telling(rows: list[np.ndarray], answers: np.ndarray) -> list[int]:
+    """The terms (sorted) that tell something about the answers, alone or as one of a pair."""
+    flat = np.concatenate(rows)
     names, spots = np.unique(flat, return_inverse=True)
+    toxic = np.repeat(answers, [len(r) for r in rows])
     documents, with_label = np.bincount(spots), np.bincount(spots, weights=toxic)
     rate = answers.mean()
     deviation = np.abs(with_label - documents * rate) / np.sqrt(np.maximum(documents * rate * (1 - rate), 1e-9))
     fit = (documents >= MIN_DOCUMENTS) & (deviation >= MIN_DEVIATION)
-    chosen = np.flatnonzero(fit)
-    chosen = chosen[np.argsort(-deviation[chosen], kind="stable")][:MODEL_TERMS]
-    machine = FactorizationMachine({int(names[c]): i for i, c in enumerate(sorted(chosen))})
-    machine.fit([machine.places(set(map(int, t))) for t in sparse["terms"]], answers.tolist())
-    return machine
+    alone = np.flatnonzero(fit)[np.argsort(-deviation[fit], kind="stable")]
+    sought = np.unique(np.r_[alone[:MODEL_TERMS], np.argsort(-documents, kind="stable")[:PAIR_TERMS]])
+    strength = paired(rows, answers, names[sought])
+    partners = sought[strength >= PAIR_DEVIATION][np.argsort(-strength[strength >= PAIR_DEVIATION], kind="stable")]
+    # Pairs come first: without one of them, its partner is lost as well.
+    chosen = dict.fromkeys([*names[partners].tolist(), *names[alone].tolist()])
+    return sorted(list(chosen)[:MODEL_TERMS])
+
+
+def paired(rows: list[np.ndarray], answers: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each term of `names`, by how many deviations the texts of its strongest pair differ from those with only one of it."""
+    size = len(names)
+    both, marked = np.zeros((size, size), dtype=np.float32), np.zeros((size, size), dtype=np.float32)
+    for start in range(0, len(rows), PAIR_ROWS):
+        block = np.zeros((min(PAIR_ROWS, len(rows) - start), size), dtype=np.float32)
+        for i, own in enumerate(rows[start : start + PAIR_ROWS]):
+            block[i] = np.isin(names, own, assume_unique=True)
+        both += block.T @ block
+        marked += block.T @ (block * answers[start : start + PAIR_ROWS, None])
+    single, single_marked, best = np.diag(both).copy(), np.diag(marked).copy(), np.zeros(size, dtype=np.float32)
+    for i in range(size):
+        n, m = both[i], marked[i]
+        strengths = []
+        for others, others_marked in ((single[i] - n, single_marked[i] - m), (single - n, single_marked - m)):
+            share = (m + others_marked) / np.maximum(n + others, 1)
+            spread = np.sqrt(np.maximum(share * (1 - share), 1e-6) * (1 / np.maximum(n, 1) + 1 / np.maximum(others, 1)))
+            enough = (n >= PAIR_DOCUMENTS) & (others >= PAIR_DOCUMENTS)
+            strengths.append(np.where(enough, np.abs(m / np.maximum(n, 1) - others_marked / np.maximum(others, 1)) / spread, 0))
+        best[i] = np.minimum(*strengths).max()
+    return best
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

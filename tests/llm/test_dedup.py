@@ -207,6 +207,24 @@ def test_bit_sliced_distances_of_a_wide_radius():
     assert bits.any() and (bits == (np.bitwise_count(values[:-1] ^ values[1:]) <= 20)).all()
 
 
+def test_spans_are_joined_per_row():
+    rows = [(2, 1, 5, 9), (1, 1, 0, 50), (1, 1, 1, 51), (1, 1, 10, 20), (1, 1, 51, 60), (1, 1, 70, 80), (1, 2, 60, 61), (2, 1, 0, 3)]
+    got = list(zip(*(c.tolist() for c in suffix_dedup.spans_joined(rows))))
+    assert got == [(1, 1, 0, 60), (1, 1, 70, 80), (1, 2, 60, 61), (2, 1, 0, 3), (2, 1, 5, 9)]
+
+
+def test_a_hot_passage_makes_few_rows():
+    """400 documents with a common passage of 400 bytes whose hashes are all hot: spans, not windows, leave the task."""
+    rng = random.Random(9)
+    shared = sentence(rng, 100)[:400]
+    texts = [sentence(rng, 30) + shared + sentence(rng, 30) for _ in range(400)]
+    hashes = [np.unique(suffix_dedup.runs(np.frombuffer(t.encode(), dtype=np.uint8))[0]).astype(np.int64) * 2 + 1 for t in texts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(400)), pa.array([0] * 400), pa.array(texts), pa.array([h.tolist() for h in hashes])], names=["doc_id", "row", "text", "hashes"])
+    rows = sum(r.num_rows for r in suffix_dedup.cut([batch], 16))
+    assert rows <= 2_000
+
+
 def test_places_of_few_documents_make_a_hash_hot(spark):
     told = spark.createDataFrame([(1, 7, 60), (2, 7, 60), (1, 8, 1), (2, 8, 1)], "doc_id long, hash long, places long")
     assert [r.hash for r in suffix_dedup.hot_hashes(told, 100).collect()] == [7]

@@ -1,5 +1,6 @@
 """Personal data, span fingerprints, BPE, language and toxicity against brute force, round trips and held-out labels."""
 
+import random
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_samples import COLUMNS
+from llm_samples import COLUMNS, sentence
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -210,6 +211,30 @@ def test_toxicity_learns_a_pair(spark):
     assert wrong <= 0.02 * found.count()
 
 
+def test_toxicity_learns_from_a_pair_alone(spark):
+    """Toxic if exactly one of two words is there: each is as frequent in clean texts as in toxic ones."""
+    rng = random.Random(4)
+    both = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(3000)]
+    noise = [sentence(rng, 3) for _ in range(300)]
+    docs = spark.createDataFrame(
+        [(i, f"{'insult ' * a}{' '.join(rng.sample(noise, 5))}{' group' * b}", None, None, None) for i, (a, b) in enumerate(both)], COLUMNS)
+    labels = spark.createDataFrame([(i, 0, int(a != b)) for i, (a, b) in enumerate(both)], LABELS)
+    found = toxicity.score(docs, toxicity.train(docs, labels)).where(toxicity.held_out()).collect()
+    wrong = sum((r.score >= 0.7) != (both[r.doc_id][0] != both[r.doc_id][1]) for r in found)
+    assert len(found) > 900 and wrong <= 0.02 * len(found)
+
+
+def test_toxicity_on_the_given_labels(spark):
+    """Held-out labels of the given tables: how often a toxic document scores above a clean one."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    told = docs.join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id")
+    found = toxicity.score(told, toxicity.train(docs, labels)).join(told.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out()).collect()
+    toxic, clean = (np.array([r.score for r in found if r.toxic == y]) for y in (1, 0))
+    assert (toxic[:, None] > clean).mean() + 0.5 * (toxic[:, None] == clean).mean() >= 0.94
+    assert (toxic >= 0.7).mean() >= 0.75 and (clean >= 0.7).mean() <= 0.005
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (None, 1, 1), (6, 0, None), (9, 1, 1), (12, 0, 0), (12, 0, 0)], LABELS)
     picked = {tuple(r) for r in toxicity.training_rows(labels).collect()}
