@@ -16,6 +16,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,22 +175,21 @@ class Trie:
     fill the gaps.
     """
 
-    def __init__(self, phrases: list[tuple[str, str]]):
-        """The first occurrence of a word gives it its number; numbers start with one, so no way leads on from an unknown word."""
-        self.words: dict[bytes, int] = {}
-        self.langs: dict[str, int] = {}
-        rows = []
-        for lang, phrase in phrases:
-            numbers = [self.words.setdefault(w, len(self.words) + 1) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")]
-            rows.append((self.langs.setdefault(lang, len(self.langs) + 1), numbers))
-        self.size = len(rows)
-        longest = max((len(n) for _, n in rows), default=0)
+    def __init__(self, langs: pa.Array, phrases: pa.Array):
+        """Words are numbered from one on, so no way leads on from an unknown word. Phrases stay in Arrow arrays, as there are many."""
+        split = pc.split_pattern(phrases, " ")
+        coded, coded_langs = split.flatten().dictionary_encode(), langs.dictionary_encode()
+        self.words = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(coded.dictionary.to_pylist(), 1)}
+        self.langs = {lang: i for i, lang in enumerate(coded_langs.dictionary.to_pylist(), 1)}
+        self.size = len(phrases)
+        lengths = np.diff(split.offsets.to_numpy()).astype(np.int64)
         self.digits = max(1, -(-max(len(self.words), len(self.langs)).bit_length() // SYMBOL_BITS))
-        table = np.zeros((len(rows), 1 + longest), dtype=np.int64)
-        for i, (lang, numbers) in enumerate(rows):
-            table[i, : len(numbers) + 1] = [lang, *numbers]
-        lengths = np.array([len(n) + 1 for _, n in rows], dtype=np.int64)
-        self._build(table, lengths)
+        table = np.zeros((self.size, 1 + int(lengths.max(initial=0))), dtype=np.int64)
+        table[:, 0] = coded_langs.indices.to_numpy() + 1
+        row = np.repeat(np.arange(self.size), lengths)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+        table[row, column] = coded.indices.to_numpy() + 1
+        self._build(table, lengths + 1)
 
     def symbols(self, numbers: np.ndarray) -> list[np.ndarray]:
         """The symbols of numbers, from the highest digit to the lowest."""
@@ -349,9 +350,9 @@ class Collocations:
         result = self.spark.createDataFrame([], "number long, n long")
         for part in range(parts):
             # Parts by hash have about trie_phrases phrases each.
-            own = listed.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == part).select("number", "lang", "phrase").collect()
-            numbers = np.array([r.number for r in own], dtype=np.int64)
-            trie = self.spark.sparkContext.broadcast((Trie([(r.lang, r.phrase) for r in own]), numbers))
+            own = listed.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == part).select("number", "lang", "phrase").toArrow().combine_chunks()
+            built = Trie(own["lang"].combine_chunks(), own["phrase"].combine_chunks())
+            trie = self.spark.sparkContext.broadcast((built, own["number"].to_numpy()))
             counted = self.rows.mapInArrow(lambda b, t=trie: counts(b, *t.value, most_words), "number long, n long")
             result = result.unionAll(self.tables.write(counted.groupBy("number").agg(F.sum("n").alias("n")), f"counts-{part}"))
         return self.tables.write(result.where(F.col("n") >= self.least).join(listed, "number").select("lang", "phrase", "n"), "phrases")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_samples import COLUMNS
 
@@ -120,7 +121,7 @@ def test_trie_counts_all_positions_at_once():
     texts = [rng.choice(letters[:40]) if rng.random() < 0.7 else rng.choice(letters) for _ in range(20_000)]
     grams = Counter(" ".join(texts[i : i + k]) for k in (2, 3) for i in range(len(texts) - k + 1))
     phrases = sorted(grams)[::3]
-    trie = collocations.Trie([("en", p) for p in phrases] + [("de", "w1 w2")])
+    trie = collocations.Trie(pa.array(["en"] * len(phrases) + ["de"]), pa.array([*phrases, "w1 w2"]))
     got = trie.count("en", [w.encode() for w in texts], 3)
     assert got.tolist() == [grams[p] for p in phrases] + [0]
     assert not trie.count("fr", [b"w1", b"w2"], 3).any()
