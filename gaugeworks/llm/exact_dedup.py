@@ -73,9 +73,11 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: one row for each text."""
-    found = annotate(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_text_sha", sha)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
-    return rows.join(found, same, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    """The documents that stay, with all their columns: one row for each text. An empty table stays empty."""
+    found = annotate(docs).where("kept").select(F.col("doc_id").alias("stays_id"), F.col("text_sha256").alias("stays_sha")).distinct()
+    # The row travels as one struct, so that no column of the caller's can clash.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("stays_id")) & (F.col("sha") == F.col("stays_sha"))
+    return rows.join(found, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")

@@ -232,7 +232,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The documents, with all their columns, whose language could be told: neither `und` nor mostly of several languages."""
+    """The documents, with all their columns, whose language could be told: neither `und` nor mostly of several languages.
+
+    Where nothing was learned, as no document has a language, no document can be judged and all stay.
+    """
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     own = []
 

@@ -118,13 +118,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def calendar_day(date: str) -> bool:
+    """Whether a date has a month and a day, in either order where the year comes last, and a year of 1800 or later."""
+    numbers = [int(n) for n in re.split("[-./]", date)]
+    year, parts = (numbers[0], numbers[1:]) if "-" in date else (numbers[2], numbers[:2])
+    month, day = parts if "-" in date else sorted(parts)
+    return year >= 1800 and 1 <= month <= 12 and 1 <= day <= 31
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     spans = [("iban", *span) for span in ibans(text)]
     for m in NATIONAL_ID.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             spans.append(("national_id", *m.span()))
-    spans += [("birth_date", *m.span()) for m in BIRTH_DATE.finditer(text)]
+    spans += [("birth_date", *m.span()) for m in BIRTH_DATE.finditer(text) if calendar_day(m[0])]
     return spans
 
 

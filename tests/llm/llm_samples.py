@@ -6,7 +6,8 @@ import xxhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns whose names the operators use inside.
-CLASHES = ("row", "size", "key", "bits", "grp", "rest", "bucket", "place", "carried", "spans", "kept", "score", "taken")
+CLASHES = ("row", "size", "key", "bits", "grp", "rest", "bucket", "place", "carried", "spans", "kept", "score", "taken", "_text_sha", "_node", "id", "sha", "tag", "digest",
+           "stays_id", "unit")
 
 
 def sentence(rng, words=40):

@@ -170,6 +170,24 @@ def test_pipeline_against_brute_force(spark):
     assert seen[4].count() == seen[3].count() == corpus_pipeline.run(spark, SMALL).count()
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_of_odd_rows(spark, odd, odd_rows, tmp_path, labelled):
+    """Nulls, empty and very long texts, copies, repeated rows and clashing names; also where no document has a language."""
+    docs = odd if labelled else odd.withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {r[0] for r in odd_rows}
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert found and {r.doc_id for r in found} <= ids
+    if not labelled:
+        kept = corpus_pipeline.known_language(spark, read(spark, str(tmp_path)), str(tmp_path))
+        assert kept.count() == len(odd_rows) and kept.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_duplicate_stage_by_all_pairs(spark):
     """Five-word shingles, a Jaccard likeness of 0.8; some pairs of these are more than 4 bits apart."""
     docs = read(spark, SMALL)

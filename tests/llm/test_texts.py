@@ -43,6 +43,8 @@ def test_added_spans_need_a_checksum_and_context():
     assert kinds("IBAN DE88 3704 0044 0532 0130 00 please") == []
     assert kinds("ssn 123-45-6789") == ["national_id"] and kinds("part 123-45-6789") == []
     assert kinds("born 1990-01-02") == ["birth_date"] and kinds("on 1990-01-02") == []
+    assert kinds("dob 31/12/1990") == kinds("dob 12.31.1990") == ["birth_date"]
+    assert kinds("dob 99.99.0000") == kinds("dob 13.13.1990") == kinds("dob 1990-31-12") == []
     assert pii.find_in_text("call +1 234 567 8901")[0]["score"] > pii.find_in_text("x +1 234 567 8901")[0]["score"]
 
 
@@ -196,6 +198,7 @@ def test_language_of_odd_rows(spark, odd, odd_rows, none):
     empty = language.train(none)
     assert {r.lang_pred for r in language.identify(odd, empty).collect()} == {"und"}
     assert language.identify(none, model).count() == language.keep(none, model).count() == 0
+    assert language.keep(odd, empty).count() == len(odd_rows)
 
 
 LABELS = "doc_id long, quality int, toxic int"
