@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
 `documents`. Between stages the rows are written as Parquet below spark.checkpoint.dir and read again.
+An empty table passes all stages and stays empty.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: without letters, or with a score below 0.4 (several languages)."""
+    """Drops documents whose language cannot be told: without letters, null ones included, or with a score below 0.4 (several
+    languages, none of which has most of the text). Where no document has a language to learn from, all stay."""
     return language.keep(docs, language.train(docs)).select(*COLUMNS)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
+    """Of equal texts, the document with the largest id stays. Null texts count as empty; a null id is the smallest; of rows that
+    repeat id and text one stays."""
     return exact_dedup.keep(docs).select(*COLUMNS)
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the document with the smallest id stays."""
+    """Of near duplicates, the document with the smallest id stays, however long the texts. Texts without words, null ones
+    included, are near duplicates of each other; of rows that repeat id and text one stays."""
     return simhash.keep(docs).select(*COLUMNS)
 
 
@@ -39,7 +43,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed as little-endian 32-bit numbers), ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids (packed as little-endian 32-bit numbers), ids_sha256, decoded_sha256: one row per row, null texts as
+    empty ones."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
