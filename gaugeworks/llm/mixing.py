@@ -177,7 +177,8 @@ class Mixture:
         self.slots = slots(self.per_source, shard_slots, seed)
 
     def used_parts(self) -> DataFrame:
-        """One row per document and block it has words in (a null block if it has none): row, block, first_word, words, uses."""
+        """One row per document and block it has words in (a null block if it has none): row, block, first_word, words, uses, and
+        the output shards whose draw has the block (null if none)."""
         length = self.block_words
         spots = placed(self.rows.select("row", "doc_id", "key", "size"), self.per_source)
         parts = spots.select(
@@ -186,16 +187,22 @@ class Mixture:
                 f"CASE WHEN size > 0 THEN sequence(first_word div {length}, (first_word + size - 1) div {length}) END")).alias("block"),
         ).withColumn("words", F.expr(
             f"coalesce(least(first_word + size, (block + 1) * {length}) - greatest(first_word, block * {length}), 0)"))
-        uses = self.slots.groupBy("key", "block").agg(F.count(F.lit(1)).alias("uses"))
+        # A block is used a few times at most, as a target stops at a multiple of its source.
+        uses = self.slots.groupBy("key", "block").agg(F.count(F.lit(1)).alias("uses"), F.collect_set("shard").alias("shards"))
         return parts.join(uses, ["key", "block"], "left").select(
-            "row", "block", "first_word", "words", F.coalesce("uses", F.lit(0)).alias("uses"))
+            "row", "block", "first_word", "words", F.coalesce("uses", F.lit(0)).alias("uses"), "shards")
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken: one row per document."""
-        words = self.used_parts().groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+        """doc_id, source, size, source_size, target, taken, shards: one row per document.
+
+        `shards` lists the output shards that have words of it, ascending; a document has no more of them than uses of its blocks.
+        """
+        numbers = F.array_sort(F.array_distinct(F.flatten(F.collect_list("shards"))))
+        words = self.used_parts().groupBy("row").agg(
+            F.sum(F.col("words") * F.col("uses")).alias("taken"), F.array_join(numbers.cast("array<string>"), ",").alias("shards"))
         rows = self.rows.select("row", "doc_id", "source", "key", "size")
         return rows.join(words, "row").join(self.per_source.select("key", "source_size", "target"), "key").select(
-            "doc_id", "source", "size", "source_size", "target", "taken")
+            "doc_id", "source", "size", "source_size", "target", "taken", "shards")
 
     def texts(self) -> DataFrame:
         """The mixed texts, with the carried columns: a row for each document and each time it is used.

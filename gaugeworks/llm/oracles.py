@@ -41,6 +41,8 @@ def _mixing() -> str:
             f"SELECT key, source_no, n_blocks, slot, CASE WHEN ({bit} // 1024) % 2 = 1 THEN pair ELSE x END AS x "
             f"FROM (SELECT *, ({key} + n_blocks - x) % n_blocks AS pair FROM ({walk}))"
         )
+    thrown = duck(mixing.mix(f"({mixing.mix(f'slot % {prime} + (slot div {prime}) * 7919')} + source_no * 65537 + 1)"))
+    shard = f"({thrown}) % ((all_slots + {mixing.SHARD_SLOTS - 1}) // {mixing.SHARD_SLOTS})"
     weight = "CASE " + " ".join(f"WHEN source_no % {len(weights)} = {i} THEN {w}" for i, w in enumerate(weights)) + " END"
     bucket = mixing.mix(f"((coalesce(doc_id, 0) % {prime} + {prime}) % {prime})")
     return f"""
@@ -73,7 +75,8 @@ WITH sizes AS (
 ), every AS (
     SELECT key, cast(source_no AS BIGINT) AS source_no, n_blocks, unnest(range(n_slots)) AS slot FROM sources WHERE n_slots > 0
 ), uses AS (
-    SELECT key, x AS block, count(*) AS uses FROM ({walk}) GROUP BY key, x
+    SELECT key, x AS block, count(*) AS uses, list(DISTINCT cast({shard} AS BIGINT)) AS shards
+    FROM ({walk}), (SELECT cast(sum(n_slots) AS BIGINT) AS all_slots FROM sources) GROUP BY key, x
 ), placed AS (
     SELECT s.*, source_size, target, row_number() OVER () AS row,
            sum(size) OVER (PARTITION BY key ORDER BY ({bucket}) % n_buckets, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS first_word
@@ -82,10 +85,12 @@ WITH sizes AS (
     SELECT *, unnest(range(cast(first_word // {length} AS BIGINT), cast((first_word + size - 1) // {length} + 1 AS BIGINT))) AS block FROM placed
     WHERE size > 0
 ), taken AS (
-    SELECT row, sum((least(first_word + size, (block + 1) * {length}) - greatest(first_word, block * {length})) * uses) AS taken
+    SELECT row, sum((least(first_word + size, (block + 1) * {length}) - greatest(first_word, block * {length})) * uses) AS taken,
+           array_to_string(list_sort(list_distinct(flatten(list(shards)))), ',') AS shards
     FROM parts JOIN uses USING (key, block) GROUP BY row
 )
-SELECT doc_id, source, size, cast(source_size AS BIGINT) AS source_size, target, cast(coalesce(taken, 0) AS BIGINT) AS taken
+SELECT doc_id, source, size, cast(source_size AS BIGINT) AS source_size, target, cast(coalesce(taken, 0) AS BIGINT) AS taken,
+       coalesce(shards, '') AS shards
 FROM placed LEFT JOIN taken USING (row)
 """
 

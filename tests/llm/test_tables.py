@@ -170,6 +170,24 @@ def test_pipeline_against_brute_force(spark):
     assert seen[4].count() == seen[3].count() == corpus_pipeline.run(spark, SMALL).count()
 
 
+def test_documents_name_the_shards_of_their_words(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, sentence(rng, 40), None, f"s{i % 3}", 0) for i in range(300)], COLUMNS)
+    mixture = mixing.Mixture(docs, block_words=16, shard_slots=64)
+    counts = mixing.shard_counts(mixture.slots).collect()
+    total, shards = sum(r.slots for r in counts), {r.shard for r in counts}
+    assert len(shards) == -(-total // 64) > 10
+    # Each source's counts are a multinomial draw over equally likely shards: chi square within six deviations.
+    for key in {r.key for r in counts}:
+        own = [sum(r.slots for r in counts if r.key == key and r.shard == s) for s in shards]
+        mean = sum(own) / len(shards)
+        chi = sum((n - mean) ** 2 / mean for n in own)
+        assert abs(chi - len(shards) + 1) <= 6 * (2 * (len(shards) - 1)) ** 0.5
+    found = mixture.taken().collect()
+    assert {int(s) for r in found for s in r.shards.split(",") if s} == shards
+    assert all((r.taken > 0) == bool(r.shards) for r in found)
+
+
 @pytest.mark.parametrize("labelled", [True, False])
 def test_pipeline_of_odd_rows(spark, odd, odd_rows, tmp_path, labelled):
     """Nulls, empty and very long texts, copies, repeated rows and clashing names; also where no document has a language."""
