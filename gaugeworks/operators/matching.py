@@ -24,13 +24,16 @@ def non_blank(frame: DataFrame, text: str = "text", max_chars: int | None = None
     return kept if max_chars is None else kept.withColumn(text, truncate(F.col(text), max_chars))
 
 
-def keyword_counts(frame: DataFrame, key: str, text: str = "text", long_chars: int = LONG_TEXT_CHARS) -> DataFrame:
+def keyword_counts(frame: DataFrame, key: str, text: str = "text", long_chars: int | None = None) -> DataFrame:
     """(key, keyword, n, first_pos): every distinct keyword of every text.
 
-    Texts of up to `long_chars` are counted within their row, without a shuffle. Longer ones are cut into pieces of about that
-    size, which go to tasks of their own; each piece's counts and first positions are then merged by keyword.
+    Texts are counted within their row, without a shuffle. With `long_chars` (such as LONG_TEXT_CHARS), longer ones are cut into
+    pieces of about that size, which go to tasks of their own; each piece's counts and first positions are then merged by
+    keyword. That reads the texts a second time.
     """
     rows = frame.select(key, F.col(text).alias("text"))
+    if long_chars is None:
+        return _counted_rows(rows, [key])
     short = rows.where(F.coalesce(F.length("text") <= long_chars, F.lit(True)))
     return _counted_rows(short, [key]).select(key, "keyword", "n", "first_pos").unionAll(
         _long_keyword_counts(rows.where(F.length("text") > long_chars), key, long_chars))

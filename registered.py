@@ -336,7 +336,7 @@ def truncated_documents(v, spark, folder):
 
 @query
 def keyword_counts(v, spark, folder):
-    return matching.keyword_counts(v.resumes, "resume_id")
+    return matching.keyword_counts(v.resumes, "resume_id", long_chars=matching.LONG_TEXT_CHARS)
 
 
 @query

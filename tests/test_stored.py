@@ -130,7 +130,7 @@ def test_one_text_of_50_mb(spark):
     unit = "spark engines need memory and spark jobs need tasks; "
     times = 50_000_000 // len(unit)
     frame = spark.range(1).select("id", F.concat(F.repeat(F.lit(unit), F.col("id").cast("int") + times), F.lit("finally")).alias("text"))
-    counted = matching.keyword_counts(frame, "id")
+    counted = matching.keyword_counts(frame, "id", long_chars=matching.LONG_TEXT_CHARS)
     got = {r.keyword: (r.n, r.first_pos) for r in counted.collect()}
     assert got["spark"] == (2 * times, 0) and got["memory"] == (times, 3) and got["finally"][0] == 1
     per_unit = sum(n for n, _ in got.values()) - 1
