@@ -94,6 +94,11 @@ def match_pairs(
     joined = attach(narrow, wanted, "jd_id", ["resume_id"], hot_keys(pairs, "jd_id", rows_per_part), "inner")
     joined = attach(joined, offered, "resume_id", ["jd_id"], hot_keys(pairs, "resume_id", rows_per_part), "inner")
     more = [*(["reply"] if replies is not None else []), *(["resume", "jd"] * with_texts)]
+    return _compared(joined, *more)
+
+
+def _compared(joined: DataFrame, *more: str) -> DataFrame:
+    ids = ["resume_id", "jd_id"]
     compared = joined.select(*ids, "wanted", F.array_intersect("wanted", "offered").alias("matched"), *more)
     share = F.size("matched").cast("double") / F.greatest(F.size("wanted"), F.lit(1))
     return compared.select(
@@ -106,6 +111,34 @@ def match_pairs(
     )
 
 
+def job_keywords(jds: DataFrame, n: int = C.TOP_KEYWORDS) -> DataFrame:
+    """(jd_id, wanted): a job's n keywords in rank order, for a table that is kept (`sources.keyword_store`)."""
+    counted = with_keyword_counts(jds.select("jd_id", "text"), "text")
+    return counted.select("jd_id", F.slice(F.transform(ranked("keywords"), lambda k: k["keyword"]), 1, n).alias("wanted"))
+
+
+def resume_keywords(resumes: DataFrame) -> DataFrame:
+    """(resume_id, offered): the distinct keywords of a resume, for a table that is kept."""
+    return resumes.select("resume_id", F.array_distinct(keyword_tokens(F.col("text"))).alias("offered"))
+
+
+def match_stored(pairs: DataFrame, wanted: DataFrame, offered: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """As `match_pairs`, with keyword tables stored by id: pairs are sent to them, and they stay where they are.
+
+    Ids with more than `rows_per_part` pairs are taken apart: of the tables, only their rows are sent, to salted parts.
+    """
+    met = _at_home(pairs.select("resume_id", "jd_id").distinct(), wanted, "jd_id", "resume_id", rows_per_part)
+    return _compared(_at_home(met, offered, "resume_id", "jd_id", rows_per_part))
+
+
+def _at_home(pairs: DataFrame, stored: DataFrame, key: str, other: str, rows_per_part: int) -> DataFrame:
+    hot = hot_keys(pairs, key, rows_per_part)
+    hot_rows = stored.join(hot.select(key), key, "left_semi")
+    usual = pairs.join(hot.select(key), key, "left_anti").join(stored, key)
+    heavy = attach(pairs.join(hot.select(key), key, "left_semi"), hot_rows, key, [other], hot, "inner")
+    return usual.unionByName(heavy)
+
+
 def keyword_coverage(matches: DataFrame) -> DataFrame:
     """(resume_id, jd_id, category, count): matched and missing keywords of each pair."""
     both = F.array(

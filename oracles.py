@@ -718,5 +718,10 @@ _SQL = {
 }
 
 
+# The same rows by another road.
+_SQL["stored_match"] = _SQL["resume_match"]
+_SQL["stream_duplicate_rows"] = _SQL["duplicate_rows"]
+
+
 def all_sql() -> dict[str, str]:
     return {name: statement(select, *uses) for name, (select, *uses) in _SQL.items()}

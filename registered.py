@@ -5,6 +5,8 @@ Lists are joined to text and structs flattened, so that results compare as plain
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ from gaugeworks.operators import (
 from gaugeworks.operators.measures import rollup
 from gaugeworks.plans import reports
 from gaugeworks.session import scratch_path
-from gaugeworks.sources import scored_table, sinks, tables
+from gaugeworks.sources import keyword_store, scored_table, sinks, tables
 from gaugeworks.sources.driver_views import AS_OF, SCHEMAS, DriverViews
 from gaugeworks.sources.reply_log import ReplyLog
+from gaugeworks.streaming import duplicates
 from gaugeworks.streaming import tickets as ticket_stream
 
 QUERIES = {}
@@ -358,6 +361,18 @@ def resume_match(v, spark, folder):
     return _flat(_matches(v))
 
 
+@query
+def stored_match(v, spark, folder):
+    """The pairs in two rounds against keyword tables that are stored once."""
+    path = scratch_path(spark, "keywords")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    wanted = keyword_store.store(matching.job_keywords(matching.non_blank(v.jds)), f"{name}_jobs", f"{path}/jobs", "jd_id")
+    offered = keyword_store.store(matching.resume_keywords(matching.non_blank(v.resumes)), f"{name}_resumes", f"{path}/resumes", "resume_id")
+    first = v.applications.where("jd_id <= resume_id")
+    second = v.applications.where("jd_id > resume_id")
+    return _flat(matching.match_stored(first, wanted, offered).unionByName(matching.match_stored(second, wanted, offered)))
+
+
 @query
 def keyword_coverage(v, spark, folder):
     return matching.keyword_coverage(_matches(v))
@@ -472,9 +487,13 @@ def guarded_csv(v, spark, folder):
     return read.select("department", "issue_type", "agent", F.col("m_rows").cast("bigint").alias("tickets"))
 
 
-def _streamed(spark: SparkSession, folder: str) -> DataFrame:
+def _live(spark: SparkSession, folder: str) -> DriverViews:
     orders = spark.readStream.schema(SCHEMAS["orders"]).option("pathGlobFilter", "orders.parquet").parquet(folder)
-    return risk.add_risk(DriverViews(spark, folder, orders=orders).tickets, AS_OF)
+    return DriverViews(spark, folder, orders=orders)
+
+
+def _streamed(spark: SparkSession, folder: str) -> DataFrame:
+    return risk.add_risk(_live(spark, folder).tickets, AS_OF)
 
 
 @query
@@ -491,3 +510,15 @@ def stream_breach_windows(v, spark, folder):
     windows = ticket_stream.breach_windows(_streamed(spark, folder), delay="4000 days")
     ticket_stream.upsert_to(windows, path, path + "-checkpoint", compact_every=1).awaitTermination()
     return ticket_stream.latest_windows(spark, path)
+
+
+@query
+def stream_duplicate_rows(v, spark, folder):
+    """`duplicate_rows` of a stream of raw tickets; all ids are remembered."""
+    path = scratch_path(spark, "later-rows")
+    raw, years = _live(spark, folder).tickets_raw, timedelta(days=4000)
+    later = duplicates.later_rows(raw, F.col("created_at").try_cast("timestamp_ntz"), delay="4000 days", keep=years)
+    ticket_stream.append_to(later, path, path + "-checkpoint").awaitTermination()
+    written = spark.read.schema(later.schema).parquet(path)
+    counted = written.groupBy(*written.columns).agg(F.count(F.lit(1)).alias("later_occurrences"))
+    return counted.select("ticket_id", "customer_id", "created_at", "later_occurrences")

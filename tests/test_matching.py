@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gaugeworks import constants as C
 from gaugeworks.operators import matching
 from gaugeworks.operators.skew import attach, hot_keys
+from gaugeworks.sources import keyword_store
 
 TEXTS = {
     "resume": {1: "Python SQL and Excel. Power BI", 2: "nothing in common", 3: ""},
@@ -143,3 +144,50 @@ def test_texts_are_read_once(spark):
     # Once for the scored side, once for the view that invents the replies.
     assert scans(registered.QUERIES["merged_triage"](spark, folder), "o_orderkey") == 2
     assert "RoundRobin" not in registered.QUERIES["ticket_triage"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def above_scans(frame, table):
+    """What the rows of a stored table meet first on their way up: a join or an exchange, for each of its scans."""
+    met = []
+
+    def walk(node, path):
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), [node.nodeName(), *path])
+        if children.size() == 0 and table in node.toString() and "Scan" in node.nodeName():
+            met.append(next(n for n in path if "Join" in n or "Exchange" in n))
+
+    walk(frame._jdf.queryExecution().executedPlan(), [])
+    return met
+
+
+@pytest.mark.parametrize("rows_per_part", [1_000_000, 3])
+def test_stored_keywords_stay_where_they_are(spark, tmp_path, rows_per_part):
+    texts = ["spark sql python data", "java spring sql", "", None, "python pandas spark sql sql", "go rust"]
+    resumes = spark.createDataFrame(list(enumerate(texts * 5)), "resume_id long, text string")
+    jds = spark.createDataFrame([(0, "spark spark sql engineer"), (1, "rust and go"), (2, " ")], "jd_id long, text string")
+    pairs = spark.createDataFrame(
+        [(i, j) for i in range(30) for j in (0, 0, i % 4)] + [(4, j) for j in range(9)] + [(None, 0), (1, None)], "resume_id long, jd_id long")
+    resumes, jds = matching.non_blank(resumes), matching.non_blank(jds)
+    name = f"kept_{rows_per_part}"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = keyword_store.store(matching.job_keywords(jds), f"{name}_jobs", f"{tmp_path}/jobs", "jd_id")
+        offered = keyword_store.store(matching.resume_keywords(resumes), f"{name}_resumes", f"{tmp_path}/resumes", "resume_id")
+        got = matching.match_stored(pairs, wanted, offered, rows_per_part)
+        for side in ("jobs", "resumes"):
+            met = above_scans(got, f"{name}_{side}")
+            assert met and set(met) == {"SortMergeJoin"}, (side, met)
+        want = sorted(map(str, matching.match_pairs(pairs, resumes, jds).collect()))
+        assert sorted(map(str, got.collect())) == want and len(want) > 20
+        # A session that does not know the table declares it again.
+        spark.sql(f"DROP TABLE {name}_resumes")
+        again = keyword_store.open_table(spark, f"{name}_again", f"{tmp_path}/resumes", "resume_id", "resume_id BIGINT, offered ARRAY<STRING>", 4)
+        later = matching.match_stored(pairs, wanted, again, rows_per_part)
+        assert set(above_scans(later, f"{name}_again")) == {"SortMergeJoin"} and sorted(map(str, later.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        for table in (f"{name}_jobs", f"{name}_resumes", f"{name}_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")

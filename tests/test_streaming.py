@@ -1,7 +1,11 @@
-from datetime import datetime
+from collections import Counter
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
 
 from gaugeworks import schemas
-from gaugeworks.operators import risk, triage
+from gaugeworks.operators import quality, risk, triage
+from gaugeworks.streaming import duplicates
 from gaugeworks.streaming import tickets as stream
 
 SAMPLE = [
@@ -65,8 +69,6 @@ def test_windows_do_not_depend_on_the_session_zone(spark, tickets):
 
 def test_windows_over_split_orders_keep_every_ticket(spark, tmp_path):
     """Orders in several files, one a trigger and in no order of time: nothing is lost with a delay that covers them."""
-    from pyspark.sql import functions as F
-
     from gaugeworks.sources.driver_views import AS_OF, SCHEMAS, DriverViews
 
     small = "/root/testdata/sf0.001"
@@ -77,3 +79,36 @@ def test_windows_over_split_orders_keep_every_ticket(spark, tmp_path):
     out = str(tmp_path / "out")
     stream.upsert_to(windows, out, str(tmp_path / "checkpoint")).awaitTermination()
     assert stream.latest_windows(spark, out).agg(F.sum("total_tickets")).first()[0] == orders.count()
+
+
+IDS = "ticket_id string, created_at timestamp_ntz, note string, n int"
+
+
+def later_of(spark, folder, files, keep=timedelta(days=4000), delay="4000 days"):
+    """The later rows of some files, one a trigger, in their order; the stream is stopped and started again between them."""
+    for rows in files:
+        spark.createDataFrame(rows, IDS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        live = spark.readStream.schema(IDS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        found = duplicates.later_rows(live, F.col("created_at"), delay, keep)
+        stream.append_to(found, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(IDS).parquet(f"{folder}/out")
+
+
+def test_later_rows_equal_the_batch(spark, tmp_path):
+    day = lambda n: datetime(2025, 1, n)
+    files = [
+        [("a", day(5), "x", 1), ("a", day(5), "x", 1), ("b", day(2), None, None), (None, day(1), 'say "so"\n', 3), ("c", None, "", 0)],
+        [("a", day(1), "é", 2), ("b", day(2), "y", 7), (None, day(1), "say", 3), ("hot", day(3), "0", 0)],
+        [("hot", day(3), str(i % 7), i) for i in range(300)] + [("c", None, None, None), ("a", day(5), "x", 1)],
+    ]
+    got = Counter(map(tuple, later_of(spark, tmp_path, files).collect()))
+    frame = spark.read.schema(IDS).parquet(f"{tmp_path}/in")
+    want = Counter({tuple(r)[:-1]: r.later_occurrences for r in quality.duplicate_rows(frame).collect()})
+    assert got == want and sum(got.values()) == quality.duplicate_count(frame).first()[0]
+
+
+def test_ids_are_forgotten_after_a_while(spark, tmp_path):
+    day = lambda n: datetime(2025, 1, n)
+    files = [[("a", day(1), "1", 1)], [("a", day(2), "2", 2)], [("z", day(25), "", 0)], [("z", day(26), "", 0)], [("a", day(27), "3", 3)], [("a", day(27), "4", 4)]]
+    got = later_of(spark, tmp_path, files, keep=timedelta(days=3), delay="1 day")
+    assert sorted(r.note for r in got.collect()) == ["", "2", "4"]
