@@ -27,6 +27,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two tokenizer versions; the second one's counts revised; toxic documents taken back; one batch sent twice.
+    The totals come from a snapshot of the first two batches and the deltas after it.
 
     The second version first counts each digit by itself; the revision counts runs of digits. A document is taken back with all
     rows of its doc_id.
@@ -40,6 +41,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = token_rollup.Rollup(spark, SharedTables(spark, "token-counts").path("rollup"))
     rollup.commit("load", token_rollup.inserts(first))
     rollup.commit("second-version", token_rollup.inserts(second))
+    rollup.compact()
+    rollup.drop_covered()
     rollup.commit("second-revised", token_rollup.revisions(second, revised))
     rollup.commit("toxic", token_rollup.deletes(taken_back))
     rollup.commit("load", token_rollup.inserts(first))

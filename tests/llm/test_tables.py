@@ -129,6 +129,35 @@ def test_rollup_commits_once_and_adds_up(spark, odd, none):
         rollup.commit("../x", token_rollup.inserts(counts))
 
 
+def test_rollup_reads_a_snapshot_and_later_batches(spark, odd):
+    rollup = token_rollup.Rollup(spark, SharedTables(spark, "test-rollup").path("r"))
+    assert not rollup.compact() and rollup.totals().count() == 0
+    one, two = (token_rollup.counted(odd, "v1", F.lit(n)) for n in (1, 2))
+    rollup.commit("a", token_rollup.inserts(one))
+    rollup.commit("b", token_rollup.revisions(one, two))
+    want = plain(rollup.totals())
+    # A compaction that ends before its manifest changes nothing.
+    broken = rollup.write_snapshot()
+    again = token_rollup.Rollup(spark, rollup.path)
+    assert again.manifest() == (0, None, []) and plain(again.totals()) == want
+    assert again.compact() and not again.compact() and plain(again.totals()) == want
+    # One that comes too late leaves the manifest that was first.
+    named = again.manifest()
+    assert not again.publish(*broken) and again.manifest() == named
+    again.drop_covered()
+    assert {f.split("/")[-2] for f in again.totals().inputFiles()} == {named[1].rsplit("/", 1)[1]} and plain(again.totals()) == want
+    # What was compacted is not counted again.
+    assert not again.commit("a", token_rollup.inserts(one)) and again.batches() == ["a", "b"]
+    again.commit("c", token_rollup.inserts(one))
+    read = {f.split("/")[-2] for f in again.totals().inputFiles()}
+    assert read == {named[1].rsplit("/", 1)[1], "batch=c"}
+    again.commit("d", token_rollup.deletes(two))
+    assert again.compact() and again.manifest()[0] == 2
+    again.drop_covered()
+    assert plain(again.totals()) == plain(one.groupBy("source", "lang", "tokenizer").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens")))
+
+
+
 def test_rollup_redoes_a_batch_that_broke_off(spark, odd):
     rollup = token_rollup.Rollup(spark, SharedTables(spark, "test-rollup").path("r"))
     counts = token_rollup.inserts(token_rollup.counted(odd, "v1", F.length("text")))
