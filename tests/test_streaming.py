@@ -112,3 +112,26 @@ def test_ids_are_forgotten_after_a_while(spark, tmp_path):
     files = [[("a", day(1), "1", 1)], [("a", day(2), "2", 2)], [("z", day(25), "", 0)], [("z", day(26), "", 0)], [("a", day(27), "3", 3)], [("a", day(27), "4", 4)]]
     got = later_of(spark, tmp_path, files, keep=timedelta(days=3), delay="1 day")
     assert sorted(r.note for r in got.collect()) == ["", "2", "4"]
+
+
+def test_state_of_later_rows_is_held_in_buckets(spark, tmp_path):
+    """Groups and state rows number as the buckets, not as the ids: a call of Python for each id took most of the time."""
+    day = lambda n: datetime(2025, 1, n)
+    for rows in ([(str(i), day(9), "x", i) for i in range(300)], [(str(i), day(9), "x", i - i % 2) for i in range(200, 500)]):
+        spark.createDataFrame(rows, IDS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(IDS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = duplicates.later_rows(live, F.col("created_at"), "4000 days", timedelta(days=4000), buckets=8)
+    query = stream.append_to(found, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert 0 < max(held) <= 8
+    got = Counter(map(tuple, spark.read.schema(IDS).parquet(f"{tmp_path}/out").collect()))
+    want = Counter({tuple(r)[:-1]: r.later_occurrences for r in quality.duplicate_rows(spark.read.schema(IDS).parquet(f"{tmp_path}/in")).collect()})
+    assert got == want and sum(got.values()) == 100
+
+
+def test_an_older_row_within_the_delay_keeps_the_newest_time(spark, tmp_path):
+    day = lambda n: datetime(2025, 1, n)
+    files = [[("a", day(10), "1", 1)], [("a", day(8), "0", 0)], [("z", day(16), "", 0)], [("a", day(14), "2", 2)]]
+    got = later_of(spark, tmp_path, files, keep=timedelta(days=4), delay="3 days")
+    assert sorted(r.note for r in got.collect()) == ["1", "2"]
