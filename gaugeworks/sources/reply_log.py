@@ -35,7 +35,7 @@ class ReplyLog:
         """Write (prompt_hash, reply) as one part; returns the number of its rows. Without rows nothing is committed."""
         name = uuid.uuid4().hex
         pending = f"{self.path}/pending/{name}"
-        replies.write.parquet(pending)
+        replies.write.option("compression", "zstd").parquet(pending)
         rows = self.spark.read.schema(COLUMNS).parquet(pending).count()
         if not rows:
             self._fs.delete(self._jvm_path(pending), True)
@@ -49,18 +49,29 @@ class ReplyLog:
         """Ask for the prompts (column `prompt`) that have no reply yet, equal ones once; returns how many were asked.
 
         Null prompts are not asked. A reply of None is kept as a reply. The prompts are written first, so that they are made
-        once, however many parts there are.
+        once, however many parts there are. Hashes and places alone tell which of them are open; the prompts themselves are
+        shuffled only where some of them are to be left out, and then once.
         """
-        made = f"{self.path}/pending/prompts-{uuid.uuid4().hex}"
-        prompts.select("prompt").write.parquet(made)
-        written = self.spark.read.schema("prompt string").parquet(made).where(F.col("prompt").isNotNull())
-        hashed = written.select(F.sha2("prompt", 256).alias("prompt_hash"), "prompt")
-        open_prompts = hashed.join(self.replies(), "prompt_hash", "left_anti").dropDuplicates(["prompt_hash"])
-        asked = 0
-        for part in range(parts):
-            own = open_prompts.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(parts)) == part)
-            asked += self.commit(complete(own, "prompt_hash", answer))
-        self._fs.delete(self._jvm_path(made), True)
+        made, places = (f"{self.path}/pending/{name}-{uuid.uuid4().hex}" for name in ("prompts", "places"))
+        digest = F.unhex(F.sha2("prompt", 256)).alias("digest")
+        numbered = prompts.select("prompt").select(digest, "prompt", F.monotonically_increasing_id().alias("place"))
+        numbered.write.option("compression", "zstd").parquet(made)
+        # Nulls go on the way back: a filter here would be pushed below the prompts and make each of them a second time.
+        written = self.spark.read.schema("digest binary, prompt string, place long").parquet(made).where(F.col("digest").isNotNull())
+        known = self.replies().select(F.unhex("prompt_hash").alias("digest"))
+        firsts = written.groupBy("digest").agg(F.min("place").alias("place")).join(known, "digest", "left_anti")
+        part_of = F.pmod(F.xxhash64(F.lower(F.hex("digest"))), F.lit(parts))
+        firsts.select("place", part_of.alias("part")).write.option("compression", "zstd").parquet(places)
+        open_places = self.spark.read.schema("place long, part long").parquet(places)
+        left, asked = open_places.count(), 0
+        every = left == written.count()
+        for part in range(parts if left else 0):
+            own = written.where(part_of == part)
+            if not every:
+                own = own.join(open_places.where(F.col("part") == part), "place", "left_semi")
+            asked += self.commit(complete(own.select(F.lower(F.hex("digest")).alias("prompt_hash"), "prompt"), "prompt_hash", answer))
+        for path in (made, places):
+            self._fs.delete(self._jvm_path(path), True)
         return asked
 
     def answered(self, prompts: DataFrame, *keys: str) -> DataFrame:

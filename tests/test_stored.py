@@ -6,7 +6,8 @@ from small_tables import SMALL
 
 from gaugeworks.functions.keywords import keyword_tokens, text_pieces
 from gaugeworks.operators import briefing, matching, risk
-from gaugeworks.sources import scored_table
+from gaugeworks.operators.replies import complete
+from gaugeworks.sources import reply_log, scored_table
 from gaugeworks.sources.driver_views import AS_OF, DriverViews
 from gaugeworks.sources.reply_log import ReplyLog
 from gaugeworks.streaming.tickets import WindowLog
@@ -85,6 +86,22 @@ def test_reply_log_asks_each_prompt_once(spark, tmp_path):
     assert got == {1: "X", 2: "Y", 3: "X", 4: None, 5: "Z"}
 
 
+def test_reply_log_shuffles_no_prompts_that_are_all_open(spark, tmp_path, monkeypatch):
+    """Which prompts are open is told by hashes and places; a log that has no reply yet gets its prompts as they were written."""
+    prompts = spark.createDataFrame([(1, "x"), (2, "y"), (4, None), (5, "z")], "id long, prompt string")
+    plans = []
+
+    def seen(frame, *more):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return complete(frame, *more)
+
+    monkeypatch.setattr(reply_log, "complete", seen)
+    log = ReplyLog(spark, str(tmp_path / "log"))
+    assert log.ask(prompts, lambda batch: batch, parts=2) == 3
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
+    assert log.ask(prompts, lambda batch: batch) == 0 and len(plans) == 2
+
+
 def test_scored_table_reads_only_the_files_it_needs(spark, tickets, tmp_path):
     from datetime import datetime
 
