@@ -52,8 +52,9 @@ class SharedTables:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, frame: DataFrame, table: str) -> DataFrame:
-        frame.write.mode("overwrite").parquet(self.path(table))
+    def write(self, frame: DataFrame, table: str, *by: str) -> DataFrame:
+        """With columns `by`, each of their values is a folder that may be dropped by itself."""
+        frame.write.mode("overwrite").partitionBy(*by).parquet(self.path(table))
         return self.spark.read.schema(frame.schema).parquet(self.path(table))
 
     def drop(self, table: str = "") -> None:

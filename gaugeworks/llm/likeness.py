@@ -6,8 +6,9 @@ the test. What follows is the same for all of them.
 1. Mark. Texts with equal sets are one class, known by a digest; only one text of a class goes on.
 2. Meet. Each batch of documents sends one packed entry per key to the key's bucket, and learns which keys others have as well.
    Keys that one text alone has go no further.
-3. Compare. Sketches of texts that share a key meet in units of at most about `UNIT` sketches; a more frequent key is cut into
-   parts, and each pair of parts is a unit. A unit returns the edges of a forest of the close ones, not their pairs.
+3. Compare. Of keys that the same texts have, one goes on. Sketches of texts that share a key meet in units of at most about
+   `UNIT` sketches; a more frequent key is cut into parts, and each pair of parts is a unit. A unit returns the edges of a forest
+   of the close ones, not their pairs.
 4. Verify. The exact likeness of each edge is taken from the two texts, the leaves of a hub in parts of `HUB_LEAVES`.
 5. Settle. Where an edge of a group of close texts fails, other pairs of this group may still link its pieces: each text
    outside the group's largest piece is held against all other texts of the group, in units of bounded size.
@@ -236,8 +237,10 @@ class Likeness:
         tagged = self.rows.withColumn("tag", F.xxhash64("text"))
         # A scan's partitions have a bounded size, so buckets keep theirs where their number follows that of the partitions.
         self.buckets = max(16, 4 * docs.rdd.getNumPartitions())
-        self.marked = self.tables.write(tagged.mapInArrow(lambda b, n=self.buckets: marks(b, method, n), MARK), "marked")
-        self.documents = self.marked.where("digest IS NOT NULL").select("doc_id", "tag", "n", "digest", "sketch", "own")
+        marked = tagged.mapInArrow(lambda b, n=self.buckets: marks(b, method, n), MARK)
+        kind = F.expr("CASE WHEN digest IS NOT NULL THEN 'document' WHEN bucket IS NOT NULL THEN 'blob' ELSE 'told' END")
+        self.marked = self.tables.write(marked.withColumn("kind", kind), "marked", "kind")
+        self.documents = self.marked.where("kind = 'document'").select("doc_id", "tag", "n", "digest", "sketch", "own")
         grouped = self.documents.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"),
             F.first("sketch").alias("sketch"), F.first("own").alias("own"))
         self.classes = self.tables.write(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -248,14 +251,19 @@ class Likeness:
 
     def _close(self) -> DataFrame:
         """u, v: forests of close texts."""
-        blobs = self._dealt(self.marked.where("bucket IS NOT NULL").select("bucket", "blob"), "bucket").mapInArrow(met, "own long, key long")
-        told = self.tables.write(self.marked.where("key IS NOT NULL").select("own", "key").unionAll(blobs).distinct(), "told")
+        blobs = self._dealt(self.marked.where("kind = 'blob'").select("bucket", "blob"), "bucket").mapInArrow(met, "own long, key long")
+        told = self.tables.write(self.marked.where("kind = 'told'").select("own", "key").unionAll(blobs).distinct(), "told")
+        self.tables.drop("marked/kind=blob")  # as large as the input
         entries = told.select("own", F.expr("shiftright(key, 1)").alias("key"), F.expr("key & 1").alias("flag"))
-        hot = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > UNIT).select(
-            "key", F.expr(f"cast(ceil(2 * n / {UNIT}) AS int)").alias("parts"))
+        # Alike texts share most of their keys: of the keys with the same texts one is enough, known by 128 bits of their hashes.
+        members = entries.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("own", "flag")).alias("some"),
+            F.bit_xor(F.xxhash64("flag", "own", F.lit("more"))).alias("more"))
+        chosen = members.groupBy("n", "some", "more").agg(F.min("key").alias("key")).select(
+            "key", F.expr(f"CASE WHEN n > {UNIT} THEN cast(ceil(2 * n / {UNIT}) AS int) END").alias("parts"))
         part = F.expr("cast(pmod(xxhash64(own), parts) AS int)")
         units = (
-            entries.join(hot, "key", "left")
+            entries.join(chosen, "key")
             .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(part))
             .withColumn("other", F.explode(F.expr("CASE WHEN parts IS NULL THEN array(0) ELSE sequence(0, parts - 1) END")))
             .select("own", "flag", F.expr("shiftright(xxhash64(key, least(part, other), greatest(part, other)), 1)").alias("unit"))

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from llm_samples import COLUMNS, alike_roots, changed_copies, five_words, sentence, slow_components, slow_fingerprint
 
 from gaugeworks.llm import components, exact_dedup, likeness, simhash, sketch_join, suffix_dedup
+from gaugeworks.llm.arrays import unpacked
 from gaugeworks.llm.common import SharedTables
 
 LOW = -(1 << 63)
@@ -273,3 +274,25 @@ def test_window_minima_equal_those_of_the_collection(pairs, piece):
     finally:
         suffix_dedup.PIECE_WINDOWS = before
     assert [m.tolist() for m in found] == [m.tolist() for m in suffix_dedup.collection_minima(list(strings), ids)]
+
+
+def test_texts_that_share_many_keys_meet_once(spark, monkeypatch):
+    """Two near copies have most of their keys in common; their sketches are sent to one unit for each set of texts, not for each key."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-3]), "another text of its own"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept, units, drop = likeness.Likeness._dealt, [], likeness.SharedTables.drop
+
+    def dealt(self, frame, key, *more):
+        if "sketches" in frame.columns:
+            units.append(sum(int.from_bytes(b.blob[:4], "little") > 0 and len(unpacked(bytes(b.blob)[4 + int.from_bytes(b.blob[:4], "little"):], 3)[0])
+                             for b in frame.collect()))
+        return kept(self, frame, key, *more)
+
+    monkeypatch.setattr(likeness.Likeness, "_dealt", dealt)
+    gone = []
+    monkeypatch.setattr(likeness.SharedTables, "drop", lambda self, table="": (gone.append(table), drop(self, table)))
+    found = {r.doc_id: r.component_id for r in sketch_join.join(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 2}
+    # A set of texts may come with flags 0 and 1 of its band.
+    assert len(units) == 1 and 2 <= units[0] <= 4 and "marked/kind=blob" in gone
