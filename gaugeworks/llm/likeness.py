@@ -196,7 +196,8 @@ def verified(batches, least: tuple[int, int]):
 
 
 def settled(batches, least: tuple[int, int]):
-    """u, v: links between texts of different labels; rows (unit, asks, node, label, text) with asks = 1 are held against the rest."""
+    """u, v: of each unit, a forest of the labels that links connect; rows (unit, asks, node, label, text) with asks = 1 are held against
+    the rest. A label is a node of its own piece, so edges between labels are as good as the links between their texts."""
     known = WordHashes()
     for _, rows in by_key(batches):
         sides: tuple[dict, dict] = ({}, {})
@@ -205,20 +206,26 @@ def settled(batches, least: tuple[int, int]):
         rest, asking = sides
         if not rest or not asking:
             continue
-        names, label = np.array(list(rest)), np.array([l for l, _ in rest.values()])
-        size = np.array([len(s) for _, s in rest.values()])
+        label, size = np.array([l for l, _ in rest.values()]), np.array([len(s) for _, s in rest.values()])
         flat = np.concatenate([s for _, s in rest.values()])
         order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(names)), size)[order]
-        out = []
-        for node, (mine, own) in asking.items():
+        flat, owner = flat[order], np.repeat(np.arange(len(label)), size)[order]
+        root: dict[int, int] = {}
+
+        def top(one: int) -> int:
+            while (up := root.setdefault(one, one)) != one:
+                root[one] = one = root.setdefault(up, up)
+            return one
+
+        for mine, own in asking.values():
             a, b = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
             spots = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())
-            common = np.bincount(owner[spots], minlength=len(names))
+            common = np.bincount(owner[spots], minlength=len(label))
             link = enough(common, len(own), size, least) & (label != mine)
-            # One link to each label is as good as all.
-            _, first = np.unique(label[link], return_index=True)
-            out += [(max(node, n), min(node, n)) for n in names[link][first].tolist()]
+            for other in np.unique(label[link]).tolist():
+                one, two = sorted((top(mine), top(other)))
+                root[two] = one
+        out = [(u, v) for u in list(root) if (v := top(u)) != u]
         if out:
             yield record("u long, v long", *map(list, zip(*out)))
 

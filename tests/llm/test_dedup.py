@@ -296,3 +296,14 @@ def test_texts_that_share_many_keys_meet_once(spark, monkeypatch):
     assert found == {0: 0, 1: 0, 2: 2}
     # A set of texts may come with flags 0 and 1 of its band.
     assert len(units) == 1 and 2 <= units[0] <= 4 and "marked/kind=blob" in gone
+
+
+@pytest.mark.parametrize("size", [40, 160])
+def test_a_settled_group_gives_a_forest_not_its_pairs(size):
+    """All texts of a unit but the last are alike and of different pieces; half of them ask."""
+    base = sentence(random.Random(3), 300)
+    nodes = [(n, n, f"{base} end{n}") for n in range(1, size)] + [(size, size, "quite another text than those before")]
+    rows = [(7, int(asks), *node) for asks in (0, 1) for node in nodes if not asks or node[0] % 2]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("unit", "asks", "node", "label", "text"), r)) for r in rows])
+    edges = [tuple(e.values()) for b in likeness.settled([batch], (4, 5)) for e in b.to_pylist()]
+    assert sorted(edges) == [(n, 1) for n in range(2, size)]
