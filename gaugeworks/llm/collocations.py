@@ -3,13 +3,12 @@
 A phrase can be frequent only if its parts are. Candidates of k words are therefore taken from places where both phrases of
 k - 1 words are candidates. What is frequent there is first screened by hash: each task counts the hashes of its k-word
 places, hashes are summed in buckets, and those that reach the least count become a bitmap of fixed size. A bitmap only ever
-lets too much through. Then the phrases that pass all bitmaps are written out once per task, and their distinct union is the
-list of candidates.
+lets too much through.
 
-Counting: the candidates are cut into tries of at most `TRIE_PHRASES` phrases, each built as a double array and broadcast. A
-word is two symbols of ten bits (its number in the trie), so nodes stay narrow. A task starts a state at every position of its
-texts and advances all of them with one array operation per level; the states that accept are counted with bincount. Only the
-counts of a trie's phrases leave a task, and shards are summed by phrase.
+Counting takes one more pass, however many candidates there are. The phrases of a chunk of texts that pass all bitmaps are built
+into double-array tries of at most `TRIE_PHRASES`. A word is two symbols of ten bits (its number in the trie), so nodes stay
+narrow. A state starts at every position of the chunk and all advance with one array operation per level; the states that accept
+are counted with bincount. The chunks' counts are summed by phrase, and what stays below the least count goes.
 """
 
 import zlib
@@ -23,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.arrays import GOLDEN, WordHashes, by_key, mixed, packed, record, runs_of, unpacked
-from gaugeworks.llm.common import SharedTables
+from gaugeworks.llm.common import SLICE_ROWS, SharedTables
 
 LEAST = 10
 MOST_WORDS = 3
@@ -35,6 +34,8 @@ HELD_WORDS = 300_000
 CHUNK_WORDS = 1 << 20
 SYMBOL_BITS = 10
 RANK_SALTS = 64
+BATCH_ROWS = 1 << 16
+NARROW = 16
 
 BREAK = b"\xff"  # no byte of UTF-8
 # A-Z lower-cased, tabs as spaces, ends of pieces as BREAK; all other bytes stay.
@@ -51,8 +52,8 @@ def chunks(batches):
     """(language, words of many texts with BREAK after each text): CHUNK_WORDS or so are held at a time, in all languages."""
     held: dict[str, list[bytes]] = {}
     size = 0
-    for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+    for piece in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
+        for lang, text in zip(*(c.to_pylist() for c in piece.columns)):
             words = held.setdefault(lang, [])
             size -= len(words)
             words += spoken(text)
@@ -63,7 +64,8 @@ def chunks(batches):
                 words = held.pop(largest)
                 size -= len(words)
                 yield largest, words
-    yield from held.items()
+    while held:
+        yield held.popitem()
 
 
 def hashed_words(lang: str, words: list[bytes], known: WordHashes) -> np.ndarray:
@@ -154,25 +156,45 @@ def frequent_slots(batches, least: int, bucket_bits: int):
         yield record("bucket long, bits binary", [bucket], [np.packbits(flags, bitorder="little").tobytes()])
 
 
-def candidates(batches, bitmaps: list[np.ndarray]):
-    """lang, phrase: the phrases that pass all bitmaps, once per chunk at most."""
+def candidates(words: list[bytes], found: list[np.ndarray]) -> pa.Array:
+    """The distinct phrases of a chunk that pass all bitmaps: two words and more, from the hashes by place."""
+    coded = pa.array(words, type=pa.binary()).dictionary_encode()
+    codes, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    phrases = []
+    for size, hashes in enumerate(found, 2):
+        places = np.flatnonzero(hashes)
+        # Numbers of words tell phrases apart, not their hashes; runs of more words than fit into 64 bits are numbered anew.
+        run = codes[places]
+        for i in range(1, size):
+            run = run * len(vocabulary) + codes[places + i]
+            _, first, run = np.unique(run, return_index=True, return_inverse=True)
+        places = places[first]
+        phrases.append(pc.binary_join_element_wise(*(vocabulary.take(pa.array(codes[places + i])) for i in range(size)), b" ").cast(pa.string()))
+    return pa.concat_arrays(phrases)
+
+
+COUNTS = "lang string, phrase string, n long"
+
+
+def counts(batches, bitmaps: list[np.ndarray], trie_phrases: int, most_words: int):
+    """lang, phrase, n: the phrases of a chunk that pass all bitmaps, with all their occurrences in it."""
     known = WordHashes()
     for lang, words in chunks(batches):
-        phrases = []
-        for size, hashes in enumerate(screened(lang, words, bitmaps, known)[0], 2):
-            some = np.flatnonzero(hashes)
-            _, first = np.unique(hashes[some], return_index=True)
-            phrases += [b" ".join(words[i : i + size]).decode("utf-8", "surrogatepass") for i in some[first].tolist()]
-        if phrases:
-            yield record("lang string, phrase string", [lang] * len(phrases), phrases)
+        phrases = candidates(words, screened(lang, words, bitmaps, known)[0])
+        for at in range(0, len(phrases), trie_phrases):
+            own = phrases.slice(at, trie_phrases)
+            total = Trie(pa.repeat(lang, len(own)), own).count(lang, words, most_words)
+            for row in range(0, len(own), BATCH_ROWS):
+                part = own.slice(row, BATCH_ROWS)
+                yield record(COUNTS, pa.repeat(lang, len(part)), part, total[row : row + BATCH_ROWS])
 
 
 class Trie:
     """A double array over the languages and words of some phrases.
 
     A state is a place in the arrays: from state s, symbol c leads to t = base[s] + c if check[t] is s. State 0 has no way out.
-    Each node's children need free places at a common distance; the widest nodes choose first, and those with a single child
-    fill the gaps.
+    Each node's children need free places at a common distance; the widest nodes choose first, one by one, narrow ones all at
+    once in rounds, and those with a single child fill the gaps.
     """
 
     def __init__(self, langs: pa.Array, phrases: pa.Array):
@@ -218,7 +240,7 @@ class Trie:
             pairs, which = np.unique(state[active] * width + symbol[active], return_inverse=True)
             parents, kids = pairs // width, pairs % width
             starts, sizes = runs_of(parents)
-            for node in np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 1)].tolist():
+            for node in np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > NARROW)].tolist():
                 own = kids[starts[node] : starts[node] + sizes[node]]
                 tries = draw.integers(width, filled - width + 1, 32)
                 if len(used) < filled + 2 * width:
@@ -232,6 +254,23 @@ class Trie:
                         grown(filled + 2 * width)
                 self.base[parents[starts[node]]] = base
                 used[base + own] = True
+            narrow = np.flatnonzero((sizes > 1) & (sizes <= NARROW))
+            while len(narrow):
+                # All draw a place at once; those that meet others or used places draw again.
+                owner = np.repeat(np.arange(len(narrow)), sizes[narrow])
+                firsts = np.cumsum(sizes[narrow]) - sizes[narrow]
+                base = draw.integers(width, filled - width + 1, len(narrow))
+                to = base[owner] + kids[starts[narrow][owner] + np.arange(len(owner)) - firsts[owner]]
+                claims = np.zeros(len(used), dtype=np.int32)
+                claims[to] = owner
+                good = np.logical_and.reduceat(~used[to] & (claims[to] == owner), firsts)
+                self.base[parents[starts[narrow[good]]]] = base[good]
+                used[to[good[owner]]] = True
+                narrow = narrow[~good]
+                if np.count_nonzero(good) < len(good) // 4 + 1:
+                    filled += len(owner) + width
+                    if len(used) < filled + 2 * width:
+                        grown(filled + 2 * width)
             lone = starts[sizes == 1]
             free = np.flatnonzero(~used[2 * width : filled]) + 2 * width
             if len(free) < len(lone):
@@ -281,16 +320,6 @@ class Trie:
         return total
 
 
-def counts(batches, trie: Trie, numbers: np.ndarray, most_words: int):
-    """number, n: of each phrase that the task's texts have; `numbers` names the phrases of the trie."""
-    total = np.zeros(len(numbers), dtype=np.int64)
-    for lang, words in chunks(batches):
-        total += trie.count(lang, words, most_words)
-    some = np.flatnonzero(total)
-    if len(some):
-        yield record("number long, n long", numbers[some], total[some])
-
-
 def least_score(parts: list[tuple[str, str]]):
     """SQL for the lowest score floor(1000000 * a * a / (l * r)) over the cuts (columns of l and r), and for its l and r.
 
@@ -322,40 +351,34 @@ class Collocations:
         bitmaps: list[np.ndarray] = []
         for size in range(2, most_words + 1):
             shared = self.spark.sparkContext.broadcast(list(bitmaps))
-            table = self.tables.write(
-                self.rows.mapInArrow(lambda b, maps=shared: screen(b, maps.value, bucket_bits), SCREEN), f"screen-{size}")
+            table = self.rows.mapInArrow(lambda b, maps=shared: screen(b, maps.value, bucket_bits), SCREEN)
             if not bitmaps:
-                counted = self.tables.write(table.where("bucket IS NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-            bitmaps.append(self._bitmap(table))
+                table = self.tables.write(table.withColumn("kind", F.when(F.col("bucket").isNull(), "word").otherwise("blob")), "screen", "kind")
+                counted = self.tables.write(table.where("kind = 'word'").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+                self.tables.drop("screen/kind=word")
+                table = table.where("kind = 'blob'")
+            bitmaps.append(self._bitmap(table, size))
+            self.tables.drop("screen")
         self.totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
         self.words = counted.where(F.col("n") >= least)
         self.phrases = self._counted(bitmaps)
 
-    def _bitmap(self, table: DataFrame) -> np.ndarray:
+    def _bitmap(self, table: DataFrame, size: int) -> np.ndarray:
         """Where the hashes lie that reach the least count; the driver holds one such map per size, whatever the data."""
         bits, least = self.bucket_bits, self.least
         blobs = table.where("bucket IS NOT NULL").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
         bitmap = np.zeros((1 << SLOT_BITS) // 8, dtype=np.uint8)
         width = len(bitmap) >> bits
-        for bucket, part in blobs.mapInArrow(lambda b: frequent_slots(b, least, bits), "bucket long, bits binary").toLocalIterator():
+        flags = self.tables.write(blobs.mapInArrow(lambda b: frequent_slots(b, least, bits), "bucket long, bits binary"), f"bitmap-{size}")
+        for bucket, part in flags.collect():
             bitmap[bucket * width : (bucket + 1) * width] = np.frombuffer(bytes(part), dtype=np.uint8)
         return bitmap
 
     def _counted(self, bitmaps: list[np.ndarray]) -> DataFrame:
         """lang, phrase, n: the frequent phrases of two words and more."""
-        shared, most_words = self.spark.sparkContext.broadcast(bitmaps), self.most_words
-        found = self.rows.mapInArrow(lambda b: candidates(b, shared.value), "lang string, phrase string").distinct()
-        listed = self.tables.write(found.withColumn("number", F.monotonically_increasing_id()), "candidates")
-        parts = -(-listed.count() // self.trie_phrases)
-        result = self.spark.createDataFrame([], "number long, n long")
-        for part in range(parts):
-            # Parts by hash have about trie_phrases phrases each.
-            own = listed.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)) == part).select("number", "lang", "phrase").toArrow().combine_chunks()
-            built = Trie(own["lang"].combine_chunks(), own["phrase"].combine_chunks())
-            trie = self.spark.sparkContext.broadcast((built, own["number"].to_numpy()))
-            counted = self.rows.mapInArrow(lambda b, t=trie: counts(b, *t.value, most_words), "number long, n long")
-            result = result.unionAll(self.tables.write(counted.groupBy("number").agg(F.sum("n").alias("n")), f"counts-{part}"))
-        return self.tables.write(result.where(F.col("n") >= self.least).join(listed, "number").select("lang", "phrase", "n"), "phrases")
+        shared, most_words, trie_phrases = self.spark.sparkContext.broadcast(bitmaps), self.most_words, self.trie_phrases
+        counted = self.rows.mapInArrow(lambda b: counts(b, shared.value, trie_phrases, most_words), COUNTS)
+        return self.tables.write(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least), "phrases")
 
     def scored(self) -> DataFrame:
         """lang, phrase, a, l, r, n, score: all frequent phrases of two words and more that no longer one absorbs."""

@@ -125,3 +125,21 @@ def test_trie_counts_all_positions_at_once():
     got = trie.count("en", [w.encode() for w in texts], 3)
     assert got.tolist() == [grams[p] for p in phrases] + [0]
     assert not trie.count("fr", [b"w1", b"w2"], 3).any()
+
+
+def test_passes_over_the_texts_do_not_grow_with_the_candidates(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)), "en", "s", 0) for i in range(30)]
+    frame, results = spark.createDataFrame(rows, COLUMNS).repartition(2).localCheckpoint(), []
+    for phrases in (5, 500_000):
+        seen = spark.sparkContext.accumulator(0)
+
+        def told(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        best = collocations.Collocations(frame.mapInArrow(told, COLUMNS), trie_phrases=phrases).best()
+        results.append(sorted(map(tuple, best.collect())))
+        assert seen.value == 3 * len(rows)
+    assert results[0] == results[1] == slow_collocations([(r[2], r[1]) for r in rows])
