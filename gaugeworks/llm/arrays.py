@@ -78,3 +78,11 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     return starts, np.diff(np.r_[starts, len(values)])
+
+
+def among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value, where it would stand in the sorted array `known` and whether it is there."""
+    place = np.searchsorted(known, values)
+    there = place < len(known)
+    there[there] = known[place[there]] == values[there]
+    return place, there

@@ -3,7 +3,8 @@
 An operator brings its own keys and its own test of closeness (`Method`): any two texts alike enough must share a key and pass
 the test. What follows is the same for all of them.
 
-1. Mark. Texts with equal sets are one class, known by a digest; only one text of a class goes on.
+1. Mark. Texts with equal sets are one class, known by a digest; only one text of a class goes on. A method may take its keys from
+   the rare shingles of a text first (`rare_first`); those that more than about `OFTEN` texts have are counted before.
 2. Meet. Each batch of documents sends one packed entry per key to the key's bucket, and learns which keys others have as well.
    Keys that one text alone has go no further.
 3. Compare. Of keys that the same texts have, one goes on. Sketches of texts that share a key meet in units of at most about
@@ -11,7 +12,8 @@ the test. What follows is the same for all of them.
    of the close ones, not their pairs.
 4. Verify. The exact likeness of each edge is taken from the two texts, the leaves of a hub in parts of `HUB_LEAVES`.
 5. Settle. Where an edge of a group of close texts fails, other pairs of this group may still link its pieces: each text
-   outside the group's largest piece is held against all other texts of the group, in units of bounded size.
+   outside the group's largest piece is held against all other texts of the group, in units of bounded size. What many texts of
+   a unit have is counted by a product of matrices.
 """
 
 from collections.abc import Callable
@@ -22,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.arrays import GOLDEN, WordHashes, by_key, mixed, packed, record, runs_of, unpacked
-from gaugeworks.llm.common import SharedTables, texts
+from gaugeworks.llm.arrays import GOLDEN, WordHashes, among, by_key, mixed, packed, record, runs_of, unpacked
+from gaugeworks.llm.common import SLICE_ROWS, SharedTables, texts
 from gaugeworks.llm.components import components
 
 SHINGLE = 5
@@ -31,6 +33,10 @@ UNIT = 8_192
 HUB_LEAVES = 2_000
 SETTLE_ROWS = 2_048
 BATCH_ROWS = 4_000
+OFTEN = 2_048
+HELD_SHINGLES = 1 << 20
+# A shingle that one of so many texts of a unit has is a column of a matrix there; rows and columns of a matrix at a time.
+DENSE, ROWS, COLUMNS = 16, 256, 512
 KEY_BITS = 48
 NO_ID = -(1 << 63)
 
@@ -57,11 +63,15 @@ class Method:
 
     forest(unit, entry, flags, sizes, sketches) gives (leaf, root) entries: `unit` (sorted) and `entry` (a place in sizes and
     sketches) of each row; the edges connect what is close within a unit, and lose no connection.
+
+    With `rare_first`, keys also gets the sorted hashes of the shingles that many texts have. They only set an order, so whichever
+    they are, alike texts share a key.
     """
 
     keys: Callable
     forest: Callable
     least: tuple[int, int]
+    rare_first: bool = False
 
 
 def enough(common, one, other, least: tuple[int, int]):
@@ -69,12 +79,36 @@ def enough(common, one, other, least: tuple[int, int]):
     return common * least[1] >= least[0] * (one + other - common)
 
 
+def repeated(batches):
+    """shingle, n: of each run of texts with about HELD_SHINGLES shingles, those that several of its texts have."""
+    known, held, size = WordHashes(), [], 0
+
+    def told():
+        flat = np.concatenate(held)
+        held.clear()
+        flat.sort()
+        starts, counts = runs_of(flat)
+        several = counts > 1
+        return record("shingle long, n long", flat[starts[several]].view(np.int64), counts[several])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
+                held.append(shingles(text, known))
+                size += len(held[-1])
+                if size >= HELD_SHINGLES:
+                    yield told()
+                    size = 0
+    if held:
+        yield told()
+
+
 MARK = "bucket long, blob binary, doc_id long, tag long, n long, digest binary, sketch binary, own long, key long"
 
 
-def marks(batches, method: Method, buckets: int):
+def marks(batches, method: Method, buckets: int, *often: np.ndarray):
     """Three kinds of rows: documents (doc_id, tag, n, digest, sketch, own), blobs for the buckets, and (own, key) of keys that several
-    texts of the batch have. A key ends with its flag; `own` names a text by the first half of its digest."""
+    texts of the batch have. A key ends with its flag; `own` names a text by the first half of its digest. `often` goes to the keys."""
     known = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
@@ -83,7 +117,7 @@ def marks(batches, method: Method, buckets: int):
             for doc_id, text, tag in zip(*(c.to_pylist() for c in piece.columns)):
                 own = shingles(text, known)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
-                found, flags, sketch = method.keys(own) if len(own) else (own, own, b"")
+                found, flags, sketch = method.keys(own, *often) if len(own) else (own, own, b"")
                 ids.append(doc_id)
                 tags.append(tag)
                 sizes.append(len(own))
@@ -195,6 +229,34 @@ def verified(batches, least: tuple[int, int]):
             yield record("u long, v long, ok boolean", *map(list, zip(*out)))
 
 
+def shared(asking: list[np.ndarray], rest: list[np.ndarray]):
+    """For each asking set, how many of its elements each of the other sets has."""
+    flat, owner = np.concatenate(rest), np.repeat(np.arange(len(rest)), [len(s) for s in rest])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts, counts = runs_of(flat)
+    dense = counts * DENSE >= len(rest)
+    columns, often = flat[starts[dense]], np.repeat(dense, counts)
+    spot, holder = np.repeat(np.arange(len(columns)), counts[dense]), owner[often]
+    light, lone = flat[~often], owner[~often]
+    for top in range(0, len(asking), ROWS):
+        some = asking[top : top + ROWS]
+        asked = [place[there] for place, there in (among(own, columns) for own in some)]
+        known = np.zeros((len(some), len(rest)), dtype=np.float32)  # whole numbers below 2 to the power 24
+        for at in range(0, len(columns), COLUMNS):
+            a, b = np.searchsorted(spot, [at, at + COLUMNS])
+            have, ask = (np.zeros((n, COLUMNS), dtype=np.float32) for n in (len(rest), len(some)))
+            have[holder[a:b], spot[a:b] - at] = 1
+            for row, own in zip(ask, asked):
+                a, b = np.searchsorted(own, [at, at + COLUMNS])
+                row[own[a:b] - at] = 1
+            known += ask @ have.T
+        for row, own in zip(known, some):
+            a, b = np.searchsorted(light, own), np.searchsorted(light, own, side="right")
+            spots = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())
+            yield row.astype(np.int64) + np.bincount(lone[spots], minlength=len(rest))
+
+
 def settled(batches, least: tuple[int, int]):
     """u, v: of each unit, a forest of the labels that links connect; rows (unit, asks, node, label, text) with asks = 1 are held against
     the rest. A label is a node of its own piece, so edges between labels are as good as the links between their texts."""
@@ -207,9 +269,6 @@ def settled(batches, least: tuple[int, int]):
         if not rest or not asking:
             continue
         label, size = np.array([l for l, _ in rest.values()]), np.array([len(s) for _, s in rest.values()])
-        flat = np.concatenate([s for _, s in rest.values()])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(label)), size)[order]
         root: dict[int, int] = {}
 
         def top(one: int) -> int:
@@ -217,10 +276,8 @@ def settled(batches, least: tuple[int, int]):
                 root[one] = one = root.setdefault(up, up)
             return one
 
-        for mine, own in asking.values():
-            a, b = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
-            spots = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())
-            common = np.bincount(owner[spots], minlength=len(label))
+        counts = shared([s for _, s in asking.values()], [s for _, s in rest.values()])
+        for (mine, own), common in zip(asking.values(), counts):
             link = enough(common, len(own), size, least) & (label != mine)
             for other in np.unique(label[link]).tolist():
                 one, two = sorted((top(mine), top(other)))
@@ -244,7 +301,8 @@ class Likeness:
         tagged = self.rows.withColumn("tag", F.xxhash64("text"))
         # A scan's partitions have a bounded size, so buckets keep theirs where their number follows that of the partitions.
         self.buckets = max(16, 4 * docs.rdd.getNumPartitions())
-        marked = tagged.mapInArrow(lambda b, n=self.buckets: marks(b, method, n), MARK)
+        often = self._often() if method.rare_first else None
+        marked = tagged.mapInArrow(lambda b, n=self.buckets: marks(b, method, n, *([often.value] if often else [])), MARK)
         kind = F.expr("CASE WHEN digest IS NOT NULL THEN 'document' WHEN bucket IS NOT NULL THEN 'blob' ELSE 'told' END")
         self.marked = self.tables.write(marked.withColumn("kind", kind), "marked", "kind")
         self.documents = self.marked.where("kind = 'document'").select("doc_id", "tag", "n", "digest", "sketch", "own")
@@ -256,6 +314,12 @@ class Likeness:
     def _dealt(self, frame: DataFrame, key: str, *more) -> DataFrame:
         return frame.repartition(key).sortWithinPartitions(key, *more)
 
+    def _often(self):
+        """A broadcast of the shingles that more than about OFTEN texts have, sorted; no more than one for OFTEN shingles of the texts."""
+        told = self.rows.select("text").mapInArrow(repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        found = told.where(F.col("n") > OFTEN).select("shingle").toArrow().column(0).to_numpy()
+        return self.spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+
     def _close(self) -> DataFrame:
         """u, v: forests of close texts."""
         blobs = self._dealt(self.marked.where("kind = 'blob'").select("bucket", "blob"), "bucket").mapInArrow(met, "own long, key long")

@@ -9,8 +9,8 @@ added into bitwise counters with carry-save adders. A block of lanes is abandone
 radius. Pairs within a bucket are never emitted: each bucket returns a star per component, at most one edge a row.
 
 `keep` asks for more than the query: all texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more. Two
-such sets share one of the smallest hashes (a fifth of each set), so these hashes are the keys; those that one text alone has
-go no further. Fingerprints of 256 bits, compared by the same bit planes, tell which texts with a common key are candidates, and
+such sets share one of the first hashes (a fifth of each set) in any one order, so these hashes are the keys; hashes that many texts
+have come last, so that a common passage is not what texts meet by. Keys that one text alone has go no further. Fingerprints of 256 bits, compared by the same bit planes, tell which texts with a common key are candidates, and
 the exact likeness decides on a link (see `likeness`).
 """
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.arrays import mixed
+from gaugeworks.llm.arrays import among, mixed
 from gaugeworks.llm.common import SharedTables, map_batches, texts
 from gaugeworks.llm.components import components
 from gaugeworks.llm.likeness import Likeness, Method
@@ -309,13 +309,14 @@ def wide_fingerprint(own: np.ndarray) -> bytes:
     return np.array(words, dtype="<u8").tobytes()
 
 
-def prefix_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+def prefix_keys(own: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
     """The shingle hashes one of which any like text shares, and the wide fingerprint.
 
-    In the order of the hashes, two sets that share a LEAST part of either have a common hash among all but the last
-    `ceil(LEAST * size) - 1` of each.
+    In the order of the hashes, those in `often` behind all others, two sets that share a LEAST part of either have a common hash
+    among all but the last `ceil(LEAST * size) - 1` of each.
     """
-    keys = own[: len(own) + 1 - (-(-LEAST[0] * len(own) // LEAST[1]))]
+    last = among(own, often)[1]
+    keys = np.r_[own[~last], own[last]][: len(own) + 1 - (-(-LEAST[0] * len(own) // LEAST[1]))]
     return keys, np.zeros(len(keys), dtype=np.uint64), wide_fingerprint(own)
 
 
@@ -328,7 +329,7 @@ def wide_forest(unit: np.ndarray, entry: np.ndarray, flags: np.ndarray, sizes: n
     return entry[leaf], entry[root]
 
 
-NEAR = Method(prefix_keys, wide_forest, LEAST)
+NEAR = Method(prefix_keys, wide_forest, LEAST, rare_first=True)
 
 
 def keep(docs: DataFrame) -> DataFrame:
