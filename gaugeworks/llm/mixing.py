@@ -188,8 +188,10 @@ class Mixture:
         ).withColumn("words", F.expr(
             f"coalesce(least(first_word + size, (block + 1) * {length}) - greatest(first_word, block * {length}), 0)"))
         # A block is used a few times at most, as a target stops at a multiple of its source.
-        uses = self.slots.groupBy("key", "block").agg(F.count(F.lit(1)).alias("uses"), F.collect_set("shard").alias("shards"))
-        return parts.join(uses, ["key", "block"], "left").select(
+        uses = self.slots.groupBy("key", F.col("block").alias("at")).agg(F.count(F.lit(1)).alias("uses"), F.collect_set("shard").alias("shards"))
+        # A row for each block of the corpus, from a few rows per source that are exploded: without the hint, Spark takes it for a
+        # small table and broadcasts it. Documents without words match no block, and need not meet in one task for that.
+        return parts.withColumn("at", F.coalesce("block", -1 - F.col("row"))).join(uses.hint("merge"), ["key", "at"], "left").select(
             "row", "block", "first_word", "words", F.coalesce("uses", F.lit(0)).alias("uses"), "shards")
 
     def taken(self) -> DataFrame:

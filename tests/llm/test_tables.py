@@ -1,6 +1,7 @@
 """Mixing, token rollups, the registered queries and the pipeline."""
 
 import random
+import re
 import sys
 from collections import Counter
 from pathlib import Path
@@ -112,6 +113,24 @@ def test_mixture_of_odd_rows(odd, odd_rows, none):
     assert {(r.target, r.taken) for r in mixing.Mixture(blank).taken().collect()} == {(0.0, 0)}
 
 
+def test_blocks_are_not_broadcast(spark, sized):
+    """The table of used blocks grows with the corpus: it meets the documents in a shuffle, whatever Spark takes its size for."""
+    mixture = mixing.Mixture(sized, carry=("doc_id", "text"), block_words=16)
+    for frame in (mixture.taken(), mixture.texts()):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(\w+Join) \[key#\d+, (?:block|at)#", plan)
+        assert joins == ["SortMergeJoin"]
+
+
+def test_texts_without_words_keep_their_row_and_use_no_block(spark):
+    rows = [(i, None if i % 3 else "one two three", "en", "s", 0) for i in range(30)]
+    mixture = mixing.Mixture(spark.createDataFrame(rows, COLUMNS), carry=("doc_id",), block_words=4)
+    taken = {r.doc_id: (r.size, r.shards) for r in mixture.taken().collect()}
+    assert len(taken) == 30 and all(taken[i] == (0, "") for i in range(30) if i % 3)
+    parts = mixture.used_parts().where("block IS NULL").collect()
+    assert [(r.words, r.uses, r.shards) for r in parts] == [(0, 0, None)] * 20
+
+
 def test_rollup_commits_once_and_adds_up(spark, odd, none):
     rollup = token_rollup.Rollup(spark, SharedTables(spark, "test-rollup").path("r"))
     assert rollup.totals().count() == 0
